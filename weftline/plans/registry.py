@@ -1,0 +1,4 @@
+"""Every registered query and its SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
