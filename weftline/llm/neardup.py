@@ -6,9 +6,10 @@ kept as its leading-zero count and mantissa bits; empty registers borrow from a
 plus rare collisions. Bands of registers give candidate links, a collision-corrected estimate drops those far below the
 threshold, and what is left is confirmed on the full shingle sets.
 
-Equal sets are one node from the start. In a band's bucket every node is first compared with one pivot only, which joins
-groups of copies by as many comparisons as they have members; later rounds compare only nodes of buckets whose members
-are not connected yet, at last all such pairs.
+Equal sets are one node from the start. In a band's bucket every node is first compared with one pivot only, the one that
+shares buckets with most others, which joins groups of copies by as many comparisons as they have members. Later rounds
+look only at buckets whose members are not connected yet: shingles that no other open node has cannot be shared, so a node
+with too many of them to reach the threshold leaves (this is exact); the rest meets a second pivot, at last all others.
 """
 
 from __future__ import annotations
@@ -158,6 +159,21 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(decide, "a bigint, b bigint, ok boolean")
 
 
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """(node, text) to (node, own): how many shingles of a node no other of these nodes has."""
+
+    def run(batches):
+        for batch in batches:
+            data, at = utf8(batch.column("text"))
+            for i, j in chunks(at):
+                values, begin = shingle_sets(data, at, i, j)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), np.diff(begin)))), pa.array(values.view(np.int64))], names=["node", "s"])
+
+    each = texts.select("node", "text").mapInArrow(run, "node bigint, s bigint")
+    alone = each.groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -174,8 +190,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = linked.join(classes.select(F.col("node").alias("doc_id"), "fp1", "fp2", "n_shingles", "node"), ["doc_id", "fp1", "fp2", "n_shingles"])
 
     banded = nodes.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = scratch.put(banded.join(shared, "key").distinct())
+    score = members.groupBy("node").agg(F.sum("n").alias("score"))
     nodes = scratch.put(nodes.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "fp1", "fp2"]).select("node", "n_shingles", "regs"))
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
 
@@ -188,32 +205,49 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         scratch.drop(likely, texts)
         return done
 
-    label, decided, links = None, None, None
-    for turn in range(ROUNDS + 1):
-        if label is None:
-            open_members = members.withColumn("component", F.col("node"))
-        else:
-            open_members = members.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = open_members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-            open_members = open_members.join(mixed, "key")
-        open_members = scratch.put(open_members)
-        if not open_members.limit(1).count():
+    def still_open(rows: DataFrame) -> DataFrame:
+        """Rows (key, node, component, ...) of buckets that hold more than one component."""
+        mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        return rows.join(mixed, "key")
+
+    def of_pivot(rows: DataFrame, order) -> DataFrame:
+        pivot = rows.groupBy("key").agg(F.min_by(F.struct("node", "component"), order).alias("p"))
+        return rows.join(pivot, "key").where("component <> p.component").select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+
+    members = members.select("key", "node")
+    first = members.join(score, "node").withColumn("component", F.col("node"))
+    decided = confirm(of_pivot(first, F.struct(-F.col("score"), "node")).distinct())
+    links = decided.where("ok").select("a", "b")
+    label = components(scratch, links) if links.limit(1).count() else None
+
+    open_members = None
+    for turn in range(ROUNDS):
+        at = members if open_members is None else open_members.select("key", "node", "size", "most")
+        joined = at.withColumn("component", F.col("node")) if label is None else at.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        near = scratch.put(still_open(joined))
+        if not near.limit(1).count():
             break
-        if turn < ROUNDS:
-            order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
-            pivot = open_members.groupBy("key").agg(F.min_by(F.struct("node", "component"), order).alias("p"))
-            pairs = open_members.join(pivot, "key").where("component <> p.component").select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+        if open_members is None:
+            texts = scratch.put(text.join(near.select("node").distinct(), "node", "left_semi").distinct())
+            size = nodes.groupBy("node").agg(F.min("n_shingles").alias("size"), F.max("n_shingles").alias("largest"))
+            most = size.join(_own_shingles(texts), "node", "left").select("node", "size", (F.col("largest") - F.coalesce("own", F.lit(0))).alias("most"))
+            near = near.join(most, "node")
+            # 100 |x & y| >= percent |x | y| means (100 + percent) |x & y| >= percent (|x| + |y|)
+            least = near.groupBy("key").agg(F.min("size").alias("least"))
+            near = near.join(least, "key").where(f"(100 + {percent}) * most >= {percent} * (size + least)").drop("least")
+            near = scratch.put(still_open(near))
+        open_members = near
+        if turn < ROUNDS - 1:
+            pairs = of_pivot(near, F.xxhash64(F.lit(turn), "node"))
         else:
-            other = open_members.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = open_members.withColumnRenamed("node", "a").join(other, "key").where("a < b and component <> cb").select("a", "b")
-        if decided is not None:
-            tried = decided.select("a", "b").union(decided.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        found = confirm(pairs.distinct())
-        decided = found if decided is None else decided.union(found)
-        new = found.where("ok").select("a", "b")
-        links = new if links is None else links.union(new)
-        if label is None or new.limit(1).count():
+            other = near.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), F.col("most").alias("mb"))
+            fits = f"(100 + {percent}) * least(most, mb) >= {percent} * (size + sb)"
+            pairs = near.withColumnRenamed("node", "a").join(other, "key").where(f"a < b and component <> cb and {fits}").select("a", "b")
+        tried = decided.select("a", "b").union(decided.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        found = confirm(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        decided, new = decided.union(found), found.where("ok").select("a", "b")
+        if new.limit(1).count():
+            links = links.union(new)
             label = components(scratch, links)
 
     if label is None:
