@@ -23,7 +23,7 @@ SECRETS = [
 
 def read_sources(spark, root: str, glob: str = "*.{ts,tsx}") -> DataFrame:
     """Whole text files below root as (path, text), without build and test files; only matching files are opened."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).format("text").load(root)
     path = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/*", "/")
     skip = r"/(node_modules|dist|build|\.next|coverage)/|\.(test|spec)\.tsx?$"
     return raw.select(path.alias("path"), F.col("value").alias("text")).where(~F.col("path").rlike(skip))
