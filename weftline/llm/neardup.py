@@ -194,15 +194,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = scratch.put(banded.join(shared, "key").distinct())
     score = members.groupBy("node").agg(F.sum("n").alias("score"))
     nodes = scratch.put(nodes.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "fp1", "fp2"]).select("node", "n_shingles", "regs"))
+    # Texts of all nodes that share a bucket, dealt by node once; every round below reads this table.
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
+    text = scratch.put(text.join(nodes.select("node").distinct(), "node", "left_semi").distinct())
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """Decide pairs and return all decided ones."""
         likely = scratch.put(_estimated(pairs, nodes, percent))
-        ids = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-        texts = scratch.put(text.join(ids, "node", "left_semi").distinct())
-        done = scratch.put(_confirmed(likely, texts, percent))
-        scratch.drop(likely, texts)
+        done = scratch.put(_confirmed(likely, text, percent))
+        scratch.drop(likely)
         return done
 
     def still_open(rows: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if not near.limit(1).count():
             break
         if open_members is None:
-            texts = scratch.put(text.join(near.select("node").distinct(), "node", "left_semi").distinct())
+            texts = text.join(near.select("node").distinct(), "node", "left_semi")
             size = nodes.groupBy("node").agg(F.min("n_shingles").alias("size"), F.max("n_shingles").alias("largest"))
             most = size.join(_own_shingles(texts), "node", "left").select("node", "size", (F.col("largest") - F.coalesce("own", F.lit(0))).alias("most"))
             near = near.join(most, "node")
