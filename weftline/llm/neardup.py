@@ -8,8 +8,9 @@ threshold, and what is left is confirmed on the full shingle sets.
 
 Equal sets are one node from the start. In a band's bucket every node is first compared with one pivot only, the one that
 shares buckets with most others, which joins groups of copies by as many comparisons as they have members. Later rounds
-look only at buckets whose members are not connected yet: shingles that no other open node has cannot be shared, so a node
-with too many of them to reach the threshold leaves (this is exact); the rest meets a second pivot, at last all others.
+look only at buckets whose members are not connected yet: shingles that no open node of another component has make no new
+link, so a node with too many of them to reach the threshold leaves (this is exact), and this repeats while nodes leave;
+the rest meets a second pivot, at last all others.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ BANDS, ROWS = 42, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SIGMAS = 5.0  # by so many standard deviations an estimate must miss the threshold to drop a candidate
+SHRINKS = 0.9  # nodes that cannot link are looked for again while fewer than this share of them stays
 ROUNDS = 2  # of comparisons with a pivot, before all unconnected pairs
 
 _ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -159,19 +161,21 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(decide, "a bigint, b bigint, ok boolean")
 
 
-def _own_shingles(texts: DataFrame) -> DataFrame:
-    """(node, text) to (node, own): how many shingles of a node no other of these nodes has."""
+def _shared_shingles(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) and (node, component) to (node, most): how many shingles of a node occur in another component too."""
 
     def run(batches):
         for batch in batches:
             data, at = utf8(batch.column("text"))
             for i, j in chunks(at):
                 values, begin = shingle_sets(data, at, i, j)
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), np.diff(begin)))), pa.array(values.view(np.int64))], names=["node", "s"])
+                owner = pa.array(np.repeat(np.arange(j - i), np.diff(begin)))
+                own = [batch.column(c).slice(i, j - i).take(owner) for c in ("node", "component")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(values.view(np.int64))], names=["node", "component", "s"])
 
-    each = texts.select("node", "text").mapInArrow(run, "node bigint, s bigint")
-    alone = each.groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
-    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    each = texts.join(nodes, "node").select("node", "component", "text").mapInArrow(run, "node bigint, component bigint, s bigint")
+    mixed = each.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
+    return each.join(mixed, "s").groupBy("node").agg(F.count(F.lit(1)).alias("most"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -220,23 +224,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = decided.where("ok").select("a", "b")
     label = components(scratch, links) if links.limit(1).count() else None
 
-    open_members = None
+    size = nodes.groupBy("node").agg(F.min("n_shingles").alias("size"))
+
+    def may_link(near: DataFrame) -> DataFrame:
+        """Rows of open buckets without nodes that share too little with other components to link with any node there."""
+        most = _shared_shingles(text, near.select("node", "component").distinct())
+        near = near.select("key", "node", "component").join(size, "node").join(most, "node")
+        # 100 |x & y| >= percent |x | y| means (100 + percent) |x & y| >= percent (|x| + |y|)
+        least = near.groupBy("key").agg(F.min("size").alias("least"))
+        near = near.join(least, "key").where(f"(100 + {percent}) * most >= {percent} * (size + least)").drop("least")
+        return scratch.put(still_open(near))
+
     for turn in range(ROUNDS):
-        at = members if open_members is None else open_members.select("key", "node", "size", "most")
-        joined = at.withColumn("component", F.col("node")) if label is None else at.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        joined = members.withColumn("component", F.col("node")) if label is None else members.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         near = scratch.put(still_open(joined))
-        if not near.limit(1).count():
+        left = near.select("node").distinct().count()
+        while left:  # whoever leaves takes shingles along that others then share with fewer
+            before, near = left, may_link(near)
+            left = near.select("node").distinct().count()
+            if left > SHRINKS * before:
+                break
+        if not left:
             break
-        if open_members is None:
-            texts = text.join(near.select("node").distinct(), "node", "left_semi")
-            size = nodes.groupBy("node").agg(F.min("n_shingles").alias("size"), F.max("n_shingles").alias("largest"))
-            most = size.join(_own_shingles(texts), "node", "left").select("node", "size", (F.col("largest") - F.coalesce("own", F.lit(0))).alias("most"))
-            near = near.join(most, "node")
-            # 100 |x & y| >= percent |x | y| means (100 + percent) |x & y| >= percent (|x| + |y|)
-            least = near.groupBy("key").agg(F.min("size").alias("least"))
-            near = near.join(least, "key").where(f"(100 + {percent}) * most >= {percent} * (size + least)").drop("least")
-            near = scratch.put(still_open(near))
-        open_members = near
+        members = near.select("key", "node")
         if turn < ROUNDS - 1:
             pairs = of_pivot(near, F.xxhash64(F.lit(turn), "node"))
         else:
