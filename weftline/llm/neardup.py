@@ -28,7 +28,7 @@ BANDS, ROWS = 42, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SIGMAS = 5.0  # by so many standard deviations an estimate must miss the threshold to drop a candidate
-SHRINKS = 0.9  # nodes that cannot link are looked for again while fewer than this share of them stays
+SHRINKS = 0.5  # nodes that cannot link are looked for again while fewer than this share of them stays
 ROUNDS = 2  # of comparisons with a pivot, before all unconnected pairs
 
 _ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
