@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import Scratch, components
+from weftline.llm.shared import Scratch, broadcast_if_small, components
 from weftline.llm.text import chunks, mix, utf8, word_hashes
 
 WORDS, PERCENT = 5, 75
@@ -30,6 +30,7 @@ MANTISSA = 10
 SIGMAS = 5.0  # by so many standard deviations an estimate must miss the threshold to drop a candidate
 SHRINKS = 0.5  # nodes that cannot link are looked for again while fewer than this share of them stays
 ROUNDS = 2  # of comparisons with a pivot, before all unconnected pairs
+MAX_IDS = 1 << 21  # ids (about 64 MB) that are broadcast to pick rows by; more are joined by a shuffle
 
 _ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -173,7 +174,7 @@ def _shared_shingles(texts: DataFrame, nodes: DataFrame) -> DataFrame:
                 own = [batch.column(c).slice(i, j - i).take(owner) for c in ("node", "component")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(values.view(np.int64))], names=["node", "component", "s"])
 
-    each = texts.join(nodes, "node").select("node", "component", "text").mapInArrow(run, "node bigint, component bigint, s bigint")
+    each = texts.join(broadcast_if_small(nodes, MAX_IDS), "node").select("node", "component", "text").mapInArrow(run, "node bigint, component bigint, s bigint")
     mixed = each.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
     return each.join(mixed, "s").groupBy("node").agg(F.count(F.lit(1)).alias("most"))
 
@@ -191,21 +192,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = scratch.put(sketches(docs))
     linked = rows.where("doc_id is not null and n_shingles > 0")
     classes = scratch.put(linked.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node")))
-    nodes = linked.join(classes.select(F.col("node").alias("doc_id"), "fp1", "fp2", "n_shingles", "node"), ["doc_id", "fp1", "fp2", "n_shingles"])
+    first_of = classes.select(F.col("node").alias("doc_id"), "fp1", "fp2", "n_shingles", "node")
+    of_class = lambda some: some.join(first_of, ["doc_id", "fp1", "fp2", "n_shingles"])
 
-    banded = nodes.select("node", F.explode("bands").alias("key"))
+    banded = of_class(linked.drop("regs")).select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = scratch.put(banded.join(shared, "key").distinct())
     score = members.groupBy("node").agg(F.sum("n").alias("score"))
-    nodes = scratch.put(nodes.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "fp1", "fp2"]).select("node", "n_shingles", "regs"))
-    # Texts of all nodes that share a bucket, dealt by node once; every round below reads this table.
+    # Registers and texts of all nodes that share a bucket: picked before they are dealt, and read by every round below.
+    ids = scratch.put(members.select("node").distinct())
+    picked = lambda some, own: some.join(broadcast_if_small(own, MAX_IDS), "node", "left_semi")
+    nodes = of_class(linked.drop("bands").join(broadcast_if_small(ids.withColumnRenamed("node", "doc_id"), MAX_IDS), "doc_id", "left_semi"))
+    nodes = scratch.put(nodes.dropDuplicates(["node", "fp1", "fp2"]).select("node", "n_shingles", "regs"))
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
-    text = scratch.put(text.join(nodes.select("node").distinct(), "node", "left_semi").distinct())
+    text = scratch.put(picked(text, ids).distinct())
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """Decide pairs and return all decided ones."""
         likely = scratch.put(_estimated(pairs, nodes, percent))
-        done = scratch.put(_confirmed(likely, text, percent))
+        own = scratch.put(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        done = scratch.put(_confirmed(likely, picked(text, own), percent))
         scratch.drop(likely)
         return done
 
@@ -228,7 +234,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def may_link(near: DataFrame) -> DataFrame:
         """Rows of open buckets without nodes that share too little with other components to link with any node there."""
-        most = _shared_shingles(text, near.select("node", "component").distinct())
+        most = _shared_shingles(text, scratch.put(near.select("node", "component").distinct()))
         near = near.select("key", "node", "component").join(size, "node").join(most, "node")
         # 100 |x & y| >= percent |x | y| means (100 + percent) |x & y| >= percent (|x| + |y|)
         least = near.groupBy("key").agg(F.min("size").alias("least"))
