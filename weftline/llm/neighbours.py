@@ -2,8 +2,9 @@
 
 Fast Hadamard pseudo-rotations turn unit vectors, and a vector's cell is the signed axis it is nearest to. Every row is
 indexed in every table; a query probes the cells with the largest coordinates of its own rotation, and everything found
-there is scored exactly. For inner products of vectors of different lengths rows get one more coordinate that brings all
-to one length, which leaves the order of inner products as it is.
+there is scored exactly. Cells know directions only, while inner products also grow with a row's length, and a long row
+may be a neighbour at any angle. So a second step scores exactly every row so long that it could beat a query's k-th score
+at an angle too wide for the probes to be sure: cells are left to find only rows at cosines that they find surely.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ K = 20
 TABLES = 4
 PROBED = 0.25  # of the cells, in each table
 BLOCK = 2048  # rows of a cell scored together
+SURE = 0.95  # share of rows at a cosine that probes must find, or all rows that need this cosine are scored
+BAND = 1.1  # lengths within a band differ by this factor
+BANDS = 256  # the last holds all shorter rows too
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -52,19 +56,49 @@ def probes(turned: np.ndarray, count: int) -> np.ndarray:
     return np.argsort(-both, axis=1, kind="stable")[:, :count]
 
 
-def _cells(vectors: DataFrame, longest: float, even: bool, query: bool, tables: int, count: int) -> DataFrame:
+def sure_cosine(dim: int, tables: int, count: int, sample: int = 4096) -> float:
+    """Least cosine from which the probes find SURE of the rows, measured on random pairs; infinite if there is none."""
+    rng = np.random.Generator(np.random.PCG64([43, dim]))
+    a, b = rng.standard_normal((2, sample, dim))
+    a /= np.sqrt((a * a).sum(1, keepdims=True))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.maximum(np.sqrt((b * b).sum(1, keepdims=True)), 1e-300)
+    turned = [(rotate(a, t), rotate(b, t)) for t in range(tables)]
+    least = math.inf
+    for step in range(99, -1, -1):
+        cos, hit = step / 100, np.zeros(sample, dtype=bool)
+        for x, y in turned:
+            y = cos * x + math.sqrt(1 - cos * cos) * y
+            axis = np.abs(y).argmax(1)[:, None]
+            side = (np.take_along_axis(x, axis, 1) * np.sign(np.take_along_axis(y, axis, 1)))
+            hit |= (x > side).sum(1) + (-x > side).sum(1) < count
+        if hit.mean() < SURE:
+            break
+        least = cos
+    return least
+
+
+def lengths(v: np.ndarray) -> np.ndarray:
+    top = np.abs(v).max(1, keepdims=True)
+    return top[:, 0] * np.sqrt(((v / top) ** 2).sum(1))
+
+
+def band(length: np.ndarray, longest: float) -> np.ndarray:
+    """Band of each length, 0 for the longest rows."""
+    with np.errstate(divide="ignore"):
+        return np.clip(np.floor(np.log(longest / length) / math.log(BAND) + 1e-9), 0, BANDS - 1).astype(np.int64)
+
+
+def _cells(vectors: DataFrame, tables: int, count: int) -> DataFrame:
     """vectors (vec_id, vec) with one row per table and probed cell."""
 
     def run(batches):
         for batch in batches:
-            v = matrix(batch.column("vec")) / longest
+            v = matrix(batch.column("vec"))
             if not len(v):
                 continue
-            norm = np.sqrt((v * v).sum(1, keepdims=True))
-            if query:
-                v = v / norm
-            if not even:
-                v = np.concatenate([v, np.zeros_like(norm) if query else np.sqrt(np.maximum(1 - norm * norm, 0.0))], axis=1)
+            v = v / np.abs(v).max(1, keepdims=True)
+            v = v / np.sqrt((v * v).sum(1, keepdims=True))
             for t in range(tables):
                 cells = probes(rotate(v, t), count)
                 rows = pa.array(np.repeat(np.arange(len(v)), cells.shape[1]))
@@ -73,6 +107,33 @@ def _cells(vectors: DataFrame, longest: float, even: bool, query: bool, tables:
     return vectors.mapInArrow(run, "vec_id bigint, vec binary, cell bigint")
 
 
+def _in_band(vectors: DataFrame, longest: float) -> DataFrame:
+    """vectors (vec_id, vec) with the band of their length as cell."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), pa.array(band(lengths(matrix(batch.column("vec"))), longest))], names=["vec_id", "vec", "cell"])
+
+    return vectors.mapInArrow(run, "vec_id bigint, vec binary, cell bigint")
+
+
+def _unsure(queries: DataFrame, longest: float, cosine: float) -> DataFrame:
+    """queries (vec_id, vec, kth: k-th score so far, or null) to (vec_id, vec, last): bands up to last hold rows that reach
+    the k-th score below the cosine; queries without such rows are left out."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kth = batch.column("kth").to_numpy(zero_copy_only=False)  # null becomes nan
+            least = np.where(kth > 0, kth / lengths(matrix(batch.column("vec"))) / cosine, 0.0)
+            rows = np.flatnonzero(least <= longest * (1 + 1e-9))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(rows)), batch.column("vec").take(pa.array(rows)), pa.array(band(least[rows], longest))], names=["vec_id", "vec", "last"])
+
+    return queries.mapInArrow(run, "vec_id bigint, vec binary, last bigint")
+
+
 def _score(rows: DataFrame, k: int) -> DataFrame:
     """rows: cell, block, query (boolean), vec_id, vec, sorted by block and data before queries; best k per query and block."""
 
@@ -115,27 +176,32 @@ def _score(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
 
-def _search(scratch: Scratch, vectors: DataFrame, queries: DataFrame, longest: float, even: bool, tables: int, count: int, k: int) -> DataFrame:
-    data = _cells(vectors.select("vec_id", "vec"), longest, even, False, tables, 1)
-    sizes = data.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    sizes = F.broadcast(scratch.put(sizes))  # at most one row per cell and table: 4 x dimension x tables
+def _best(found: DataFrame, k: int) -> DataFrame:
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(data: DataFrame, asked: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """Best k per query and block, where data and asked (vec_id, vec, cell) share a cell; sizes: cell and its blocks."""
     data = data.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).withColumn("query", F.lit(False))
-    asked = _cells(queries.select("vec_id", "vec"), longest, even, True, tables, count).join(sizes, "cell")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(True))
+    asked = asked.join(sizes, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(True))
     columns = ["cell", "block", "query", "vec_id", "vec"]
     rows = data.select(columns).union(asked.select(columns))
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    best = _score(rows.repartition(4 * parts, "cell", "block").sortWithinPartitions("cell", "block", "query", "vec_id"), k)
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _score(rows.repartition(4 * parts, "cell", "block").sortWithinPartitions("cell", "block", "query", "vec_id"), k)
+
+
+def _sizes(scratch: Scratch, data: DataFrame) -> DataFrame:
+    sizes = data.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    return F.broadcast(scratch.put(sizes))  # at most one row per cell and table (4 x dimension x tables) or band
 
 
 def nearest(embeddings: DataFrame, is_query, k: int = K, tables: int = TABLES, probed: float = PROBED, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that meets is_query its k rows of largest inner product, not itself.
 
-    Scores are exact inner products in double precision. Queries whose probes hold fewer than k rows search all cells, so
-    that fewer than k come back only if there are no more. Vectors that are null, empty, zero or hold null or non-finite
+    Scores are exact inner products in double precision. Queries whose probes hold fewer than k rows are scored against all
+    rows, so that fewer than k come back only if there are no more. Vectors that are null, empty, zero or hold null or non-finite
     components take no part, neither do null ids and vectors of another size than most. Rows with a query's id are it.
     """
     spark = embeddings.sparkSession
@@ -149,17 +215,18 @@ def nearest(embeddings: DataFrame, is_query, k: int = K, tables: int = TABLES, p
     norm = F.sqrt(F.aggregate(F.col(column).cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
     from weftline.llm.vectors import usable
 
-    low, high, n = usable(embeddings, column).where(F.size(column) == dim).agg(F.min(norm), F.max(norm), F.count_distinct(id_col)).first()
-    even = high - low <= 1e-5 * high
-    queries = vectors.where(is_query)
-    cells = 2 << max(1, math.ceil(math.log2(dim + (not even))))
-    found = _search(scratch, vectors, queries, high, even, tables, max(1, round(cells * probed)), k)
-    found = scratch.put(found.select("query_id", "rank", "vec_id", "score"))
-    full = found.where(F.col("rank") == min(k, n - 1)).select(F.col("query_id").alias("vec_id"))
-    short = scratch.put(queries.join(full, "vec_id", "left_anti"))
-    if n > 1 and short.limit(1).count():
-        again = _search(scratch, vectors, short, high, even, 1, cells, k)
-        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").union(again.select("query_id", "rank", "vec_id", "score"))
+    high, n = usable(embeddings, column).where(F.size(column) == dim).agg(F.max(norm), F.count_distinct(id_col)).first()
+    queries = vectors.where(is_query).select("vec_id", "vec")
+    cells = 2 << max(1, math.ceil(math.log2(dim)))
+    count = max(1, round(cells * probed))
+    data = _cells(vectors.select("vec_id", "vec"), tables, 1)
+    found = scratch.put(_best(_search(data, _cells(queries, tables, count), _sizes(scratch, data), k), k))
+    kth = found.where(F.col("rank") == min(k, n - 1)).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    unsure = scratch.put(_unsure(queries.join(kth, "vec_id", "left"), high, sure_cosine(dim, tables, count)))
+    if n > 1 and unsure.limit(1).count():
+        data = _in_band(vectors.select("vec_id", "vec"), high)
+        asked = unsure.select("vec_id", "vec", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("cell"))
+        found = _best(found.select("query_id", "vec_id", "score").union(_search(data, asked, _sizes(scratch, data), k)), k)
     return found
 
 
