@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from weftline.llm import neighbours
+from weftline.llm import mixing, neighbours
 
 
 def test_neighbours_of_unequal_lengths(spark):
@@ -23,3 +23,20 @@ def test_neighbours_of_unequal_lengths(spark):
             recall.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
         print(name, np.mean(recall), min(recall))
         assert np.mean(recall) >= 0.93, name
+
+
+def test_mixing_around_a_long_document(spark):
+    """Sources with one document of 30 % of the words, of which 30 % are wanted, come near their target wherever it stands."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for source in range(20):
+        sizes = np.maximum(1, rng.lognormal(2.5, 0.8, 150)).astype(int).tolist()
+        sizes.append(int(sum(sizes) * 0.3 / 0.7))
+        rows += [(len(rows) + k, " ".join(["w"] * n), f"s{source:02}") for k, n in enumerate(sizes)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), share=0.3, weights=(1,)).drop("text").collect()
+    miss = {}
+    for r in out:
+        miss[r["source"]] = miss.get(r["source"], r["target"]) - r["taken"]
+    target = {r["source"]: r["target"] for r in out}
+    print("largest miss", max(abs(miss[s]) / target[s] for s in miss), "mean", np.mean([abs(miss[s]) / target[s] for s in miss]))
+    assert all(abs(miss[s]) <= 0.01 * target[s] for s in miss)

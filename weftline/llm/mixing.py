@@ -3,7 +3,9 @@
 Each source gets a target by weight, capped at a multiple of its own size; documents get expected copies, whole copies
 are certain, and of the rest a sample is drawn: documents are ranked by random odds divided by inclusion odds and taken
 in that order until the source's remaining words are spent. The sample's size is fixed in words, since that is what the
-target counts; one closing document, the one nearest to what is then still missing, brings the source to its target.
+target counts; one closing document, the one nearest to what is then still missing, brings the source to its target. Where
+it would miss by as much as the smallest document left and by over NEAR of the target, documents larger than the rest are set aside and those that still
+fit are taken on down the ranks, until a closing document comes near enough or nothing fits.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from weftline.llm.shared import Scratch, broadcast_if_small
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SOURCES_BROADCAST = 100_000
+NEAR = 0.005  # of its target: a source that a closing document brings so near needs no more rounds
 
 
 def word_count(text: Column) -> Column:
@@ -69,32 +72,49 @@ def mix_sources(docs: DataFrame, seed: int = 29, share: float = 1.5, cap: float
         out = df.join(table, same(df, table), "left").drop(table["source"])
         return out.withColumn("_q", F.when(F.col("_p") > 0, odds))
 
-    # A histogram of the ranks finds, for each source, the thin slice in which its words run out.
     bins = int(max(256, min(1 << 20, n // 20_000)))
     slot = F.least(F.floor(F.col("_q") / (1 + F.col("_q")) * bins), F.lit(bins - 1))
-    drawn = ranked(light, plan).where("_q is not null and size > 0").withColumn("_bin", slot)
-    by_bin = drawn.groupBy("source", "_bin").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_rest"))
-    up_to = Window.partitionBy("source").orderBy("_bin")
-    by_bin = by_bin.withColumn("_upto", F.sum("_words").over(up_to)).where("_upto > _rest")
-    edge = scratch.put(by_bin.groupBy("source").agg(F.min_by(F.struct("_bin", (F.col("_upto") - F.col("_words")).alias("_before")), "_bin").alias("_e")).select("source", F.col("_e._bin").alias("_edge"), F.col("_e._before").alias("_before")))
-
-    plan = plan.join(edge, same(plan, edge), "left").drop(edge["source"])
-    plan = scratch.put(plan)
-    inner = ranked(light, plan).where("_q is not null and size > 0").withColumn("_bin", slot).where("_bin = _edge")
-    inner = inner.withColumn("_upto", F.col("_before") + F.sum("size").over(Window.partitionBy("source").orderBy("_q", "_h").rangeBetween(Window.unboundedPreceding, 0)))
-    cut = scratch.put(inner.where("_upto <= _rest").groupBy("source").agg(F.max(F.struct("_q", "_h")).alias("_cut"), F.max("_upto").alias("_got")))
-    # None of the slice fits: the cut lies just before it.
-    plan = plan.join(cut, same(plan, cut), "left").drop(cut["source"]).withColumn("_gap", F.col("_rest") - F.coalesce("_got", "_before"))
+    rank = F.struct("_q", "_h")
+    at = lambda q: F.struct(F.lit(q).alias("_q"), F.lit(0).cast("long").alias("_h"))
+    # Each round takes the ranks between two documents that do not fit, of documents up to a size.
+    taken = F.exists("_took", lambda t: (rank > t["lo"]) & (rank < t["hi"]) & (F.col("size") <= t["most"]))
+    place = "struct<_q: double, _h: bigint>"
+    plan = plan.withColumns({"_took": F.array().cast(f"array<struct<lo: {place}, hi: {place}, most: bigint>>"), "_lo": at(-1.0), "_most": F.lit((1 << 63) - 1), "_gap": F.col("_rest"), "_open": F.lit(True), "_close": F.lit(None).cast("long")})
+    state = plan.columns
     plan = scratch.put(plan)
-
-    in_sample = F.when(F.col("_q").isNull(), False).when(F.col("_edge").isNull(), True).otherwise((slot < F.col("_edge")) | ((slot == F.col("_edge")) & F.coalesce(F.struct("_q", "_h") <= F.col("_cut"), F.lit(False))))
-    left = ranked(light, plan).where(~in_sample & F.col("_q").isNotNull() & (F.abs(F.col("size") - F.col("_gap")) < F.col("_gap")))
-    closing = scratch.put(left.groupBy("source").agg(F.min_by("_h", F.struct(F.abs(F.col("size") - F.col("_gap")), "_q", "_h")).alias("_close")))
-    plan = scratch.put(plan.join(closing, same(plan, closing), "left").drop(closing["source"]))
+    while True:
+        # A histogram of the ranks finds, for each source, the thin slice in which its words run out.
+        drawn = ranked(light, plan).where((F.col("_open") & F.col("_q").isNotNull()) & (F.col("size") > 0) & (F.col("size") <= F.col("_most")) & (rank > F.col("_lo"))).withColumn("_bin", slot)
+        by_bin = drawn.groupBy("source", "_bin").agg(F.sum("size").alias("_words"), F.first("_gap").alias("_gap"))
+        by_bin = by_bin.withColumn("_upto", F.sum("_words").over(Window.partitionBy("source").orderBy("_bin")))
+        edge = by_bin.groupBy("source").agg(F.max("_upto").alias("_all"), F.min(F.when(F.col("_upto") > F.col("_gap"), F.struct("_bin", (F.col("_upto") - F.col("_words")).alias("_before")))).alias("_e"))
+        edge = scratch.put(edge.select("source", "_all", F.col("_e._bin").alias("_edge"), F.col("_e._before").alias("_before")))
+        plan = scratch.put(plan.join(edge, same(plan, edge), "left").drop(edge["source"]))
+
+        inner = ranked(light, plan).where((F.col("_open") & F.col("_q").isNotNull()) & (F.col("size") > 0) & (F.col("size") <= F.col("_most")) & (rank > F.col("_lo"))).withColumn("_bin", slot).where("_bin = _edge")
+        inner = inner.withColumn("_upto", F.col("_before") + F.sum("size").over(Window.partitionBy("source").orderBy("_q", "_h").rangeBetween(Window.unboundedPreceding, 0)))
+        cut = scratch.put(inner.groupBy("source").agg(F.min(F.when(F.col("_upto") > F.col("_gap"), rank)).alias("_stop"), F.max(F.when(F.col("_upto") <= F.col("_gap"), F.col("_upto"))).alias("_got")))
+        plan = plan.join(cut, same(plan, cut), "left").drop(cut["source"])
+        # None of the slice fits: the words are those before it. No slice: all fit.
+        got = F.when(F.col("_edge").isNull(), F.coalesce("_all", F.lit(0))).otherwise(F.coalesce("_got", "_before"))
+        plan = plan.withColumn("_hi", F.coalesce("_stop", at(float("inf")))).withColumn("_gap", F.when(F.col("_open"), F.col("_gap") - got).otherwise(F.col("_gap")))
+        span = F.array(F.struct(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_most").alias("most")))
+        plan = plan.withColumn("_took", F.when(F.col("_open"), F.concat("_took", span)).otherwise(F.col("_took")))
+        plan = scratch.put(plan.withColumn("_lo", F.col("_hi")).withColumn("_most", F.floor("_gap")).select(state))
+
+        miss = F.abs(F.col("size") - F.col("_gap"))
+        left = ranked(light, plan).where(F.col("_open") & F.col("_q").isNotNull() & (F.col("size") > 0) & ~taken)
+        left = scratch.put(left.groupBy("source").agg(F.min(F.when(miss < F.col("_gap"), F.struct(miss.alias("_miss"), "_q", "_h"))).alias("_best"), F.min("size").alias("_least"), F.max((F.col("size") <= F.col("_most")) & (rank > F.col("_lo"))).alias("_fits")))
+        plan = plan.join(left, same(plan, left), "left").drop(left["source"])
+        goes_on = F.col("_open") & F.coalesce(F.col("_fits") & (F.col("_best._miss") >= F.col("_least")) & (F.col("_best._miss") > NEAR * F.col("target")), F.lit(False))
+        plan = plan.withColumn("_close", F.when(F.col("_open") & ~goes_on, F.col("_best._h")).otherwise(F.col("_close"))).withColumn("_open", goes_on)
+        plan = scratch.put(plan.select(state))
+        if not plan.where("_open").limit(1).count():
+            break
 
     out = docs.withColumn("size", word_count(F.col("text"))).withColumn("_h", number)
     out = ranked(out, plan)
-    copies = F.col("_whole") + F.when(in_sample | F.coalesce(F.col("_h") == F.col("_close"), F.lit(False)), 1).otherwise(0)
+    copies = F.col("_whole") + F.when(F.coalesce(F.col("_q").isNotNull() & taken, F.lit(False)) | F.coalesce(F.col("_h") == F.col("_close"), F.lit(False)), 1).otherwise(0)
     out = out.withColumn("copies", F.least(copies, F.lit(int(cap))).cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(*docs.columns, "size", "source_size", "target", "copies", "taken")
 
