@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from weftline.llm import mixing, neighbours
+from weftline.llm import lattice, mixing, neighbours
 
 
 def test_neighbours_of_unequal_lengths(spark):
@@ -40,3 +40,15 @@ def test_mixing_around_a_long_document(spark):
     target = {r["source"]: r["target"] for r in out}
     print("largest miss", max(abs(miss[s]) / target[s] for s in miss), "mean", np.mean([abs(miss[s]) / target[s] for s in miss]))
     assert all(abs(miss[s]) <= 0.01 * target[s] for s in miss)
+
+
+def test_long_words_train_pieces(spark):
+    model = lattice.Lattice(np.log(np.random.default_rng(0).dirichlet(np.ones(32000))))
+    word = lattice.MARK + b"https://example.org/index"
+    ours, short = np.zeros(len(model.edge)), model.forward(np.frombuffer(word, np.uint8)[None], np.ones(1))[1]
+    model.long_word(word, ours)
+    assert np.allclose(ours, short, atol=1e-9) and ours.sum() > 1
+    text = "https://example.org/" + "international/development/" * 8
+    words = spark.createDataFrame([(1, text, 1)], "hash bigint, word string, n_train bigint")
+    log_p = lattice.train_pieces(words)
+    assert len(text) > lattice.LONG and log_p.max() > log_p[np.isfinite(log_p)].min() + 1

@@ -123,6 +123,7 @@ class Lattice:
         self.keys = keys[order]
         # pieces of equal bytes (a letter and its byte piece) act as one edge
         self.same = [self.pieces[short[k]] for k in order]
+        self.index = {short[k]: e for e, k in enumerate(order)}
         self.edge = np.array([np.logaddexp.reduce(log_p[s]) for s in self.same])
         self.maybe = np.zeros(1 << 22, dtype=bool)
         self.maybe[(self.keys * _SPREAD) >> np.uint64(42)] = True
@@ -166,14 +167,22 @@ class Lattice:
             expected += np.bincount(edges, np.exp(alpha[a, rows] + self.edge[edges] + beta[b, rows] - alpha[n, rows]) * counts[rows], len(self.edge))
         return alpha[n], expected
 
-    def long_word(self, word: bytes) -> float:
-        """The same recursion for one word of any length."""
+    def long_word(self, word: bytes, expected: np.ndarray | None = None) -> float:
+        """The same recursion for one word of any length; its expected edge counts are added to expected."""
         edge = {t: float(np.logaddexp.reduce(self.log_p[s])) for t, s in self.pieces.items()} if not hasattr(self, "_edge") else self._edge
         self._edge = edge
         alpha = [0.0] + [float("-inf")] * len(word)
         for b in range(1, len(word) + 1):
             terms = [alpha[b - s] + edge[p] for s in self.sizes if s <= b and (p := word[b - s : b]) in edge]
             alpha[b] = float(np.logaddexp.reduce(terms))
+        if expected is not None and alpha[-1] > float("-inf"):
+            beta = [float("-inf")] * len(word) + [0.0]
+            for a in range(len(word) - 1, -1, -1):
+                out = [(p, edge[p] + beta[a + s]) for s in self.sizes if a + s <= len(word) and (p := word[a : a + s]) in edge]
+                beta[a] = float(np.logaddexp.reduce([x for _, x in out]))
+                for p, x in out:
+                    if p in self.index:
+                        expected[self.index[p]] += np.exp(alpha[a] + x - alpha[-1])
         return alpha[-1]
 
     def groups(self, words: pa.Array):
@@ -237,7 +246,9 @@ def train_pieces(words: DataFrame, path: str | None = None, rounds: int = EM_ROU
             total = np.zeros(len(lattice.edge))
             for batch in batches:
                 for _, matrix in lattice.groups(batch.column("word")):
-                    if not isinstance(matrix, bytes):  # words over LONG bytes keep their segmentation's part in the prior
+                    if isinstance(matrix, bytes):
+                        lattice.long_word(matrix, total)
+                    else:
                         total += lattice.forward(matrix, np.ones(len(matrix)))[1]
             counts = lattice.piece_counts(total)
             some = np.flatnonzero(counts)
