@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from weftline.llm import lattice, mixing, neighbours
+from weftline.llm import lattice, mixing, neardup, neighbours
 
 
 def test_neighbours_of_unequal_lengths(spark):
@@ -52,3 +52,10 @@ def test_long_words_train_pieces(spark):
     words = spark.createDataFrame([(1, text, 1)], "hash bigint, word string, n_train bigint")
     log_p = lattice.train_pieces(words)
     assert len(text) > lattice.LONG and log_p.max() > log_p[np.isfinite(log_p)].min() + 1
+
+
+def test_near_duplicates_with_two_texts_under_one_id(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    pairs = spark.createDataFrame([(1, 2)], "a bigint, b bigint")
+    texts = spark.createDataFrame([(1, text), (2, text + " end"), (2, "nothing like the other one at all")], "node bigint, text string").coalesce(1)
+    assert sorted(r["ok"] for r in neardup._confirmed(pairs, texts, 75).collect()) == [False, True]

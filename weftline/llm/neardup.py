@@ -153,8 +153,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             db, ab = utf8(batch.column("tb"))
             for k in range(len(a)):
                 sa = shingle_sets(da, aa, k, k + 1)[0]
-                if last != b[k]:
-                    last, held = b[k], shingle_sets(db, ab, k, k + 1)[0]
+                this = b[k], db[ab[k] : ab[k + 1]].tobytes()  # an id may have several texts
+                if last != this:
+                    last, held = this, shingle_sets(db, ab, k, k + 1)[0]
                 common = len(np.intersect1d(sa, held, assume_unique=True))
                 ok.append(100 * common >= percent * (len(sa) + len(held) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
