@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from weftline.llm import lattice, mixing, neardup, neighbours
+from weftline.llm import lattice, mixing, neardup, neighbours, vecdedup
 
 
 def test_neighbours_of_unequal_lengths(spark):
@@ -59,3 +59,17 @@ def test_near_duplicates_with_two_texts_under_one_id(spark):
     pairs = spark.createDataFrame([(1, 2)], "a bigint, b bigint")
     texts = spark.createDataFrame([(1, text), (2, text + " end"), (2, "nothing like the other one at all")], "node bigint, text string").coalesce(1)
     assert sorted(r["ok"] for r in neardup._confirmed(pairs, texts, 75).collect()) == [False, True]
+
+
+def test_vector_buckets_find_pairs_at_the_threshold():
+    """Shares of pairs at cosine 0.9 with a common bucket, for tables of 131072 and 16.8 million rows."""
+    rng = np.random.default_rng(3)
+    a, b = rng.standard_normal((2, 8000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    for n in (1 << 17, 1 << 24):
+        c = vecdedup.Codes(64, n)
+        found = (c.keys(a) == c.keys(b)).any(1).mean()
+        print(n, c.bits, c.tables, found)
+        assert found >= 0.94, n

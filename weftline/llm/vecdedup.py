@@ -25,7 +25,6 @@ from weftline.llm.vectors import matrix, packed
 COSINE = 0.9
 RECALL = 0.95  # of pairs exactly at the threshold; pairs above it are found more surely
 EXTRA_BITS = 2
-POOL = 8  # rotations whose signs are sampled by the tables
 EPS = 4.0  # confidence bounds are this many standard errors wide
 BLOCK = 1024  # rows of a bucket that are compared with each other or with another block at once
 
@@ -35,27 +34,28 @@ class Codes:
 
     def __init__(self, dim: int, n: int, cosine: float = COSINE):
         rng = np.random.Generator(np.random.PCG64([71, dim]))
-        self.rotations = np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0].T for _ in range(POOL)])
+        self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0].T
         self.dim = dim
         self.bits = max(8, math.ceil(math.log2(max(n, 2))) + EXTRA_BITS)
         agree = (1 - math.acos(cosine) / math.pi) ** self.bits
         self.tables = max(8, math.ceil(math.log(1 - RECALL) / math.log(1 - agree)))
-        self.picked = np.stack([rng.choice(POOL * dim, self.bits, replace=POOL * dim < self.bits) for _ in range(self.tables)])
+        # Every table has directions of its own, all drawn independently, as the number of tables assumes.
+        self.directions = rng.standard_normal((self.tables, self.bits, dim))
         self.weight = mix(rng.integers(1, 1 << 62, self.bits).astype(np.uint64)) | np.uint64(1)
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """Bucket of each vector (rows) in each table, as int64; the table is part of the hash."""
-        sign = (unit @ self.rotations.T > 0).astype(np.uint64)
         salt = mix(np.arange(1, self.tables + 1, dtype=np.uint64) + (np.uint64(self.dim) << np.uint64(32)))
         out = np.empty((len(unit), self.tables), dtype=np.int64)
         for t in range(self.tables):
-            h = (sign[:, self.picked[t]] * self.weight).sum(1) + salt[t]
+            sign = (unit @ self.directions[t].T > 0).astype(np.uint64)
+            h = (sign * self.weight).sum(1) + salt[t]
             out[:, t] = mix(h).view(np.int64)
         return out
 
     def code(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rotated vector, its sign code and the correction factor."""
-        turned = unit @ self.rotations[: self.dim].T
+        turned = unit @ self.rotation.T
         code = np.where(turned >= 0, 1.0, -1.0) / math.sqrt(self.dim)
         return turned, code, np.maximum((turned * code).sum(1), 1e-9)
 
