@@ -82,7 +82,7 @@ def tokens_claude(text: Column) -> Column:
 
 
 def secret_matches(files: DataFrame) -> DataFrame:
-    """id, line, type, severity, snippet of every line and pattern that match; one pass, patterns as an inline array."""
+    """id, line, type, severity, snippet of the first match of each pattern in each line; one pass, patterns as an inline array."""
     lines = files.select("id", F.posexplode(F.split("text", "\n")).alias("line", "code"))
     hits = F.array(*[F.when(F.col("code").rlike(p), F.struct(F.lit(t).alias("type"), F.lit(s).alias("severity"), F.substring(F.regexp_extract(F.col("code"), f"({p})", 1), 1, 40).alias("snippet"))) for t, s, p in SECRETS])
     out = lines.select("id", (F.col("line") + 1).cast("bigint").alias("line"), F.explode(F.array_compact(hits)).alias("h"))
@@ -90,7 +90,7 @@ def secret_matches(files: DataFrame) -> DataFrame:
 
 
 def mask(text: Column) -> Column:
-    """Values of secret assignments, passwords in database URLs and private keys become PRIVATE_DATA."""
+    """Quoted values of some secret assignments and passwords in database URLs become PRIVATE_DATA; private keys and bare tokens stay."""
     text = F.regexp_replace(text, r"((postgres|postgresql|mysql|mongodb)://[^:\s]+:)[^@\s]+@", "$1PRIVATE_DATA@")
     return F.regexp_replace(text, r"(?i)((api_?key|token|secret|password|passwd|pwd)[\"']?\s*[:=]\s*[\"'])[^\"'\n]{8,}([\"'])", "$1PRIVATE_DATA$3")
 
