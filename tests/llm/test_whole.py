@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from weftline.llm import lattice, mixing, neardup, neighbours, vecdedup
+from weftline.llm import chat, lattice, mixing, neardup, neighbours, vecdedup
 
 
 def test_neighbours_of_unequal_lengths(spark):
@@ -73,3 +73,17 @@ def test_vector_buckets_find_pairs_at_the_threshold():
         found = (c.keys(a) == c.keys(b)).any(1).mean()
         print(n, c.bits, c.tables, found)
         assert found >= 0.94, n
+
+
+def test_chat_query_walks_parts(spark, monkeypatch):
+    import duckdb
+
+    from weftline.llm import queries
+
+    calls, visit = [], chat.visit
+    monkeypatch.setattr(chat, "visit", lambda *a, **k: calls.append(1) or visit(*a, **k))
+    ours = chat.op10(spark, "/root/testdata/sf0.001")
+    con = duckdb.connect()
+    con.sql("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    want = con.sql(f"SELECT {', '.join(ours.columns)} FROM ({queries.SQL['op10_chat']})").fetchall()
+    assert calls and sorted(map(repr, map(tuple, ours.collect()))) == sorted(map(repr, want))

@@ -114,7 +114,9 @@ def op10(spark, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     control = f"{END}{START}assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
-    back = read_back(join_turns(format_turns(turns.unionByName(extra))))
+    part = F.struct(F.lit("text"), F.col("text"), *[F.lit(None)] * 5)
+    turns = turns.unionByName(extra).select("conv_id", "turn", "role", F.array(part).cast(PARTS).alias("parts"))
+    back = read_back(join_turns(format_turns(turns)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("turns.loss", "")
     return back.select(
