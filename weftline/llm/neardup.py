@@ -10,7 +10,9 @@ Equal sets are one node from the start. In a band's bucket every node is first c
 shares buckets with most others, which joins groups of copies by as many comparisons as they have members. Later rounds
 look only at buckets whose members are not connected yet: shingles that no open node of another component has make no new
 link, so a node with too many of them to reach the threshold leaves (this is exact), and this repeats while nodes leave;
-the rest meets a second pivot, at last all others.
+the rest meets a second pivot. What is left at last is decided by rare shingles: two sets share at most the common
+shingles that the poorer of them has, and the rare ones that they are seen to share. Pairs meet over a rare shingle, which
+few nodes have, or, if common shingles alone could be enough for both, in a bucket.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SIGMAS = 5.0  # by so many standard deviations an estimate must miss the threshold to drop a candidate
 SHRINKS = 0.5  # nodes that cannot link are looked for again while fewer than this share of them stays
-ROUNDS = 2  # of comparisons with a pivot, before all unconnected pairs
+ROUNDS = 2  # of comparisons with a pivot, before those by rare shingles
+RARE = 16  # nodes that have a rare shingle, at most: pairs by rare shingles are at most RARE / 2 for each time one occurs
 MAX_IDS = 1 << 21  # ids (about 64 MB) that are broadcast to pick rows by; more are joined by a shuffle
 
 _ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -164,7 +167,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _shared_shingles(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) and (node, component) to (node, most): how many shingles of a node occur in another component too."""
+    """(node, text) and (node, component) to (node, component, s, n): shingles that another component has too, and how many nodes have them."""
 
     def run(batches):
         for batch in batches:
@@ -176,8 +179,32 @@ def _shared_shingles(texts: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own, pa.array(values.view(np.int64))], names=["node", "component", "s"])
 
     each = texts.join(broadcast_if_small(nodes, MAX_IDS), "node").select("node", "component", "text").mapInArrow(run, "node bigint, component bigint, s bigint")
-    mixed = each.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
-    return each.join(mixed, "s").groupBy("node").agg(F.count(F.lit(1)).alias("most"))
+    mixed = each.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("s", "n")
+    return each.join(mixed, "s")
+
+
+def _last_pairs(near: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components whose shared shingles could be enough; near: key, node, component, size.
+
+    |x & y| is at most the smaller count of common shingles plus the rare ones that both have. So a pair shares a rare
+    shingle, or the smaller count of common ones is enough: the first meet over the shingle, the others in a bucket.
+    """
+    common = shingles.where(f"n > {RARE}").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+    facts = near.select("node", "size").distinct().join(common, "node", "left").select("node", "size", F.coalesce("common", F.lit(0)).alias("common"))
+    rare = shingles.where(f"n <= {RARE}").select("s", "node", "component")
+    other = rare.select("s", F.col("node").alias("b"), F.col("component").alias("cb"))
+    met = rare.join(other, "s").where("node < b and component <> cb").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("met"))
+    side = lambda c: facts.select(F.col("node").alias(c), F.col("size").alias(f"s{c}"), F.col("common").alias(f"c{c}"))
+    enough = lambda n: f"(100 + {percent}) * ({n}) >= {percent} * (sa + sb)"
+    by_rare = met.join(side("a"), "a").join(side("b"), "b").where(enough("met + least(ca, cb)")).select("a", "b")
+
+    rich = near.join(facts.select("node", "common"), "node")
+    least = rich.groupBy("key").agg(F.min("size").alias("least"))
+    rich = rich.join(least, "key").where(f"(100 + {percent}) * common >= {percent} * (size + least)")
+    left = rich.select("key", F.col("node").alias("a"), F.col("component").alias("ka"), F.col("size").alias("sa"), F.col("common").alias("ca"))
+    right = rich.select("key", F.col("node").alias("b"), F.col("component").alias("kb"), F.col("size").alias("sb"), F.col("common").alias("cb"))
+    by_bucket = left.join(right, (left["key"] == right["key"]) & F.expr("a < b and ka <> kb") & F.expr(enough("least(ca, cb)"))).select("a", "b")
+    return by_rare.union(by_bucket)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -235,7 +262,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def may_link(near: DataFrame) -> DataFrame:
         """Rows of open buckets without nodes that share too little with other components to link with any node there."""
-        most = _shared_shingles(text, scratch.put(near.select("node", "component").distinct()))
+        shared = _shared_shingles(text, scratch.put(near.select("node", "component").distinct()))
+        most = shared.groupBy("node").agg(F.count(F.lit(1)).alias("most"))
         near = near.select("key", "node", "component").join(size, "node").join(most, "node")
         # 100 |x & y| >= percent |x | y| means (100 + percent) |x & y| >= percent (|x| + |y|)
         least = near.groupBy("key").agg(F.min("size").alias("least"))
@@ -257,9 +285,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if turn < ROUNDS - 1:
             pairs = of_pivot(near, F.xxhash64(F.lit(turn), "node"))
         else:
-            other = near.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), F.col("most").alias("mb"))
-            fits = f"(100 + {percent}) * least(most, mb) >= {percent} * (size + sb)"
-            pairs = near.withColumnRenamed("node", "a").join(other, "key").where(f"a < b and component <> cb and {fits}").select("a", "b")
+            pairs = _last_pairs(near, scratch.put(_shared_shingles(text, scratch.put(near.select("node", "component").distinct()))), percent)
         tried = decided.select("a", "b").union(decided.select(F.col("b").alias("a"), F.col("a").alias("b")))
         found = confirm(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
         decided, new = decided.union(found), found.where("ok").select("a", "b")
