@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.shared import Scratch
-from weftline.llm.text import mix, powers
+from weftline.llm.text import chunks, mix, powers, utf8
 
 LIMIT = 2048
 STEPS = 200  # of the least-squares fit
-CHUNK_CHARS = 1 << 19
-CACHE_WORDS = 3_000_000
+CHUNK_BYTES = 1 << 18  # of texts that are encoded together
+CACHE_WORDS = 50_000  # words a worker keeps between chunks
 SAFE = 0x300  # below this code point NFC changes nothing and lower case is one to one, but for those marked unsafe
 
 # ---- tokens -----------------------------------------------------------------------------------------------------------
@@ -47,14 +47,14 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 class Tokens:
     """Token ids of whole texts: pre-tokens are found and hashed in bulk, and each distinct one is encoded once.
 
-    Texts with characters whose normalisation depends on context go to the tokenizer whole. Ids are the tokenizer's own.
+    Texts with characters whose normalisation depends on context, or with what may be a special token (<|), go to the
+    tokenizer whole. Ids are the tokenizer's own, special tokens in a text included.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -72,8 +72,9 @@ class Tokens:
         lines = self.tok.encode_batch_fast([" ".join(words[i : i + step]) for i in range(0, len(words), step)], add_special_tokens=False)
         ids = np.concatenate([np.asarray(e.ids, dtype=np.uint32) for e in lines])
         stop = np.flatnonzero(self.ends[ids]) + 1
-        if len(stop) != len(words):
-            raise AssertionError("a pre-token did not end in a word end")
+        if len(stop) != len(words) or (len(stop) and stop[-1] != len(ids)):  # some word is no single pre-token: one by one
+            each = [np.asarray(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+            ids, stop = np.concatenate(each), np.cumsum([len(x) for x in each])
         size = np.diff(stop, prepend=0)
         all_h = np.concatenate([self.hashes, hashes])
         order = np.argsort(all_h)
@@ -82,18 +83,7 @@ class Tokens:
         self.hashes, self.ids = all_h[order], np.concatenate([self.ids, ids])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        i = 0
-        while i < len(texts):
-            j, n = i, 0
-            while j < len(texts) and (j == i or n + len(texts[j]) <= CHUNK_CHARS):
-                n += len(texts[j])
-                j += 1
-            out += self._chunk(texts[i:j])
-            i = j
-        return out
-
-    def _chunk(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text; memory grows with all of them together."""
         whole = "\n".join(texts) + "\n"
         raw = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         raw = np.minimum(raw, SAFE)
@@ -101,6 +91,8 @@ class Tokens:
         begins = np.concatenate([[0], ends[:-1]])
         kind, low = self.kind[raw], self.lower[raw]
         odd = np.add.reduceat(kind == _UNSAFE, begins) > 0
+        if "<|" in whole:
+            odd |= np.array(["<|" in t for t in texts])
         solid = kind != _SPACE
         start = solid.copy()
         start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
@@ -163,14 +155,16 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
         if name not in _READY:
             _READY[name] = Tokens(name)
         for batch in batches:
-            doc, rows = batch.column("doc_id"), ([], [], [], [], [])
-            for k, ids in enumerate(_READY[name].encode([t or "" for t in batch.column("text").to_pylist()])):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for p, a in enumerate(range(0, len(ids), limit)):
-                    cut = ids[a : a + limit]
-                    for col, v in zip(rows, (k, p, a, len(cut), cut.tobytes())):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([doc.take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+            for i, j in chunks(utf8(batch.column("text"))[1], CHUNK_BYTES):
+                part, rows = batch.slice(i, j - i), ([], [], [], [], [])
+                for k, ids in enumerate(_READY[name].encode([t or "" for t in part.column("text").to_pylist()])):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    for p, a in enumerate(range(0, len(ids), limit)):
+                        cut = ids[a : a + limit]
+                        for col, v in zip(rows, (k, p, a, len(cut), cut.tobytes())):
+                            col.append(v)
+                doc = part.column("doc_id").take(pa.array(rows[0], pa.int64()))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
@@ -287,7 +281,9 @@ def _close(room, spaces, space, parts, count):
 
 
 def place_pieces(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """pieces (a written table with doc_id, piece, length) plus sequence_id and offset.
+    """pieces (a written table with doc_id, piece, length) plus sequence_id and offset; a column _salt goes.
+
+    _salt, if there, differs in rows that are else equal, so that they too spread over slices.
 
     The rank of a piece within its length, in an order of hashed slices that are counted first, tells which repeat of
     which pattern takes it. The plan, whose size does not depend on the number of pieces, is a closure of the tasks.
@@ -295,6 +291,7 @@ def place_pieces(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     spark = pieces.sparkSession
     n = pieces.count()
     slices = max(8, min(1 << 16, n // 50_000))
+    names = [c for c in pieces.columns if c != "_salt"]
     other = [c for c in pieces.columns if c not in ("doc_id", "piece", "length")]
     # hashed by all columns: copies of one doc_id spread too
     sliced = pieces.withColumn("_s", F.pmod(F.xxhash64(F.lit(3), *pieces.columns), F.lit(slices)))
@@ -326,9 +323,7 @@ def place_pieces(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     froms = counts.withColumn("_from", before).select("length", "_s", "_from")
     ranked = sliced.join(froms, ["length", "_s"])
     order = Window.partitionBy("length", "_s").orderBy("doc_id", "piece", *other)
-    ranked = ranked.withColumn("_rank", F.col("_from") + F.row_number().over(order) - 1).select(*pieces.columns, "_rank")
-
-    names = pieces.columns
+    ranked = ranked.withColumn("_rank", F.col("_from") + F.row_number().over(order) - 1).select(*names, "_rank")
 
     def place(batches):
         plan_of = shared.value
@@ -345,7 +340,7 @@ def place_pieces(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
                 off[own] = at[e] + k % times[e] * v
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes if c in names)
     return ranked.mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
 
 
@@ -358,12 +353,16 @@ def sequences(placed: DataFrame) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, keep_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids unless keep_ids is false.
 
-    Tokens are made once: pieces go to the shared folder, without their ids if these are not kept.
+    Tokens are made once: pieces go to the shared folder, without their ids if these are not kept. Rows that repeat are
+    packed one by one; ties in length go by hash. Very long texts are encoded whole, one at a time, and cut into pieces of
+    at most limit. Columns other than doc_id and text are left out. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "pieces")
     cut = token_pieces(docs, tokenizer, limit).withColumn("ids_crc32", F.crc32("ids"))
+    cut = cut.withColumn("_salt", F.monotonically_increasing_id())  # kept as it is written
     return place_pieces(scratch.put(cut if keep_ids else cut.drop("ids")), limit)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
+    """The registered query: pieces of all documents with their sequence and place."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), keep_ids=False)

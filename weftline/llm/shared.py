@@ -2,31 +2,57 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OWNED: set[str] = set()  # folders of this application, deleted when the driver's Python ends
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset and the master is local (tests) a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _own(spark: SparkSession, folder: str) -> None:
+    def end():
+        try:
+            _delete(spark, folder)
+        except (Py4JError, AttributeError, OSError):  # the JVM has gone before; its folder is left
+            pass
+
+    if folder not in _OWNED:
+        _OWNED.add(folder)
+        atexit.register(end)
+
+
 class Scratch:
     """Tables written to the shared folder, so that lineage ends there and a lost executor costs one read.
 
-    put() writes and rereads; drop() deletes a table that only other written tables were made from.
+    put() writes and rereads; drop() deletes a table that only other written tables were made from. Results may still read
+    what is left, so the application's folder goes when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex[:12]}"
+        folder = f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}"
+        _own(spark, folder)
+        self.base = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
         self.paths: dict[int, str] = {}
 
@@ -39,10 +65,8 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t)))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, self.paths.pop(id(t)))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
