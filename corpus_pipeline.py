@@ -6,7 +6,7 @@ text, sketches, targets, length histogram) are made from the stage's input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import langid, mixing, neardup, packing
@@ -21,13 +21,19 @@ def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id; null ids stay."""
+    """One document of each group of near-duplicates, that with the smallest doc_id; null ids stay.
+
+    Rows that share an id are one document: each of its different texts stays once, the row that the hash of the other
+    columns puts first.
+    """
     kept = neardup.near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id")
     kept = Scratch(spark, "kept").put(kept)
-    out = docs.join(kept.distinct(), "doc_id", "left_semi")
+    out = docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
     if kept.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.union(docs.where("doc_id is null")).select(docs.columns)
+        others = F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t])
+        first = Window.partitionBy("doc_id", "text").orderBy(others)
+        out = out.withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
+    return out.union(docs.where("doc_id is null"))
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
