@@ -77,21 +77,36 @@ def plain_mix(spark, rows):
         by.setdefault(r[3], []).append(r)
     targets = plain_targets({s: sum(size[r[0]] for r in part) for s, part in by.items()})
     for s, part in by.items():
-        total = sum(size[r[0]] for r in part)
-        whole, p = divmod(targets[s] / total, 1)
-        out += part * int(whole)
-        if not p:
-            continue
-        rest = targets[s] - whole * total
+        # Expected copies: level x weight of the length class, at most 2; bisect for the level that spends the target.
+        weight = {r[0]: min(8, 1 + int(np.log2(max(size[r[0]], 1)))) / 8 for r in part}
+        low, high = 0.0, 16.0
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(size[r[0]] * min(2, level * weight[r[0]]) for r in part) < targets[s] else (low, level)
+        mean = {k: min(2, round(high * w, 9)) for k, w in weight.items()}
+        whole = {k: int(m) for k, m in mean.items()}
+        p = {k: m - int(m) for k, m in mean.items()}
+        out += [r for r in part for _ in range(whole[r[0]])]
+        rest = targets[s] - sum(whole[r[0]] * size[r[0]] for r in part)
         u = {r[0]: (((number[r[0]] % (1 << 64)) >> 11) + 0.5) / (1 << 53) for r in part}
-        order = sorted(part, key=lambda r: (u[r[0]] / (1 - u[r[0]]) / (p / (1 - p)), number[r[0]]))
-        got = taken = 0
-        while taken < len(order) and got + size[order[taken][0]] <= rest:
-            got += size[order[taken][0]]
-            taken += 1
-        out += order[:taken]
-        near = [r for r in order[taken:] if abs(size[r[0]] - (rest - got)) < rest - got]
-        out += sorted(near, key=lambda r: abs(size[r[0]] - (rest - got)))[:1]
+        drawn = [r for r in part if p[r[0]] > 0]
+        order = sorted(drawn, key=lambda r: (u[r[0]] / (1 - u[r[0]]) / (p[r[0]] / (1 - p[r[0]])), number[r[0]]))
+        took, at, most = set(), 0, float("inf")
+        while True:  # down the ranks to what does not fit, then on with what is small enough for the gap
+            room = rest - sum(size[k] for k in took)
+            while at < len(order) and not (0 < size[order[at][0]] <= most and size[order[at][0]] > room):
+                if 0 < size[order[at][0]] <= most:
+                    took.add(order[at][0])
+                    room -= size[order[at][0]]
+                at += 1
+            at, most = at + 1, room
+            left = [r for r in order if r[0] not in took and size[r[0]]]
+            near = sorted((abs(size[r[0]] - room), n, r[0]) for n, r in enumerate(left) if abs(size[r[0]] - room) < room)
+            on = near and near[0][0] >= min(size[r[0]] for r in left) and near[0][0] > mixing.NEAR * targets[s]
+            if not (on and any(size[r[0]] <= most for r in order[at:])):
+                took |= {near[0][2]} if near else set()
+                break
+        out += [r for r in order if r[0] in took]
     return out
 
 

@@ -1,8 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling. DataFrame functions only.
 
-Each source gets a target by weight, capped at a multiple of its own size; documents get expected copies, whole copies
-are certain, and of the rest a sample is drawn: documents are ranked by random odds divided by inclusion odds and taken
-in that order until the source's remaining words are spent. The sample's size is fixed in words, since that is what the
+Each source gets a target by weight, capped at a multiple of its own size. Within a source a document's expected copies
+grow with its length: fragments say little, so a document of fewer than FULL words weighs less (see interest()), and as
+many copies go to each unit of weight as bring the source's words to its target, none above the cap. The whole part of
+the expected copies is certain. Of the rest a sample is drawn with unequal probabilities: documents are ranked by random
+odds divided by their own inclusion odds and taken in that order until the source's remaining words are spent. The sample's size is fixed in words, since that is what the
 target counts; one closing document, the one nearest to what is then still missing, brings the source to its target. Where
 it would miss by as much as the smallest document left and by over NEAR of the target, documents larger than the rest are set aside and those that still
 fit are taken on down the ranks, until a closing document comes near enough or nothing fits.
@@ -18,6 +20,8 @@ from weftline.llm.shared import Scratch, broadcast_if_small
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SOURCES_BROADCAST = 100_000
+FULL = 128  # words from which a document weighs 1; below, it weighs (1 + floor(log2(words))) / 8
+CLASSES = 8
 NEAR = 0.005  # of its target: a source that a closing document brings so near needs no more rounds
 
 
@@ -25,8 +29,29 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def interest(size: Column) -> Column:
+    """Class of a document by its words, 0 to CLASSES - 1; class k weighs (k + 1) / CLASSES."""
+    return F.least(F.floor(F.log2(F.greatest(size, F.lit(1)))), F.lit(CLASSES - 1)).cast("int")
+
+
+def expected_copies(words: list[Column], target: Column, cap: float) -> Column:
+    """Array of the expected copies of a document of each class, for a source that has these words in each class.
+
+    Copies are level x weight, at most cap. The level is the first, from none capped on, at which the heaviest class that
+    is not capped stays within the cap.
+    """
+    levels = []
+    for k in range(CLASSES - 1, -1, -1):  # classes above k are capped
+        spent = sum(words[k + 1 :], F.lit(0)) * cap
+        rest = sum((w * ((j + 1) / CLASSES) for j, w in enumerate(words[: k + 1])), F.lit(0.0))
+        level = F.when(rest > 0, F.greatest(target - spent, F.lit(0.0)) / rest)
+        levels.append(F.when(level * ((k + 1) / CLASSES) <= cap * (1 + 1e-12), level))
+    level = F.coalesce(*levels, F.lit(cap * CLASSES))
+    return F.array(*[F.least(F.lit(cap), F.round(level * ((k + 1) / CLASSES), 12)) for k in range(CLASSES)])
+
+
 def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(source, source_size) to (source, source_size, target, ratio); one row per source throughout.
+    """(source, source_size) to (source, source_size, target); one row per source throughout.
 
     Sources in code-point order, null last, take the weights in turn. Shares are filled like water: with the sources
     sorted by cap over weight, the level is that of the first source whose share at this level stays within its cap.
@@ -42,7 +67,7 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     s = s.withColumn("_lam", (F.sum("source_size").over(everything) * F.lit(share) - spent) / F.sum("_w").over(falling))
     s = s.withColumn("_lam", F.max(F.when(F.col("_lam") <= F.col("_level"), F.col("_lam"))).over(everything))
     s = s.withColumn("target", F.least("_cap", F.coalesce(F.col("_lam") * F.col("_w"), F.col("_cap"))))
-    return s.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("ratio"))
+    return s.select("source", "source_size", "target")
 
 
 def mix_sources(docs: DataFrame, seed: int = 29, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -59,9 +84,14 @@ def mix_sources(docs: DataFrame, seed: int = 29, share: float = 1.5, cap: float
     light = scratch.put(docs.select("source", word_count(F.col("text")).alias("size"), number.alias("_h")))
     n = light.count()
 
-    plan = scratch.put(source_targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights))
-    plan = plan.withColumn("_whole", F.floor("ratio").cast("int")).withColumn("_p", F.col("ratio") - F.floor("ratio"))
-    plan = scratch.put(plan.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size")))
+    in_class = [F.sum(F.when(interest(F.col("size")) == k, F.col("size")).otherwise(0)).alias(f"_w{k}") for k in range(CLASSES)]
+    sizes = scratch.put(light.groupBy("source").agg(F.sum("size").alias("source_size"), *in_class))
+    plan = source_targets(sizes.select("source", "source_size"), share, cap, weights)
+    words = [F.col(f"_w{k}") for k in range(CLASSES)]
+    plan = plan.join(sizes.drop("source_size").withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    plan = plan.withColumn("_copies", expected_copies(words, F.col("target"), cap))
+    plan = plan.withColumn("_rest", F.col("target") - sum((w * F.floor(F.get("_copies", F.lit(k))) for k, w in enumerate(words)), F.lit(0)))
+    plan = scratch.put(plan.select("source", "source_size", "target", "_copies", "_rest"))
 
     uniform = (F.shiftrightunsigned("_h", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     odds = (F.lit(1.0) * uniform / (1 - uniform)) / (F.col("_p") / (1 - F.col("_p")))
@@ -70,6 +100,8 @@ def mix_sources(docs: DataFrame, seed: int = 29, share: float = 1.5, cap: float
     def ranked(df: DataFrame, table: DataFrame) -> DataFrame:
         table = broadcast_if_small(table, SOURCES_BROADCAST)
         out = df.join(table, same(df, table), "left").drop(table["source"])
+        mean = F.get("_copies", interest(F.col("size")))
+        out = out.withColumns({"_whole": F.floor(mean).cast("int"), "_p": mean - F.floor(mean)})
         return out.withColumn("_q", F.when(F.col("_p") > 0, odds))
 
     bins = int(max(256, min(1 << 20, n // 20_000)))
@@ -120,5 +152,6 @@ def mix_sources(docs: DataFrame, seed: int = 29, share: float = 1.5, cap: float
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    """The registered query: the words the mix takes of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_sources(docs.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
