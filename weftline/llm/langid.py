@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.text import chunks, utf8
+from weftline.llm.shared import small_batches
+from weftline.llm.text import chunks, release, utf8
 
 SEGMENT = 256
 LANES = 1 << 14  # segments and languages parsed side by side
@@ -185,7 +186,7 @@ class CrossParser:
                 mark = np.zeros(many * width, dtype=bool)
                 lanes = tile(a), np.repeat(roots, n), tile(lim), tile(z)
                 count, leaves, _ = self._walk(code, *lanes, mark, line, True)
-                before = np.concatenate([[0], np.cumsum(mark)])
+                before = np.concatenate([[0], np.cumsum(mark, dtype=np.int32)])
                 own = leaves.copy()
                 entered = np.where(tile(inner), -1, lanes[0])
                 while True:
@@ -258,6 +259,7 @@ def identify(docs: DataFrame, labelled: dict[str, str], text_col: str = "text")
     by code point. Rows that repeat are each predicted; columns named like the new ones are replaced; an empty table gives
     no rows. Scoring needs no shuffle; other columns stay in the JVM.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(CrossParser(labelled))
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
@@ -267,6 +269,7 @@ def identify(docs: DataFrame, labelled: dict[str, str], text_col: str = "text")
             for name, score in shared.value.scores(text.slice(i, j - i).to_pylist()):
                 names.append(name)
                 scores.append(score)
+        release()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     out = docs.drop("lang_pred", "score", "_lang").withColumn("_lang", predict(F.col(text_col)))

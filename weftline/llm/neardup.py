@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.shared import Scratch, broadcast_if_small, components
-from weftline.llm.text import chunks, mix, utf8, word_hashes
+from weftline.llm.text import chunks, mix, release, utf8, word_hashes
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 42, 6
@@ -118,6 +118,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     pa.array([r.tobytes() for r in regs], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offs), pa.array(keys[some].ravel())),
                 ], names=["doc_id", "n_shingles", "fp1", "fp2", "regs", "bands"])
+            release()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
 
@@ -162,6 +163,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 common = len(np.intersect1d(sa, held, assume_unique=True))
                 ok.append(100 * common >= percent * (len(sa) + len(held) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+            release()
 
     return both.select("a", "b", "ta", "tb").mapInArrow(decide, "a bigint, b bigint, ok boolean")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.shared import Scratch
-from weftline.llm.text import chunks, mix, powers, utf8
+from weftline.llm.text import chunks, mix, powers, release, utf8
 
 LIMIT = 2048
 STEPS = 200  # of the least-squares fit
@@ -165,6 +165,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
                             col.append(v)
                 doc = part.column("doc_id").take(pa.array(rows[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([doc, pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+            release()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")

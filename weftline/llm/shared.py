@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch between the JVM and a Python worker; the default of 10000 rows of text is too much
 _OWNED: set[str] = set()  # folders of this application, deleted when the driver's Python ends
 
 
@@ -24,6 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session has a smaller bound: rows of text are of any length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)([a-z]*)", str(spark.conf.get(key, "64MB")).lower())
+    unit = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20}.get(now[2]) if now else None
+    if unit is None or int(now[1]) * unit > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -50,6 +61,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         folder = f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}"
         _own(spark, folder)
         self.base = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -13,6 +15,14 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POWERS = np.ones(1, dtype=np.uint64)
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+
+
+def release() -> None:
+    """Give memory that a batch has left unused back to the system: the worker lives on and serves other stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
