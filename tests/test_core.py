@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from weftline.operators import extract, graph, scan
+from weftline.operators import extract, graph, scan, style
+from weftline.sources import files
 
 CARD = """import { useState } from 'react';
 import { Button } from './Button';
@@ -21,7 +22,7 @@ def test_contracts(spark, tmp_path):
     (tmp_path / "src/routes.ts").write_text(ROUTES)
     (tmp_path / "src/cli/run.ts").write_text("const x = 1;\n")
     (tmp_path / "src/Card.test.tsx").write_text(CARD)
-    rows = {r["path"].rsplit("/", 1)[1]: r for r in extract.contracts(scan.read_sources(spark, str(tmp_path))).collect()}
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in extract.contracts(files.read_sources(spark, str(tmp_path))).collect()}
     assert set(rows) == {"Card.tsx", "routes.ts", "run.ts"}
     card = rows["Card.tsx"]
     assert (card["kind"], card["hooks"], card["components"], card["imports"], card["functions"]) == ("react:component", ["useState"], ["Button"], ["./Button", "react"], ["Card"])
@@ -55,20 +56,41 @@ def test_secrets_and_masking(spark):
 
 def test_classes_and_paths(spark):
     df = spark.createDataFrame([("md:hover:flex",), ("!p-4",), ("bg-red-500",), ("foo",)], "c string")
-    assert [r[0] for r in df.select(extract.class_category(extract.strip_variants(F.col("c")))).collect()] == ["layout", "spacing", "colors", "other"]
+    assert [r[0] for r in df.select(style.class_category(F.col("c"))).collect()] == ["layout", "spacing", "colors", "other"]
     one = spark.createDataFrame([("src/app/(shop)/cart/page.tsx",)], "p string").select(extract.route_role(F.col("p")), extract.segment_path(F.col("p"))).first()
     assert tuple(one) == ("page", "/cart")
 
 
-def test_queries_agree_with_sql(spark):
+def test_every_query_agrees_with_sql(spark):
     import duckdb
 
-    import __spark_entry__ as e
+    from weftline.plans.registry import ORACLES, QUERIES
 
+    sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "customer", "events", "pages"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
-    for name in ("hash_index_dups", "compare_facets", "watch_debounce", "extract_links"):
-        ours = e.queries()[name](spark, "/root/testdata/sf0.001")
-        cols = ours.columns
-        assert sorted(map(repr, map(tuple, ours.collect()))) == sorted(map(repr, con.sql(f"SELECT {', '.join(cols)} FROM ({e.oracle_sql()[name]})").fetchall())), name
+    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, run in QUERIES.items():
+        ours = run(spark, sf)
+        names = ", ".join(f'"{c}"' for c in ours.columns)
+        want = con.sql(f"SELECT {names} FROM ({ORACLES[name]})").fetchall()
+        assert sorted(map(repr, map(tuple, ours.collect()))) == sorted(map(repr, want)), name
+
+
+def test_extractors_take_null_and_empty_texts(spark):
+    rows = [("src/a.ts", None), ("src/b.ts", ""), ("src/c.ts", "<"), ("src/d.tsx", "x".join(["/*"] * 50))]
+    out = {r["path"]: r for r in extract.contracts(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert len(out) == 4 and out["src/a.ts"]["error"] == "no text" and out["src/b.ts"]["error"] is None
+    assert out["src/b.ts"]["kind"] == "ts:module" and out["src/b.ts"]["functions"] == [] and out["src/b.ts"]["exports"]["form"] is None
+    assert style.style(spark.createDataFrame(rows, "path string, text string")).where("class_count > 0").count() == 0
+
+
+def test_style_sheets_and_libraries(spark):
+    text = "import './a.scss';\nimport { Button as B, Card } from '@mui/material';\nimport styled from 'styled-components';\nimport { motion } from 'framer-motion';\nconst Box = styled.div`color: ${props => props.theme.c};`;\nexport const X = () => <motion.div whileHover={{ scale: 2 }}><B/><B/><Card className={cn('p-1', ok && \"md:flex\")}/><style jsx global>{`.x { color: red; }`}</style></motion.div>;"
+    src = spark.createDataFrame([("src/X.tsx", text)], "path string, text string")
+    sheet = spark.createDataFrame([("src/a.scss", "$w: 1px;\n.box { &:hover { color: red; } margin: 0; }\n@media print { .y { top: 1px; } }")], "path string, text string")
+    r = style.with_sheets(style.style(src), sheet).first()
+    assert sorted(r["classes"]) == ["md:flex", "p-1"] and r["style_sheet"] == "./a.scss" and r["sheet"]["has_nesting"] and r["sheet"]["has_variables"] and r["sheet"]["has_media"]
+    assert r["sheet"]["properties"] == ["color", "margin", "top"] and r["styled"]["tags"] == ["div"] and r["styled"]["theme"] and r["motion"]["gestures"] and r["motion"]["tags"] == ["div"]
+    assert r["styled_jsx"]["global"] and r["styled_jsx"]["details"]["properties"] == ["color"] and r["animation"]["library"] == "motion"
+    assert [(x["component"], x["n"]) for x in style.ui_usage(src, "path", "@mui/material", 20).orderBy("rank").collect()] == [("Button", 2), ("Card", 1)]

@@ -1,106 +1,447 @@
-"""Extractors that are column expressions over source text, and rules over what they extract."""
+"""Extractors that are column expressions over source text, and rules over what they extract.
+
+Source text is read by regular expressions after comments are taken out, so declared types are kept as they are written.
+Every extractor gives an empty array, not an error, where nothing is found; a null text gives null.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Class categories, first match wins.
-CATEGORIES = [
-    ("layout", r"^(flex|grid|block|inline|hidden|container|items-|justify-|col-|row-)"), ("spacing", r"^-?(p|m)[xytrbl]?-|^gap-|^space-"),
-    ("sizing", r"^(w|h|min-w|min-h|max-w|max-h)-"), ("typography", r"^(font-|leading-|tracking-|text-(xs|sm|base|lg|xl|left|center|right))"),
-    ("colors", r"^(bg|text|from|to|via)-"), ("borders", r"^(border|rounded|ring)"), ("effects", r"^(shadow|opacity)"),
-    ("transitions", r"^(transition|duration|ease|animate)"), ("position", r"^(absolute|relative|fixed|sticky|top-|left-|z-)"),
-]
-VARIANTS = r"^((sm|md|lg|xl|2xl|hover|focus|active|disabled|dark|group-hover):)+"
+STRING = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"
+NO_CALL = ("if", "for", "while", "switch", "catch", "function", "return", "constructor")
+
+# Names of built-in composition functions.
+VUE_BUILTINS = (
+    "ref", "reactive", "computed", "watch", "watchEffect", "onMounted", "onUnmounted", "onBeforeMount", "onBeforeUnmount",
+    "onUpdated", "onBeforeUpdate", "onActivated", "onDeactivated", "onErrorCaptured", "onRenderTracked", "onRenderTriggered",
+    "provide", "inject", "toRef", "toRefs", "isRef", "unref", "shallowRef", "triggerRef", "customRef", "shallowReactive",
+    "readonly", "isReactive", "isReadonly", "toRaw", "markRaw", "effectScope", "getCurrentScope", "onScopeDispose",
+    "useSlots", "useAttrs", "useCssModule", "useCssVars", "defineProps", "defineEmits", "defineExpose", "withDefaults",
+)
+# Runtime type constructors and the types they stand for.
+VUE_TYPES = {"String": "string", "Number": "number", "Boolean": "boolean", "Array": "any[]", "Object": "object", "Function": "function", "Date": "Date"}
+
+
+def _all(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _part(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract(text, pattern, group)
+
+
+def _or_null(text: Column) -> Column:
+    return F.nullif(text, F.lit(""))
+
+
+def sorted_set(items: Column) -> Column:
+    return F.array_sort(F.array_distinct(items))
 
 
 def all_of(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))))
+    return sorted_set(_all(text, pattern, group))
+
+
+def without_comments(text: Column) -> Column:
+    """Strings stay as they are, comments become nothing."""
+    return F.regexp_replace(text, rf"({STRING})|/\*(?s:.*?)\*/|//[^\n]*", "$1")
+
+
+def without_strings(text: Column) -> Column:
+    """Comments and the contents of strings become nothing."""
+    return F.regexp_replace(without_comments(text), STRING, '""')
+
+
+# ---- modules ----------------------------------------------------------------------------------------------------------
 
 
 def imports(text: Column) -> Column:
-    return all_of(text, r"(?m)^\s*import\s[^;'\"]*['\"]([^'\"]+)['\"]")
+    """Distinct module names of import declarations, sorted."""
+    return all_of(without_comments(text), r"(?m)^\s*import\s+(?:[^'\";()]*?\sfrom\s*)?['\"]([^'\"]+)['\"]")
+
+
+def functions(text: Column) -> Column:
+    """Top-level functions, variables that hold an arrow function, and methods of classes anywhere."""
+    code = without_strings(text)
+    named = _all(code, r"(?m)^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)")
+    arrows = _all(code, r"(?m)^(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=\n]+)?=>")
+    methods = _all(code, r"(?m)^[ \t]+(?:(?:public|private|protected|static|async|override)\s+)*(\w+)\s*\([^)]*\)\s*(?::\s*[^{\n]+)?\{[ \t]*$")
+    return sorted_set(F.concat(named, arrows, F.filter(methods, lambda m: ~m.isin(*NO_CALL))))
+
+
+def exported_names(text: Column) -> Column:
+    code = without_strings(text)
+    declared = _all(code, r"(?m)^export\s+(?:async\s+)?(?:abstract\s+)?(?:function\s*\*?|class|const|let|var)\s+(\w+)")
+    lists = F.flatten(F.transform(_all(code, r"(?m)^export\s*\{([^}]*)\}"), lambda s: F.split(s, ",")))
+    return sorted_set(F.concat(declared, F.filter(F.transform(lists, lambda s: _part(s, r"^\s*(?:type\s+)?(\w+)")), lambda s: s != "")))
+
+
+def exports(text: Column) -> Column:
+    """form (default, named for one name, list for more, null for none) and, for a list, the sorted names.
+
+    A default export of a declaration outranks names; one of an expression does not count, nor do exported types.
+    """
+    default = without_strings(text).rlike(r"(?m)^export\s+default\s+(?:async\s+)?(?:abstract\s+)?(?:function|class)\b")
+    names = exported_names(text)
+    form = F.when(default, "default").when(F.size(names) == 1, "named").when(F.size(names) > 1, "list")
+    return F.struct(form.alias("form"), F.when(form == "list", names).alias("named"))
+
+
+def variables(text: Column) -> Column:
+    """Names of module-level variables, without setters of a state pair."""
+    lines = _all(without_comments(text), r"(?m)^((?:export\s+)?(?:const|let|var)\s+\w+[^\n]*)")
+    kept = F.filter(lines, lambda s: ~(s.rlike(r"^(?:export\s+)?(?:const|let|var)\s+set") & s.contains("useState")))
+    return sorted_set(F.transform(kept, lambda s: _part(s, r"^(?:export\s+)?(?:const|let|var)\s+(\w+)")))
+
+
+# ---- components -------------------------------------------------------------------------------------------------------
 
 
 def hooks(text: Column) -> Column:
-    return all_of(text, r"(?:^|[^\w.])(use[A-Z]\w*)\s*[(<]")
+    """Functions named use and a capital that are called, but not as a member."""
+    return all_of(without_strings(text), r"(?<![\w.$])(?<!function )(use[A-Z]\w*)\s*(?:<[^>()]*>)?\(")
 
 
 def components(text: Column) -> Column:
-    return all_of(text, r"<([A-Z][\w.]*)[\s/>]")
+    """Tags that begin with a capital; dotted names are kept."""
+    return all_of(without_strings(text), r"(?<![\w)\]])<([A-Z][\w.]*)(?=[\s/>])")
 
 
-def functions(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.concat(all_of(text, r"(?m)^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)"), all_of(text, r"(?m)^(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)[^=\n]*=>"))))
+def has_jsx(text: Column) -> Column:
+    return without_strings(text).rlike(r"(?<![\w)\]])<(?:[A-Za-z][\w.]*(?:\s[^<>]*)?/?>|>)")
+
+
+def exported_hook(text: Column) -> Column:
+    """Whether a function named use and a capital is exported by its declaration or by a list."""
+    return F.exists(exported_names(text), lambda n: n.rlike("^use[A-Z]")) | without_strings(text).rlike(r"(?m)^export\s+default\s+(?:async\s+)?function\s+use[A-Z]")
+
+
+def hook_parameters(text: Column) -> Column:
+    """name, type, optional of the parameters of exported hooks: the annotation, else what the default value shows, else any."""
+    heads = _all(without_comments(text), r"(?m)^export\s+(?:default\s+)?(?:async\s+)?(?:function\s+use[A-Z]\w*|const\s+use[A-Z]\w*\s*=\s*(?:async\s*)?)\s*\(([^)]*)\)")
+    params = F.filter(F.flatten(F.transform(heads, lambda h: F.split(h, r",(?![^<{\[]*[>}\]])"))), lambda p: F.trim(p) != "")
+
+    def one(p: Column) -> Column:
+        declared, value, rest = _or_null(F.trim(_part(p, r"^[^:=]*:\s*([^=]+)"))), F.trim(_part(p, r"=\s*(.+)$")), p.rlike(r"^\s*\.\.\.")
+        kind = F.when(declared.isNotNull(), declared).otherwise(F.coalesce(literal_type(value), F.lit("any")))
+        return F.struct(_part(p, r"^\s*(?:\.\.\.)?(\w+)").alias("name"), kind.alias("type"), ((p.rlike(r"^\s*\w+\s*\?") | (value != "")) & ~rest).alias("optional"))
+
+    return F.transform(params, one)
+
+
+def literal_type(value: Column) -> Column:
+    """Type that a literal shows, else null."""
+    return (
+        F.when(value.isin("true", "false"), "boolean").when(value.rlike(r"^-?\d+(\.\d+)?$"), "number").when(value.rlike("^[\"'`]"), "string")
+        .when(value == "null", "null").when(value.rlike(r"^\["), "array").when(value.rlike(r"^\{"), "object")
+    )
+
+
+def strip_undefined(kind: Column) -> Column:
+    """A union type without its undefined member."""
+    kind = F.regexp_replace(F.regexp_replace(kind, r"\bundefined\b\s*\|\s*", ""), r"\s*\|\s*\bundefined\b", "")
+    return F.trim(F.regexp_replace(kind, r"\s*\|\s*\|\s*", " | "))
+
+
+def prop_type(kind: Column, optional: Column) -> Column:
+    """type, optional (null unless true), literals and signature of a declared type.
+
+    Two or more literals in a union are a literal-union, what holds an arrow is a function, everything else its own text.
+    """
+    literal = r"(?:[\"'][^\"']*[\"']|0x[0-9A-Fa-f]+|-?\d+(?:\.\d+)?|true|false|null)"
+    kind = strip_undefined(kind)
+    union = kind.rlike(rf"^{literal}(?:\s*\|\s*{literal})+$")
+    literals = F.transform(F.split(kind, r"\|"), lambda s: F.regexp_replace(F.trim(s), r"^([\"'])(.*)\1$", "$2"))
+    return F.struct(
+        F.when(union, "literal-union").when(kind.contains("=>"), "function").otherwise(kind).alias("type"),
+        F.when(optional, True).alias("optional"), F.when(union, literals).alias("literals"),
+        F.when(~union & kind.contains("=>"), kind).alias("signature"),
+    )
+
+
+def props(text: Column) -> Column:
+    """name, type, optional, literals, signature of the members of interfaces and types whose name ends in Props; sorted."""
+    code = without_comments(text)
+    bodies = _all(code, r"(?:interface|type)\s+\w*(?i:props)\b[^{;\n]*\{((?:[^{}]|\{[^{}]*\})*)\}")
+    members = F.flatten(F.transform(bodies, lambda b: _all(b, r"(?:^|[;,\n])\s*((?:readonly\s+)?\w+\??\s*:\s*(?:[^;\n{]|\{[^{}]*\})+)")))
+
+    def one(m: Column) -> Column:
+        declared = F.trim(F.regexp_replace(_part(m, r"(?s)^[^:]*:\s*(.*)$"), r",\s*$", ""))
+        p = prop_type(declared, m.rlike(r"^(?:readonly\s+)?\w+\?") | declared.rlike(r"\bundefined\b"))
+        return F.struct(_part(m, r"^(?:readonly\s+)?(\w+)").alias("name"), p["type"].alias("type"), p["optional"].alias("optional"), p["literals"].alias("literals"), p["signature"].alias("signature"))
+
+    return F.array_sort(F.array_distinct(F.transform(members, one)))
+
+
+def events(text: Column, own: Column) -> Column:
+    """name, signature of on… attributes that are also own props; the last of a name counts.
+
+    The signature is that of the prop, else the parameters of an arrow function given, else none.
+    """
+    found = F.transform(_all(without_comments(text), r"\s(on[A-Z]\w*=\{(?:[^{}]|\{[^{}]*\})*\})"), lambda s: F.struct(_part(s, r"^(\w+)").alias("name"), _part(s, r"(?s)=\{(.*)\}$").alias("value")))
+    names = sorted_set(F.transform(F.filter(found, lambda a: F.exists(own, lambda p: p["name"] == a["name"])), lambda a: a["name"]))
+
+    def one(n: Column) -> Column:
+        value = F.try_element_at(F.filter(found, lambda a: a["name"] == n), F.lit(-1))["value"]
+        arrow = _or_null(_part(value, r"^\s*(?:async\s*)?(\([^)]*\))\s*=>"))
+        prop = F.try_element_at(F.filter(own, lambda p: p["name"] == n), F.lit(-1))
+        return F.struct(n.alias("name"), F.coalesce(prop["signature"], F.concat(arrow, F.lit(" => void")), F.lit("() => void")).alias("signature"))
+
+    return F.transform(names, one)
+
+
+def jsx_routes(text: Column) -> Column:
+    """Literal values of link attributes that are paths, sorted."""
+    found = _all(without_comments(text), r"\b((?:path|to|href|as|route|src)=(?:\"[^\"]*\"|'[^']*'|\{\s*[\"'][^\"']*[\"']\s*\}))")
+    values = F.transform(found, lambda s: _part(s, r"=\{?\s*[\"']([^\"']*)[\"']"))
+    return sorted_set(F.filter(values, lambda v: v.rlike(r"(?i)^/[a-z0-9\-_/:.]*$")))
 
 
 def state(text: Column) -> Column:
     """[name, type] of each useState pair: generic argument, else sniffed from the initial value."""
-    found = F.regexp_extract_all(text, F.lit(r"(\[\s*\w+\s*,\s*set\w+\s*\]\s*=\s*useState(?:<[^>]*>)?\([^)]*\))"), F.lit(1))
-    name = lambda s: F.regexp_extract(s, r"\[\s*(\w+)", 1)
-    return F.transform(found, lambda s: F.struct(name(s).alias("name"), state_type(s).alias("type")))
+    found = _all(text, r"(\[\s*\w+\s*,\s*set\w+\s*\]\s*=\s*(?:React\.)?useState(?:<[^>]*>)?\([^)]*\))")
+    return F.transform(found, lambda s: F.struct(_part(s, r"\[\s*(\w+)").alias("name"), state_type(s).alias("type")))
 
 
 def state_type(call: Column) -> Column:
-    generic, value = F.regexp_extract(call, r"useState<([^>]*)>", 1), F.regexp_extract(call, r"useState(?:<[^>]*>)?\(([^)]*)", 1)
+    generic, value = _part(call, r"useState<([^>]*)>"), _part(call, r"useState(?:<[^>]*>)?\(([^)]*)")
     return (
         F.when(generic != "", generic).when(value.isin("true", "false"), "boolean").when(value.rlike(r"^\d+$"), "number")
         .when(value.rlike("^[\"'`]"), "string").when(value == "null", "null").when(value.rlike(r"^\["), "array").when(value.rlike(r"^\{"), "object").otherwise("unknown")
     )
 
 
-def express_routes(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"((?:app|router)\.(?:get|post|put|delete|patch|all)\(\s*['\"][^'\"]*['\"]\s*,\s*\w*)"), F.lit(1))
-    part = lambda s, p: F.regexp_extract(s, p, 1)
-    return F.transform(found, lambda s: F.struct(
-        F.upper(part(s, r"\.(\w+)\(")).alias("method"), part(s, r"['\"]([^'\"]*)['\"]").alias("path"),
-        F.coalesce(F.nullif(part(s, r",\s*(\w*)$"), F.lit("")), F.lit("anonymous")).alias("handler"), F.regexp_extract_all(s, F.lit(r":(\w+)"), F.lit(1)).alias("params"),
+# ---- Vue --------------------------------------------------------------------------------------------------------------
+
+
+def vue_composables(text: Column) -> Column:
+    called = all_of(without_strings(text), r"(?<![\w.$])(?<!function )([A-Za-z]\w*)\s*(?:<[^()]*?>)?\(")
+    return F.filter(called, lambda n: n.rlike("^use[A-Z]") | n.isin(*VUE_BUILTINS))
+
+
+def vue_components(text: Column) -> Column:
+    """Tags with a capital and the keys of registered components."""
+    bodies = _all(without_strings(text), r"\bcomponents\s*(?::|=)\s*\{([^}]*)\}")
+    keys = F.transform(F.flatten(F.transform(bodies, lambda b: F.split(b, ","))), lambda s: _part(s, r"^\s*(\w+)"))
+    return sorted_set(F.concat(components(text), F.filter(keys, lambda k: k != "")))
+
+
+def vue_state(text: Column) -> Column:
+    """name, type as function<type>; the type argument, else what the first argument shows, else unknown."""
+    found = _all(without_comments(text), r"(?:const|let|var)\s+(\w+\s*=\s*(?:ref|reactive|computed|shallowRef|shallowReactive)(?:<(?:[^<>]|<[^<>]*>)*>)?\([^)\n]*)")
+
+    def one(s: Column) -> Column:
+        kind = F.coalesce(_or_null(_part(s, r"=\s*\w+<(.*)>\(")), literal_type(F.trim(_part(s, r"\((.*)$"))), F.lit("unknown"))
+        return F.struct(_part(s, r"^(\w+)").alias("name"), F.concat(_part(s, r"=\s*(\w+)"), F.lit("<"), kind, F.lit(">")).alias("type"))
+
+    return F.transform(found, one)
+
+
+def vue_runtime_type(kind: Column) -> Column:
+    mapped = reduce(lambda c, kv: c.when(kind == kv[0], kv[1]), VUE_TYPES.items(), F)
+    element = _part(kind, r"Array\s*as\s*\(\)\s*=>\s*(\w+)\[\]")
+    of_element = reduce(lambda c, kv: c.when(element == kv[0], kv[1]), VUE_TYPES.items(), F).otherwise("any")
+    return mapped.when(element != "", F.concat(of_element, F.lit("[]"))).otherwise(kind)
+
+
+def vue_props(text: Column) -> Column:
+    """name, type, optional of defineProps: the type argument's members, else the keys of the runtime object."""
+    code = without_comments(text)
+    typed = _all(_part(code, r"defineProps<\{((?:[^{}]|\{[^{}]*\})*)\}>"), r"(\w+\??\s*:\s*[^;,\n}]+)")
+    runtime = _all(_part(code, r"defineProps\(\{((?:[^{}]|\{[^{}]*\})*)\}\)"), r"(\w+\s*:\s*(?:\{[^{}]*\}|[^,\n]+))")
+    of_type = F.transform(typed, lambda m: F.struct(_part(m, r"^(\w+)").alias("name"), F.trim(_part(m, r":\s*(.*)$")).alias("type"), m.rlike(r"^\w+\?").alias("optional")))
+    of_value = F.transform(runtime, lambda m: F.struct(
+        _part(m, r"^(\w+)").alias("name"), vue_runtime_type(F.trim(F.when(m.contains("{"), _part(m, r"type\s*:\s*([^,}\n]+)")).otherwise(_part(m, r":\s*(.*)$")))).alias("type"),
+        (~m.rlike(r"required\s*:\s*true")).alias("optional"),
     ))
+    return F.array_sort(F.concat(of_type, of_value))
+
+
+def vue_emits(text: Column) -> Column:
+    """name, signature of defineEmits, in the form of call signatures or of an array of names."""
+    code = without_comments(text)
+    typed = _all(_part(code, r"(?s)defineEmits<(.*?)>\("), r"(\(e:\s*['\"][^'\"]+['\"][^)]*\)\s*:\s*void)")
+    listed = _all(_part(code, r"defineEmits\(\s*\[([^\]]*)\]"), r"['\"]([^'\"]+)['\"]")
+
+    def one(s: Column) -> Column:
+        name, args = _part(s, r"['\"]([^'\"]+)['\"]"), F.trim(_part(s, r"['\"][^'\"]+['\"]\s*,?([^)]*)\)"))
+        return F.struct(name.alias("name"), F.concat(F.lit("(e: '"), name, F.when(args != "", F.concat(F.lit("', "), args)).otherwise("'"), F.lit(") => void")).alias("signature"))
+
+    plain = F.transform(listed, lambda n: F.struct(n.alias("name"), F.concat(F.lit("(e: '"), n, F.lit("') => void")).alias("signature")))
+    return F.concat(F.transform(typed, one), plain)
+
+
+def has_vue_composables(text: Column) -> Column:
+    return text.rlike(r"\b(?:ref|reactive|computed|watch|watchEffect|onMounted|onUnmounted)\s*\(|\b(?:defineProps|defineEmits)\s*[(<]")
+
+
+def has_vue_registration(text: Column) -> Column:
+    return text.rlike(r"defineComponent\s*\(|components\s*:\s*\{|<script\s+setup")
+
+
+# ---- back ends --------------------------------------------------------------------------------------------------------
+
+ROUTE = "array<struct<method:string,path:string,handler:string,params:array<string>>>"
+
 
+def _route(method: Column, path: Column, handler: Column) -> Column:
+    return F.struct(F.upper(method).alias("method"), path.alias("path"), handler.alias("handler"), _all(path, r":(\w+)").alias("params"))
 
-def normalize_prop_type(t: Column) -> Column:
-    """literal-union, function or plain, by the text of a declared type."""
-    literal = r"('[^']*'|\"[^\"]*\"|#[0-9a-fA-F]+|-?\d+(\.\d+)?|true|false|null)"
-    return F.when(t.rlike(rf"^\s*{literal}(\s*\|\s*{literal})+\s*$"), "literal-union").when(t.contains("=>"), "function").otherwise("plain")
+
+def express_routes(text: Column) -> Column:
+    """method, path, handler, params of app and router calls; a handler that is no plain name is anonymous."""
+    found = _all(without_comments(text), r"\b((?:app|router)\.(?:get|post|put|delete|patch|all)\(\s*(?:'[^']*'|\"[^\"]*\"|`[^`]*`)\s*,\s*[^,)\s]*[\s]*[,)]?)")
+
+    def one(s: Column) -> Column:
+        handler = _or_null(_part(s, r"['\"`]\s*,\s*([A-Za-z_$][\w$]*)\s*[,)]$"))
+        return _route(_part(s, r"\.(\w+)\("), _part(s, r"\(\s*['\"`]([^'\"`]*)['\"`]"), F.coalesce(handler, F.lit("anonymous")))
+
+    return F.transform(found, one)
+
+
+def nest_controller(text: Column) -> Column:
+    """name, base path and routes of the first controller class; null without one."""
+    body = _part(without_comments(text), r"(?s)(@Controller\(.*?)(?:\n\}|\z)")
+    found = _all(body, r"(@(?:Get|Post|Put|Delete|Patch)\([^)]*\)(?:\s*@\w+\([^)]*\))*\s*(?:public\s+|async\s+)*\w+\s*\()")
+    routes = F.transform(found, lambda s: _route(_part(s, r"@(\w+)"), _part(s, r"@\w+\(\s*['\"`]([^'\"`]*)"), _part(s, r"(\w+)\s*\($")))
+    name, base = _part(body, r"class\s+(\w+)"), _or_null(_part(body, r"@Controller\(\s*['\"`]([^'\"`]*)"))
+    return F.when(body != "", F.struct(name.alias("name"), base.alias("base_path"), routes.alias("routes")))
+
+
+def backend(imports_of: Column, text: Column) -> Column:
+    code = without_comments(text)
+    express = F.exists(imports_of, lambda i: i == "express") & code.rlike(r"\b(?:app|router)\.(?:get|post|put|delete|patch|all)\s*\(")
+    nest = F.exists(imports_of, lambda i: i.startswith("@nestjs")) & code.rlike(r"@(?:Controller|Get|Post|Put|Delete|Patch)\s*\(")
+    return F.when(express, "express").when(nest, "nest")
+
+
+def api_signature(text: Column, handler: Column) -> Column:
+    """parameters (name, type) and return type of a function, arrow function or method of that name; null if it is not here."""
+    code = without_comments(text)
+    head = F.regexp_extract(code, F.concat(F.lit(r"(?:function\s+|const\s+|(?m:^)\s+(?:async\s+)?)"), handler, F.lit(r"\s*(?:=\s*(?:async\s*)?)?(\((?:[^()]|\([^()]*\))*\)\s*(?::\s*[^={\n]+)?)")), F.lit(1))
+    params = F.filter(F.split(_part(head, r"(?s)^\(((?:[^()]|\([^()]*\))*)\)"), r",(?![^<{]*[>}])"), lambda p: F.trim(p) != "")
+    each = F.transform(params, lambda p: F.struct(_part(p, r"(\w+)\??\s*(?::|$)").alias("name"), F.coalesce(_or_null(F.trim(_part(p, r":\s*(.*)$"))), F.lit("any")).alias("type")))
+    return F.when(head != "", F.struct(each.alias("parameters"), _or_null(F.trim(_part(head, r"\)\s*:\s*(.*)$"))).alias("return_type")))
+
+
+def annotations(text: Column) -> Column:
+    """Annotations @X( in order of appearance, repeats kept."""
+    return _all(without_comments(text), r"@(\w+)\s*\(")
+
+
+# ---- Next.js ----------------------------------------------------------------------------------------------------------
+
+
+def directive(text: Column) -> Column:
+    """client or server, if the first of the first five lines that is no comment says so."""
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, 5), F.trim)
+    first = F.get(F.filter(lines, lambda s: (s != "") & ~s.startswith("//") & ~s.startswith("/*")), F.lit(0))
+    return _or_null(_part(first, r"^['\"]use (client|server)['\"];?$"))
+
+
+def in_app_dir(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/")).rlike(r"(^|/)app/")
 
 
 def route_role(path: Column) -> Column:
     """Role of a file of an app directory, by its base name."""
-    return F.when(path.rlike(r"(^|/)app/"), F.nullif(F.regexp_extract(path, r"/(page|layout|loading|error|not-found|template|default|route)\.tsx?$", 1), F.lit("")))
+    return F.when(in_app_dir(path), _or_null(_part(path, r"(?:^|/)(page|layout|loading|error|not-found|template|default|route)(?:\.tsx?)*$")))
 
 
 def segment_path(path: Column) -> Column:
-    """URL path of an app-directory file; route groups in parentheses go."""
-    inner = F.regexp_replace(F.regexp_extract(path, r"(?:^|/)app/(.*?)[^/]*$", 1), r"\([^)]*\)/", "")
-    return F.concat(F.lit("/"), F.regexp_replace(inner, "/$", ""))
+    """URL path of an app-directory file; route groups in parentheses go. Null outside one."""
+    inner = _part(F.replace(path, F.lit("\\"), F.lit("/")), r"(?:^|/)app(/.*)$")
+    folders = F.regexp_replace(F.regexp_replace(F.regexp_replace(inner, r"/[^/]*$", ""), r"/\([^)]+\)", ""), "^/+|/+$", "")
+    return F.when(inner != "", F.concat(F.lit("/"), folders))
+
+
+def metadata(text: Column) -> Column:
+    """static: the text of the object literal of an exported metadata constant; dynamic: whether a function makes it."""
+    code = without_comments(text)
+    static = _or_null(_part(code, r"(?m)^export\s+const\s+metadata\b[^=]*=\s*(\{(?:[^{}]|\{[^{}]*\})*\})"))
+    return F.struct(static.alias("static"), code.rlike(r"(?m)^export\s+(?:async\s+)?function\s+generateMetadata\b|^export\s+const\s+generateMetadata\b").alias("dynamic"))
+
 
+# ---- rules ------------------------------------------------------------------------------------------------------------
 
-def kind(backend: Column, hook_list: Column, component_list: Column, react: Column, path: Column, text: Column) -> Column:
-    jsx = text.rlike(r"<[A-Za-z][\w.]*[\s/>]")
-    own_hook = text.rlike(r"(?m)^export\s+(default\s+)?(function|const)\s+use[A-Z]")
+
+def kind(text: Column, path: Column, imports_of: Column, hooks_of: Column, components_of: Column) -> Column:
+    """Kind of a file, first rule that fits."""
+    jsx = has_jsx(text)
+    some = lambda p: F.exists(imports_of, lambda i: i.rlike(p))
+    bare = (F.size(components_of) == 0) & ~jsx & exported_hook(text)
+    react = jsx | text.rlike(r"React\.createElement|React\.(?:FC|FunctionComponent|ReactElement)|:\s*JSX\.Element")
     return (
-        F.when(backend, "node:api").when(own_hook & (F.size(component_list) == 0) & ~jsx, "react:hook")
-        .when((F.size(hook_list) > 0) | (F.size(component_list) > 0), "react:component").when(react & jsx, "react:component")
-        .when(path.contains("/cli/") | text.contains("process.argv"), "node:cli").otherwise("ts:module")
+        F.when(backend(imports_of, text).isNotNull(), "node:api").when(some("^vue(/|$)") & bare, "vue:composable")
+        .when(some("^vue(/|$)") & (has_vue_composables(text) | has_vue_registration(text) | (F.size(components_of) > 0)), "vue:component")
+        .when(bare, "react:hook").when((F.size(hooks_of) > 0) | (F.size(components_of) > 0), "react:component")
+        .when(some("^react(/|$)") & react, "react:component").when(path.contains("/cli/") | text.contains("process.argv"), "node:cli").otherwise("ts:module")
     )
 
 
-def contracts(sources):
-    """sources(path, text) to one contract row per file."""
-    t, p = F.col("text"), F.col("path")
-    out = sources.withColumns({"imports": imports(t), "hooks": hooks(t), "components": components(t), "functions": functions(t), "state": state(t), "routes": express_routes(t)})
-    react = F.exists("imports", lambda i: i.rlike("^react(/|$)"))
-    backend = F.exists("imports", lambda i: i == "express") & (F.size("routes") > 0)
-    return out.withColumn("kind", kind(backend, F.col("hooks"), F.col("components"), react, p, t)).drop("text")
+def description(path: Column, kind_of: Column, has_state: Column, has_events: Column) -> Column:
+    """What a file is, by its kind and the words in its name, then by state and events."""
+    name = F.coalesce(_or_null(_part(path, r"([^/]*?)(?:\.tsx?)?$")), F.lit("Component"))
+    low = F.lower(name)
+    has = lambda *words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    module = F.when(has("util", "helper"), "Utility module").when(has("config"), "Configuration module").when(has("type", "interface"), "Type definitions").otherwise("TypeScript module")
+    what = (
+        F.when(kind_of == "node:cli", "CLI entry point").when(kind_of == "ts:module", module).when(kind_of == "react:hook", "Custom React hook")
+        .when(has("button"), "Interactive button component").when(has("form"), "Form component with validation").when(has("modal", "dialog"), "Modal/dialog component")
+        .when(has("input", "field"), "Form input field").when(has("card"), "Card display component").when(has("nav", "menu"), "Navigation component")
+        .when(has_state & has_events, "Interactive component with internal state").when(has_state, "Stateful component").when(has_events, "Interactive component").otherwise("Presentational component")
+    )
+    return F.concat(name, F.lit(" - "), what)
+
+
+def predictions(hooks_of: Column, functions_of: Column, state_names: Column) -> Column:
+    """What the names of hooks, functions and state let expect; independent rules, in fixed order."""
+    hook = lambda *names: F.exists(hooks_of, lambda h: h.isin(*names))
+    like = lambda items, *words: F.exists(items, lambda x: reduce(lambda a, b: a | b, [x.contains(w) for w in words]))
+    return F.array_compact(F.array(
+        F.when(hook("useForm") | like(functions_of, "validate"), "Includes form validation logic"),
+        F.when(hook("useEffect"), "Has side effects managed by useEffect"),
+        F.when(like(hooks_of, "Query", "Mutation") | like(functions_of, "fetch", "load"), "Fetches or mutates external data"),
+        F.when(hook("useMemo", "useCallback"), "Uses memoization for performance optimization"),
+        F.when(hook("useContext"), "Consumes React Context for shared state"), F.when(hook("useRef"), "Uses refs for DOM access or mutable values"),
+        F.when(like(state_names, "loading", "pending"), "Manages loading/pending UI states"), F.when(like(state_names, "error"), "Handles and displays error states"),
+    ))
+
 
+def preset_violations(preset: str, event_names: Column, state_names: Column) -> Column:
+    """Messages for what a contract preset (submit-only, nav-only, display-only, none) forbids or wants."""
+    allowed = {"submit-only": ["onSubmit"], "nav-only": ["onClick"], "display-only": []}.get(preset)
+    if allowed is None:
+        return F.array().cast("array<string>")
+    other = F.filter(event_names, lambda e: ~e.isin(*allowed)) if allowed else event_names
+    named = lambda text, items: F.when(F.size(items) > 0, F.concat(F.lit(text + " ["), F.array_join(items, ", "), F.lit("]")))
+    rules = {
+        "submit-only": [named("Submit-only contract violated: remove events", other)],
+        "nav-only": [named("Nav-only contract violated: remove events", other), F.when(~F.array_contains(event_names, "onClick"), "Nav-only contract expects an onClick navigation handler")],
+        "display-only": [named("Display-only contract violated: no events permitted, found", other), named("Display-only contract should minimize internal state, found", state_names)],
+    }
+    return F.array_compact(F.array(*rules[preset]))
 
-def strip_variants(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(name, VARIANTS, ""), "^!", "")
 
+def contracts(sources: DataFrame) -> DataFrame:
+    """sources(path, text) to one contract row per file: composition, interface, exports, kind and description, routes, error.
 
-def class_category(name: Column) -> Column:
-    out = F
-    for label, pattern in CATEGORIES:
-        out = out.when(name.rlike(pattern), label)
-    return out.otherwise("other")
+    Nothing here throws; a null text gives null facets and says so in error.
+    """
+    t, p = F.col("text"), F.col("path")
+    out = sources.withColumns({"imports": imports(t), "hooks": hooks(t), "components": components(t), "functions": functions(t), "variables": variables(t), "state": state(t), "exports": exports(t), "props": props(t)})
+    out = out.withColumns({"emits": events(t, F.col("props")), "framework": backend(F.col("imports"), t), "kind": kind(t, p, F.col("imports"), F.col("hooks"), F.col("components"))})
+    nest = nest_controller(t)["routes"]
+    routes = F.when(F.col("framework") == "nest", nest).when(F.col("framework") == "express", express_routes(t)).otherwise(F.array().cast(ROUTE))
+    names = F.transform("state", lambda s: s["name"])
+    out = out.withColumns({
+        "routes": routes, "description": description(p, F.col("kind"), F.size("state") > 0, F.size("emits") > 0),
+        "prediction": predictions(F.col("hooks"), F.col("functions"), names),
+        "nextjs": F.when(in_app_dir(p) | directive(t).isNotNull(), F.struct(in_app_dir(p).alias("in_app_dir"), directive(t).alias("directive"), route_role(p).alias("role"), segment_path(p).alias("segment"), metadata(t).alias("metadata"))),
+        "error": F.when(t.isNull(), "no text"),
+    })
+    return out.drop("text")

@@ -1,12 +1,13 @@
-"""Dependency graphs over edges(src, dst) and nodes(id): users, roots, leaves, bounded search, bundles, diffs."""
+"""Dependency graphs over edges(src, dst) and nodes(id): users, roots, leaves, name resolution, bounded search, bundles, diffs."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.paths import normalize, parent, stem
+from weftline.storage import Scratch
+
 
 def used_by(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("n_users"), F.min("src").alias("first_user"))
@@ -20,41 +21,99 @@ def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("src").alias("id")), "id", "left_anti")
 
 
+def _rank(path: Column) -> Column:
+    return F.when(path.endswith(".tsx"), 0).when(path.endswith(".ts"), 1).otherwise(2)
+
+
 def resolve(names: DataFrame, files: DataFrame) -> DataFrame:
     """Name to file: .tsx before .ts before any other base name, then smallest path. names(name), files(path)."""
-    base = F.regexp_extract("path", r"([^/]*)$", 1)
-    stem = F.regexp_replace(base, r"\.[^.]*$", "")
-    rank = F.when(base.endswith(".tsx"), 0).when(base.endswith(".ts"), 1).otherwise(2)
-    by_name = files.groupBy(stem.alias("name")).agg(F.min_by("path", F.struct(rank, "path")).alias("path"))
+    by_name = files.groupBy(stem(F.col("path")).alias("name")).agg(F.min_by("path", F.struct(_rank(F.col("path")), "path")).alias("path"))
     return names.join(by_name, "name", "left")
 
 
-def reach(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(root, id, level): nodes within depth steps of each root, at their smallest level; all roots in one search."""
-    levels = [starts.select(F.col("id").alias("root"), "id", F.lit(0).alias("level"))]
+def resolve_key(keys: DataFrame, files: DataFrame) -> DataFrame:
+    """keys(key) to (key, path): the exact path, else one equal after normalising, else the first of that base name."""
+    exact = files.select(F.col("path").alias("key"), F.col("path").alias("_exact")).distinct()
+    equal = files.groupBy(F.lower(normalize(F.col("path"))).alias("_norm")).agg(F.min("path").alias("_equal"))
+    named = files.groupBy(stem(F.col("path")).alias("_stem")).agg(F.min_by("path", F.struct(_rank(F.col("path")), "path")).alias("_named"))
+    out = keys.withColumns({"_norm": F.lower(normalize(F.col("key"))), "_stem": stem(F.col("key"))})
+    out = out.join(exact, "key", "left").join(equal, "_norm", "left").join(named, "_stem", "left")
+    return out.select(*keys.columns, F.coalesce("_exact", "_equal", "_named").alias("path"))
+
+
+def resolve_dependency(uses: DataFrame, files: DataFrame) -> DataFrame:
+    """uses(src, name) to (src, name, dst): a sibling of src (name.tsx, name.ts, name/index.tsx, name/index.ts), else resolve_key.
+
+    dst is null if nothing fits. Candidates are an equi-join; no file is compared with every name.
+    """
+    near = F.array(*[F.struct(F.lit(k).alias("r"), F.concat(parent(F.col("src")), "name", F.lit(end)).alias("path")) for k, end in enumerate((".tsx", ".ts", "/index.tsx", "/index.ts"))])
+    found = uses.distinct().select("src", "name", F.inline(near)).join(files.select("path").distinct(), "path")
+    found = found.groupBy("src", "name").agg(F.min_by("path", "r").alias("_near"))
+    wide = resolve_key(uses.select(F.col("name").alias("key")).distinct(), files).select(F.col("key").alias("name"), F.col("path").alias("_wide"))
+    return uses.join(found, ["src", "name"], "left").join(wide, "name", "left").select("src", "name", F.coalesce("_near", "_wide").alias("dst"))
+
+
+def reach(starts: DataFrame, edges: DataFrame, depth: int, max_nodes: int | None = None) -> DataFrame:
+    """(root, id, level) of the nodes within depth steps of each root, at their smallest level; all roots in one search.
+
+    Every level is written once and meets the written edges; what was seen before is one table that grows. With max_nodes
+    a search stops at so many nodes, in breadth-first order: by the place of the node that leads there, then by id.
+    """
+    scratch = Scratch(starts.sparkSession, "reach")
+    edges = scratch.put(edges.select("src", "dst").distinct())
+    seen = level = scratch.put(starts.select(F.col("id").alias("root"), "id", F.lit(0).alias("level"), F.lit(1).cast("long").alias("place")))
     for k in range(1, depth + 1):
-        step = levels[-1].join(edges, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).distinct()
-        seen = reduce(DataFrame.union, levels).select("root", "id")
-        levels.append(step.join(seen, ["root", "id"], "left_anti").withColumn("level", F.lit(k)))
-    return reduce(DataFrame.union, levels)
+        step = level.select("root", F.col("id").alias("src"), "place").join(edges, "src").groupBy("root", F.col("dst").alias("id")).agg(F.min("place").alias("_from"))
+        step = step.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("level", F.lit(k))
+        if max_nodes is None:
+            step = step.select("root", "id", "level", F.lit(1).cast("long").alias("place"))
+        else:
+            sizes = seen.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+            order = F.row_number().over(Window.partitionBy("root").orderBy("_from", "id"))
+            step = step.join(sizes, "root").withColumn("place", (F.col("_n") + order).cast("long")).where(F.col("place") <= max_nodes).select("root", "id", "level", "place")
+        level = scratch.put(step)
+        seen = seen.union(level)
+    return seen.select("root", "id", "level") if max_nodes is None else seen
+
+
+def missing(members: DataFrame, uses: DataFrame, depth: int) -> DataFrame:
+    """(root, name, referenced_by): unresolved names of the nodes a search went on from, each with its first referencer.
+
+    members as of reach(); uses(src, name, dst) with a null dst where a name was not found.
+    """
+    order = [c for c in ("level", "place", "id") if c in members.columns]
+    lost = uses.where("dst is null").select(F.col("src").alias("id"), "name").distinct()
+    found = members.where(F.col("level") < depth).join(lost, "id")
+    return found.groupBy("root", "name").agg(F.min_by("id", F.struct(*order)).alias("referenced_by"))
 
 
 def bundle_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges whose both ends are in the same bundle: members(root, id)."""
+    """Edges whose both ends are in the same bundle: members(root, id), a written table."""
     out = members.select("root", F.col("id").alias("src")).join(edges, "src")
     return out.join(members.select("root", F.col("id").alias("dst")), ["root", "dst"], "left_semi").select("root", "src", "dst")
 
 
-def bundle_hash(members: DataFrame, depth: int) -> DataFrame:
-    """uifb: hash over the sorted (id, semantic hash) pairs of each bundle."""
-    text = F.concat_ws(";", F.array_sort(F.collect_list(F.concat_ws("=", "id", "semantic_hash"))))
-    return members.groupBy("root").agg(text.alias("t"), F.count(F.lit(1)).alias("n_nodes")).select("root", "n_nodes", F.concat(F.lit("uifb:"), F.substring(F.sha2(F.concat(F.lit(f"{depth}|"), F.col("t")), 256), 1, 24)).alias("bundle_hash"))
+def bundle_hash(members: DataFrame, depth: int, version: str = "0.1") -> DataFrame:
+    """uifb: hash over the sorted (id, semantic_hash) pairs of each bundle, its depth and the schema version.
+
+    The pairs are hashed in 256 slices by the hash of their id, then the slices: no row holds a bundle whole.
+    """
+    each = members.groupBy("root", F.substring(F.sha2(F.col("id"), 256), 1, 2).alias("slice"))
+    each = each.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("id", "semantic_hash")))), 256).alias("hash"), F.count(F.lit(1)).alias("n"))
+    whole = each.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("slice", "hash"))).alias("nodes"), F.sum("n").alias("n_nodes"))
+    text = F.to_json(F.struct(F.lit(depth).alias("depth"), F.col("nodes"), F.lit(version).alias("schemaVersion")))
+    return whole.select("root", "n_nodes", F.concat(F.lit("uifb:"), F.substring(F.sha2(text, 256), 1, 24)).alias("bundle_hash"))
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, facets: list[str]) -> DataFrame:
-    """(id, op, facet): added, removed, and one changed row per facet that differs; one full outer join."""
-    o = old.select(key, F.lit(True).alias("_o"), *[F.col(c).alias(f"o_{c}") for c in facets])
-    n = new.select(key, F.lit(True).alias("_n"), *[F.col(c).alias(f"n_{c}") for c in facets])
+    """(id, op, facet): added, removed, and one changed row per facet that differs; one full outer join.
+
+    Facets may be of any type; maps and structs are compared by their JSON text.
+    """
+    kinds = dict(old.dtypes)
+    value = lambda c: F.to_json(c) if kinds[c].startswith(("map", "struct", "array<struct", "array<map")) else F.col(c)
+    o = old.select(key, F.lit(True).alias("_o"), *[value(c).alias(f"o_{c}") for c in facets])
+    n = new.select(key, F.lit(True).alias("_n"), *[value(c).alias(f"n_{c}") for c in facets])
     both = o.join(n, key, "full_outer")
     changes = F.array(*[F.when(~F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}")), F.struct(F.lit("changed").alias("op"), F.lit(c).alias("facet"))) for c in facets])
     one = lambda op: F.array(F.struct(F.lit(op).alias("op"), F.lit("entry").alias("facet")))
@@ -62,6 +121,30 @@ def diff(old: DataFrame, new: DataFrame, key: str, facets: list[str]) -> DataFra
     return both.select(F.col(key).alias("id"), F.explode(rows).alias("c")).select("id", "c.op", "c.facet")
 
 
+def compare_folders(old: DataFrame, new: DataFrame, facets: list[str]) -> DataFrame:
+    """(folder, status, added, removed, changed) over rows (folder, id, facets): PASS, DRIFT, ADDED or ORPHANED, with the entries that differ."""
+    keyed = lambda df: df.withColumn("_key", F.struct("folder", "id"))
+    ops = diff(keyed(old), keyed(new), "_key", facets).select(F.col("id.folder").alias("folder"), F.col("id.id").alias("id"), "op").distinct()
+    count = lambda op: F.count_if(F.col("op") == op).alias(op)
+    ops = ops.groupBy("folder").agg(count("added"), count("removed"), count("changed"))
+    sides = old.groupBy("folder").agg(F.lit(True).alias("_o")).join(new.groupBy("folder").agg(F.lit(True).alias("_n")), "folder", "full_outer").join(ops, "folder", "left")
+    n = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("added", "removed", "changed")}
+    status = F.when(F.col("_o").isNull(), "ADDED").when(F.col("_n").isNull(), "ORPHANED").when(n["added"] + n["removed"] + n["changed"] > 0, "DRIFT").otherwise("PASS")
+    return sides.select("folder", status.alias("status"), *[v.alias(k) for k, v in n.items()])
+
+
+def orphans(old: DataFrame, new: DataFrame, on_disk: DataFrame) -> DataFrame:
+    """Paths that the new index does not have any more, but the disk does; all three (path)."""
+    return old.join(new, "path", "left_anti").join(on_disk, "path", "left_semi").select("path").distinct()
+
+
 def affected_roots(members: DataFrame, changed: DataFrame) -> DataFrame:
     """Roots of bundles that hold a changed id."""
     return members.join(changed, "id", "left_semi").select("root").distinct()
+
+
+def reverse_index(members: DataFrame) -> DataFrame:
+    """Per node the number of bundles that hold it and the first."""
+    return members.groupBy("id").agg(F.count(F.lit(1)).alias("n_roots"), F.min("root").alias("first_root"))
+
+

@@ -1,0 +1,3 @@
+"""Registered queries: importing this package fills registry.QUERIES and registry.ORACLES."""
+
+from weftline.plans import registry, source_queries, table_queries  # noqa: F401

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators import contract as C
 from weftline.operators import extract as X
 from weftline.operators import graph as G
 from weftline.operators import scan as S
+from weftline.storage import Scratch
 from weftline.streaming.watch import debounce
 
 QUERIES: dict = {}
@@ -86,14 +88,15 @@ def hash_lock_violations(spark, d):
     return stored.join(now, "id").where("stored <> fresh").select("id")
 
 
-@query("SELECT o_orderkey AS id, 'uif:' || substr(sha256(concat_ws('|', o_orderstatus, o_orderpriority, CAST(o_custkey AS VARCHAR))), 1, 24) AS semantic_hash FROM orders")
+@query("""SELECT o_orderkey AS id, 'uif:' || substr(sha256('{"customer":' || o_custkey || ',"priority":"' || o_orderpriority || '","schemaVersion":"0.4","status":"' || o_orderstatus || '"}'), 1, 24) AS semantic_hash FROM orders""")
 def semantic_hash_orders(spark, d):
-    facets = F.concat_ws("|", "o_orderstatus", "o_orderpriority", F.col("o_custkey").cast("string"))
-    return t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("uif:"), F.substring(F.sha2(facets, 256), 1, 24)).alias("semantic_hash"))
+    text = C.canonical(status=F.col("o_orderstatus"), priority=F.col("o_orderpriority"), customer=F.col("o_custkey"), schemaVersion=F.lit(C.CONTRACT_VERSION))
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), C.short_hash(text).alias("semantic_hash"))
 
 
-@query("""SELECT o_custkey AS root, count(*) AS n_nodes, 'uifb:' || substr(sha256('2|' || string_agg(kv, ';' ORDER BY kv)), 1, 24) AS bundle_hash
-    FROM (SELECT o_custkey, o_orderkey || '=' || o_orderstatus || o_orderpriority AS kv FROM orders) GROUP BY 1""")
+@query("""SELECT root, CAST(sum(n) AS BIGINT) AS n_nodes, 'uifb:' || substr(sha256('{"depth":2,"nodes":' || to_json(list({'slice': slice, 'hash': hash} ORDER BY slice)) || ',"schemaVersion":"0.1"}'), 1, 24) AS bundle_hash
+    FROM (SELECT root, substr(sha256(id), 1, 2) AS slice, count(*) AS n, sha256(to_json(list({'id': id, 'semantic_hash': h} ORDER BY id))) AS hash
+        FROM (SELECT o_custkey AS root, CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus || o_orderpriority AS h FROM orders) GROUP BY 1, 2) GROUP BY 1""")
 def bundle_hash_customer(spark, d):
     o = t(spark, d, "orders").select(F.col("o_custkey").alias("root"), F.col("o_orderkey").cast("string").alias("id"), F.concat("o_orderstatus", "o_orderpriority").alias("semantic_hash"))
     return G.bundle_hash(o, 2)
@@ -172,7 +175,9 @@ def bfs_max_nodes(spark, d):
 
 @query(f"{REACH} SELECT DISTINCT a.root, e.src, e.dst FROM r a JOIN e ON a.id = e.src JOIN r b ON b.root = a.root AND b.id = e.dst")
 def bundle_edges(spark, d):
-    return G.bundle_edges(bfs_depth2(spark, d), fk_graph(spark, d)[1])
+    nodes, edges = fk_graph(spark, d)
+    edges = Scratch(spark, "edges").put(edges)
+    return G.bundle_edges(G.reach(G.roots(nodes, edges), edges, 2), edges)
 
 
 @query(f"{REACH} SELECT id, count(DISTINCT root) AS n_roots, min(root) AS first_root FROM r GROUP BY 1")
