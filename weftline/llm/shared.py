@@ -1,29 +1,16 @@
-"""Shared-folder tables, checked broadcasts and connected components."""
+"""Shared-folder tables, bounds on Arrow batches and connected components."""
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 
-from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 4 << 20  # of an Arrow batch between the JVM and a Python worker; the default of 10000 rows of text is too much
-_OWNED: set[str] = set()  # folders of this application, deleted when the driver's Python ends
-
+from weftline import storage
+from weftline.storage import broadcast_if_small, shared_dir  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset and the master is local (tests) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+BATCH_BYTES = 4 << 20  # of an Arrow batch between the JVM and a Python worker; the default of 10000 rows of text is too much
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -35,55 +22,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _own(spark: SparkSession, folder: str) -> None:
-    def end():
-        try:
-            _delete(spark, folder)
-        except (Py4JError, AttributeError, OSError):  # the JVM has gone before; its folder is left
-            pass
-
-    if folder not in _OWNED:
-        _OWNED.add(folder)
-        atexit.register(end)
-
-
-class Scratch:
-    """Tables written to the shared folder, so that lineage ends there and a lost executor costs one read.
-
-    put() writes and rereads; drop() deletes a table that only other written tables were made from. Results may still read
-    what is left, so the application's folder goes when the driver's Python ends.
-    """
+class Scratch(storage.Scratch):
+    """Tables in the shared folder, written and read in small batches."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
         small_batches(spark)
-        folder = f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}"
-        _own(spark, folder)
-        self.base = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
-        self.paths: dict[int, str] = {}
-
-    def put(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.base}/{self.n}"
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            _delete(self.spark, self.paths.pop(id(t)))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a written table after counting it; beyond max_rows the join stays a shuffle join (split by AQE if skewed)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+        super().__init__(spark, name)
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
