@@ -266,8 +266,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         """Rows of open buckets without nodes that share too little with other components to link with any node there."""
         shared = _shared_shingles(text, scratch.put(near.select("node", "component").distinct()))
         most = shared.groupBy("node").agg(F.count(F.lit(1)).alias("most"))
-        near = near.select("key", "node", "component").join(size, "node").join(most, "node")
-        # 100 |x & y| >= percent |x | y| means (100 + percent) |x & y| >= percent (|x| + |y|)
+        # 100 |x & y| >= percent |x | y| means (100 + percent) |x & y| >= percent (|x| + |y|). First against the smallest set of
+        # all, a row for each node, so that buckets which that closes are left before their members are looked at again.
+        facts = scratch.put(most.join(size, "node").join(near.select("node").distinct(), "node", "left_semi"))
+        smallest = facts.agg(F.min("size")).first()[0]
+        may = facts.where(f"(100 + {percent}) * most >= {percent} * (size + {int(smallest or 0)})")
+        near = still_open(near.select("key", "node", "component").join(broadcast_if_small(may, MAX_IDS), "node"))
         least = near.groupBy("key").agg(F.min("size").alias("least"))
         near = near.join(least, "key").where(f"(100 + {percent}) * most >= {percent} * (size + least)").drop("least")
         return scratch.put(still_open(near))
