@@ -108,7 +108,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 n = np.diff(begin)
                 regs = registers(values, begin)
                 full = np.concatenate([values, np.zeros(1, np.uint64)])
-                total = [np.where(n > 0, np.add.reduceat(x, np.minimum(begin[:-1], len(values))), 0) for x in (full, mix(full + _ODD[50]))] if j > i else []
+                total = [np.where(n > 0, np.add.reduceat(x, np.minimum(begin[:-1], len(values))), 0) for x in (full, np.append(mix(values + _ODD[50]), np.uint64(0)))] if j > i else []
                 fp = [mix(t + n.astype(np.uint64)).view(np.int64) for t in total]
                 keys = band_keys(regs)
                 some = n > 0
