@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, langid, lattice, licenses, manifest, mixing, neardup, neighbours, packing, sharding, vecdedup
+from weftline.llm import chat, fertility, langid, lattice, licenses, manifest, mixing, neardup, negatives, neighbours, packing, sharding, vecdedup
 
 QUERIES = {
     "op1_sharding": sharding.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_language": langid.op9,
     "op10_chat": chat.op10,
     "op11_manifest": manifest.op11,
+    "op12_fertility": fertility.op12,
+    "op13_negatives": negatives.op13,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,4 +100,18 @@ SQL = {
         proofs AS (SELECT id, sha256(string_agg(a || b, '' ORDER BY step)) AS proof_sha256 FROM side GROUP BY id)
         SELECT l.doc_id, l.leaf, g.subroot, t.node AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = t.node AS verified
         FROM leaf l JOIN groups g ON g.source IS NOT DISTINCT FROM l.source JOIN top t ON t.n = 1 JOIN ends e ON e.id = l.id LEFT JOIN proofs p ON p.id = l.id""",
+    # All pairs of an anchor and a row.
+    "op13_negatives": """
+        WITH usable AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+            FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+        positives AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+        FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+        WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) QUALIFY row_number() OVER w <= 10""",
 }

@@ -68,12 +68,12 @@ def chunks(at: np.ndarray, limit: int = CHUNK):
         i = j
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, i: int, j: int):
-    """Lower-cased (A-Z) words between white space in rows i to j.
+def word_hashes(data: np.ndarray, at: np.ndarray, i: int, j: int, lower: bool = True):
+    """Words between white space in rows i to j, A-Z lower-cased unless asked otherwise.
 
     Returns (64-bit hash per word, first word of each row and the end, start and end byte of each word, the bytes).
     """
-    raw = _LOWER[data[at[i] : at[j]]]
+    raw = _LOWER[data[at[i] : at[j]]] if lower else data[at[i] : at[j]]
     off = at[i : j + 1] - at[i]
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(j - i + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), raw
