@@ -94,3 +94,36 @@ def test_style_sheets_and_libraries(spark):
     assert r["sheet"]["properties"] == ["color", "margin", "top"] and r["styled"]["tags"] == ["div"] and r["styled"]["theme"] and r["motion"]["gestures"] and r["motion"]["tags"] == ["div"]
     assert r["styled_jsx"]["global"] and r["styled_jsx"]["details"]["properties"] == ["color"] and r["animation"]["library"] == "motion"
     assert [(x["component"], x["n"]) for x in style.ui_usage(src, "path", "@mui/material", 20).orderBy("rank").collect()] == [("Button", 2), ("Card", 1)]
+
+
+def test_long_and_broken_texts(spark):
+    from weftline.operators import lexer
+
+    rows = [
+        ("literal", "const q = `" + "select * from t where x = 'y' " * 35000 + "`; const after = 1;"), ("members", "interface BigProps {\n" + "".join(f"  m{i}: Map<string, {{ a: number }}>;\n" for i in range(10000)) + "}\nconst z = 1"),
+        ("quotes", "it's `broken \" quotes { ( [ \n" * 3001 + "const k = 1;"), ("nest", "f(" * 5000 + ")" * 5000 + "; const n = 2;"), ("escapes", "const s = '" + "\\'" * 200000 + "'; const t = 1"), ("null", None), ("empty", ""),
+    ]
+    df = spark.createDataFrame(rows, "path string, text string")
+    out = {r["path"]: r for r in extract.contracts(df).collect()}
+    assert len(out) == len(rows) and out["null"]["error"] == "no text" and out["null"]["hooks"] is None and out["empty"]["variables"] == []
+    assert out["literal"]["variables"] == ["after", "q"] and len(out["members"]["props"]) == 10000 and out["members"]["variables"] == ["z"]
+    assert out["escapes"]["variables"] == ["s", "t"] and "n" in out["nest"]["variables"]
+    assert style.style(df).count() == len(rows)
+    made, text = lexer.scanned(df.where("path = 'literal'"))
+    assert made.select(text.bare).first()[0] == 'const q = ""; const after = 1;'
+
+
+def test_forms_within_forms(spark):
+    text = """// const [z, setZ] = useState(1)
+import a from 'a'; import { b } from "b"
+export const c = 1, d = 2
+const re = /ab"c/g, url = 'http://x' // not a comment
+export const useX = async (p?: string, q = 3): Promise<void> => {}
+interface XProps { 'data-id': string; on(x: number): void; kind?: 'a' | 'b' }
+function K() { const [m, setM] = useState<Map<string, number>>(new Map()); const [s, setS] = useState([]); useA<Foo<Bar>>(); x.useB(); return <p/> }
+"""
+    r = extract.contracts(spark.createDataFrame([("src\\\\cli\\\\a.ts", text)], "path string, text string")).first()
+    assert (r["imports"], r["hooks"], r["variables"], r["exports"]["named"]) == (["a", "b"], ["useA", "useState"], ["c", "d", "re", "url", "useX"], ["c", "d", "useX"])
+    assert [tuple(s) for s in r["state"]] == [("m", "Map<string, number"), ("s", "array")]
+    assert [(p["name"], p["type"], p["optional"]) for p in r["props"]] == [("'data-id'", "string", None), ("kind", "literal-union", True), ("p", "string", True), ("q", "number", True)]
+    assert r["functions"] == ["K", "useX"]

@@ -1,7 +1,8 @@
 """Extractors that are column expressions over source text, and rules over what they extract.
 
-Source text is read by regular expressions after comments are taken out, so declared types are kept as they are written.
-Every extractor gives an empty array, not an error, where nothing is found; a null text gives null.
+Source text is read by regular expressions over the views of lexer.Source, so declared types are kept as they are written.
+Every extractor takes a text column or a Source and gives an empty array, not an error, where nothing is found; a null text
+gives null.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STRING = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"
+from weftline.operators.lexer import GENERIC, NEST, NEST_CODE, VIEWS, Source, inside, pieces, scanned
+
+Text = Column | Source
 NO_CALL = ("if", "for", "while", "switch", "catch", "function", "return", "constructor")
 
 # Names of built-in composition functions.
@@ -34,7 +37,7 @@ def _part(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(text, pattern, group)
 
 
-def _or_null(text: Column) -> Column:
+def _or_null(text: Text) -> Column:
     return F.nullif(text, F.lit(""))
 
 
@@ -42,91 +45,105 @@ def sorted_set(items: Column) -> Column:
     return F.array_sort(F.array_distinct(items))
 
 
-def all_of(text: Column, pattern: str, group: int = 1) -> Column:
-    return sorted_set(_all(text, pattern, group))
+def let(value: Column, use) -> Column:
+    """use(value), with value made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def without_comments(text: Column) -> Column:
-    """Strings stay as they are, comments become nothing."""
-    return F.regexp_replace(text, rf"({STRING})|/\*(?s:.*?)\*/|//[^\n]*", "$1")
+def sorted_structs(items: Column) -> Column:
+    """Sorted and distinct, without comparing every pair."""
+    return let(F.array_sort(items), lambda s: F.filter(s, lambda x, k: (k == 0) | ~x.eqNullSafe(F.get(s, k - 1))))
 
 
-def without_strings(text: Column) -> Column:
-    """Comments and the contents of strings become nothing."""
-    return F.regexp_replace(without_comments(text), STRING, '""')
+def all_of(text: Column, pattern: str, group: int = 1) -> Column:
+    return sorted_set(_all(text, pattern, group))
 
 
 # ---- modules ----------------------------------------------------------------------------------------------------------
 
 
-def imports(text: Column) -> Column:
+def imports(text: Text) -> Column:
     """Distinct module names of import declarations, sorted."""
-    return all_of(without_comments(text), r"(?m)^\s*import\s+(?:[^'\";()]*?\sfrom\s*)?['\"]([^'\"]+)['\"]")
+    return all_of(Source.of(text).code, r"(?:^|[;}\n])\s*+import\b\s*+(?:[^'\";()]*?\bfrom\s*+)?['\"]([^'\"\n]+)['\"]")
+
+
+ARROW = rf"^[\w$]+\s*+(?::(?:[^=;]++|=>)*+)?=(?![=>])\s*+(?:async\b\s*+)?(?:\(\)|[\w$]+)\s*+(?::(?:[^=;]++|=(?!>))*+)?=>"
 
 
-def functions(text: Column) -> Column:
+def declared(text: Text) -> Column:
+    """The declarators of module-level const, let and var, one text each; type arguments and what stands in brackets left out."""
+    stated = F.filter(Source.of(text).statements, lambda s: s.rlike(r"^(?:export\s+)?(?:declare\s+)?(?:const|let|var)\s"))
+    plain = F.transform(stated, lambda s: F.regexp_replace(F.regexp_replace(s, r"^(?:export\s+)?(?:declare\s+)?(?:const|let|var)\s+", ""), GENERIC, ""))
+    return F.transform(F.flatten(F.transform(plain, lambda s: F.split(s, ","))), lambda d: F.regexp_replace(d, r"^\s++", ""))
+
+
+def functions(text: Text) -> Column:
     """Top-level functions, variables that hold an arrow function, and methods of classes anywhere."""
-    code = without_strings(text)
-    named = _all(code, r"(?m)^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)")
-    arrows = _all(code, r"(?m)^(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=\n]+)?=>")
-    methods = _all(code, r"(?m)^[ \t]+(?:(?:public|private|protected|static|async|override)\s+)*(\w+)\s*\([^)]*\)\s*(?::\s*[^{\n]+)?\{[ \t]*$")
-    return sorted_set(F.concat(named, arrows, F.filter(methods, lambda m: ~m.isin(*NO_CALL))))
+    src = Source.of(text)
+    named = F.transform(src.statements, lambda s: _part(s, r"^(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"))
+    arrows = F.transform(F.filter(declared(src), lambda d: d.rlike(ARROW)), lambda d: _part(d, r"^(\w+)"))
+    methods = _all(src.bare, rf"(?m)^[ \t]++(?:(?:public|private|protected|static|async|override)\s++)*+(\w++)\s*+(?:{GENERIC}\s*+)?+(?=\(){NEST}\s*+(?::\s*+[^{{;\n=]++(?:=>[^{{;\n=]++)*+)?+\{{")
+    return sorted_set(F.concat(F.filter(F.concat(named, arrows), lambda n: n != ""), F.filter(methods, lambda m: ~m.isin(*NO_CALL))))
 
 
-def exported_names(text: Column) -> Column:
-    code = without_strings(text)
-    declared = _all(code, r"(?m)^export\s+(?:async\s+)?(?:abstract\s+)?(?:function\s*\*?|class|const|let|var)\s+(\w+)")
-    lists = F.flatten(F.transform(_all(code, r"(?m)^export\s*\{([^}]*)\}"), lambda s: F.split(s, ",")))
-    return sorted_set(F.concat(declared, F.filter(F.transform(lists, lambda s: _part(s, r"^\s*(?:type\s+)?(\w+)")), lambda s: s != "")))
+def exported_names(text: Text) -> Column:
+    src = Source.of(text)
+    exported = F.filter(src.statements, lambda s: s.rlike(r"^export\s"))
+    named = F.transform(exported, lambda s: _part(s, r"^export\s+(?:declare\s+)?(?:async\s+)?(?:abstract\s+)?(?:function\b\s*\*?|class\b)\s*(\w+)"))
+    several = F.transform(declared(Source(src.text, src.code, src.bare, src.flat, exported)), lambda d: _part(d, r"^(\w+)"))
+    lists = F.flatten(F.transform(_all(src.bare, r"\bexport\s*+\{([^{}]*+)\}"), lambda s: F.split(s, ",")))
+    listed = F.transform(lists, lambda s: _part(s, r"^\s*(?:type\s+)?(\w+)"))
+    return sorted_set(F.filter(F.concat(named, several, listed), lambda n: n != ""))
 
 
-def exports(text: Column) -> Column:
+def exports(text: Text) -> Column:
     """form (default, named for one name, list for more, null for none) and, for a list, the sorted names.
 
     A default export of a declaration outranks names; one of an expression does not count, nor do exported types.
     """
-    default = without_strings(text).rlike(r"(?m)^export\s+default\s+(?:async\s+)?(?:abstract\s+)?(?:function|class)\b")
-    names = exported_names(text)
+    src = Source.of(text)
+    default = F.exists(src.statements, lambda s: s.rlike(r"^export\s+default\s+(?:async\s+)?(?:abstract\s+)?(?:function|class)\b"))
+    names = exported_names(src)
     form = F.when(default, "default").when(F.size(names) == 1, "named").when(F.size(names) > 1, "list")
     return F.struct(form.alias("form"), F.when(form == "list", names).alias("named"))
 
 
-def variables(text: Column) -> Column:
-    """Names of module-level variables, without setters of a state pair."""
-    lines = _all(without_comments(text), r"(?m)^((?:export\s+)?(?:const|let|var)\s+\w+[^\n]*)")
-    kept = F.filter(lines, lambda s: ~(s.rlike(r"^(?:export\s+)?(?:const|let|var)\s+set") & s.contains("useState")))
-    return sorted_set(F.transform(kept, lambda s: _part(s, r"^(?:export\s+)?(?:const|let|var)\s+(\w+)")))
+def variables(text: Text) -> Column:
+    """Names of module-level variables, without setters of a state pair; patterns that take a value apart have no name."""
+    kept = F.filter(declared(text), lambda d: ~(d.rlike("^set") & d.contains("useState")))
+    return sorted_set(F.filter(F.transform(kept, lambda d: _part(d, r"^(\w+)")), lambda n: n != ""))
 
 
 # ---- components -------------------------------------------------------------------------------------------------------
 
 
-def hooks(text: Column) -> Column:
+def hooks(text: Text) -> Column:
     """Functions named use and a capital that are called, but not as a member."""
-    return all_of(without_strings(text), r"(?<![\w.$])(?<!function )(use[A-Z]\w*)\s*(?:<[^>()]*>)?\(")
+    return all_of(Source.of(text).bare, rf"(?<![\w.$])(?<!function )(use[A-Z]\w*+)\s*+(?:{GENERIC}\s*+)?+\(")
 
 
-def components(text: Column) -> Column:
+def components(text: Text) -> Column:
     """Tags that begin with a capital; dotted names are kept."""
-    return all_of(without_strings(text), r"(?<![\w)\]])<([A-Z][\w.]*)(?=[\s/>])")
+    return all_of(Source.of(text).bare, r"(?<![\w)\]])<([A-Z][\w.]*+)(?=[\s/>])")
 
 
-def has_jsx(text: Column) -> Column:
-    return without_strings(text).rlike(r"(?<![\w)\]])<(?:[A-Za-z][\w.]*(?:\s[^<>]*)?/?>|>)")
+def has_jsx(text: Text) -> Column:
+    return Source.of(text).bare.rlike(r"(?<![\w)\]])<(?:[A-Za-z][\w.]*+(?:\s[^<>]*+)?/?>|>)")
 
 
-def exported_hook(text: Column) -> Column:
+def exported_hook(text: Text) -> Column:
     """Whether a function named use and a capital is exported by its declaration or by a list."""
-    return F.exists(exported_names(text), lambda n: n.rlike("^use[A-Z]")) | without_strings(text).rlike(r"(?m)^export\s+default\s+(?:async\s+)?function\s+use[A-Z]")
+    src = Source.of(text)
+    return F.exists(exported_names(src), lambda n: n.rlike("^use[A-Z]")) | F.exists(src.statements, lambda s: s.rlike(r"^export\s+default\s+(?:async\s+)?function\s+use[A-Z]"))
 
 
-def hook_parameters(text: Column) -> Column:
+def hook_parameters(text: Text) -> Column:
     """name, type, optional of the parameters of exported hooks: the annotation, else what the default value shows, else any."""
-    heads = _all(without_comments(text), r"(?m)^export\s+(?:default\s+)?(?:async\s+)?(?:function\s+use[A-Z]\w*|const\s+use[A-Z]\w*\s*=\s*(?:async\s*)?)\s*\(([^)]*)\)")
-    params = F.filter(F.flatten(F.transform(heads, lambda h: F.split(h, r",(?![^<{\[]*[>}\]])"))), lambda p: F.trim(p) != "")
+    head = rf"\bexport\s+(?:default\s+)?(?:async\s+)?(?:function\s+use[A-Z]\w*+|const\s+use[A-Z]\w*+\s*+=\s*+(?:async\b\s*+)?)\s*+(?:{GENERIC}\s*+)?+(?=\()({NEST_CODE})"
+    params = F.filter(F.flatten(F.transform(_all(Source.of(text).code, head), lambda h: pieces(inside(h)))), lambda p: F.trim(p) != "")
 
     def one(p: Column) -> Column:
-        declared, value, rest = _or_null(F.trim(_part(p, r"^[^:=]*:\s*([^=]+)"))), F.trim(_part(p, r"=\s*(.+)$")), p.rlike(r"^\s*\.\.\.")
+        declared, value, rest = _or_null(F.trim(_part(p, r"(?s)^[^:=]*:\s*((?:[^=]|=>)++)"))), F.trim(_part(p, r"(?s)(?<![=<>!])=(?![=>])\s*(.+)$")), p.rlike(r"^\s*\.\.\.")
         kind = F.when(declared.isNotNull(), declared).otherwise(F.coalesce(literal_type(value), F.lit("any")))
         return F.struct(_part(p, r"^\s*(?:\.\.\.)?(\w+)").alias("name"), kind.alias("type"), ((p.rlike(r"^\s*\w+\s*\?") | (value != "")) & ~rest).alias("optional"))
 
@@ -163,26 +180,48 @@ def prop_type(kind: Column, optional: Column) -> Column:
     )
 
 
-def props(text: Column) -> Column:
-    """name, type, optional, literals, signature of the members of interfaces and types whose name ends in Props; sorted."""
-    code = without_comments(text)
-    bodies = _all(code, r"(?:interface|type)\s+\w*(?i:props)\b[^{;\n]*\{((?:[^{}]|\{[^{}]*\})*)\}")
-    members = F.flatten(F.transform(bodies, lambda b: _all(b, r"(?:^|[;,\n])\s*((?:readonly\s+)?\w+\??\s*:\s*(?:[^;\n{]|\{[^{}]*\})+)")))
+MEMBER = r"^\s*+(?:readonly\s+)?([\w$]++|\"[^\"\n]++\"|'[^'\n]++')(\??)\s*+:\s*+([\s\S]++)$"
+METHOD = rf"^\s*+([\w$]++|\"[^\"\n]++\"|'[^'\n]++')(\??)\s*+(?:{GENERIC})?+(?=\()({NEST_CODE})\s*+:\s*+([\s\S]++)$"
+
+
+def members(body: Column, methods: bool = False) -> Column:
+    """name, type, optional of the members of a type's body; names as written, methods as arrow functions if asked for."""
+    each = pieces(body, ";,\n")
+    own = F.transform(F.filter(each, lambda m: m.rlike(MEMBER)), lambda m: F.struct(_part(m, MEMBER, 1).alias("name"), F.rtrim(_part(m, MEMBER, 3)).alias("type"), (_part(m, MEMBER, 2) == "?").alias("optional")))
+    if not methods:
+        return own
+    kind = lambda m: F.concat(_part(m, METHOD, 3), F.lit(" => "), F.rtrim(_part(m, METHOD, 4)))
+    return F.concat(own, F.transform(F.filter(each, lambda m: m.rlike(METHOD)), lambda m: F.struct(_part(m, METHOD, 1).alias("name"), kind(m).alias("type"), (_part(m, METHOD, 2) == "?").alias("optional"))))
+
+
+def props(text: Text) -> Column:
+    """name, type, optional, literals, signature of the members of interfaces and types whose name ends in Props, and of the
+    parameters of exported hooks that no member has the name of; sorted.
+
+    Methods count in types only; their names are without quotes, those in interfaces as written.
+    """
+    src = Source.of(text)
+    bodies = lambda word: _all(src.code, rf"\b{word}\s+\w*(?i:props)\b[^{{;\n]*+(?=\{{)({NEST_CODE})")
+    of_type = F.transform(F.flatten(F.transform(bodies("type"), lambda b: members(inside(b), True))), lambda m: F.struct(F.regexp_replace(m["name"], "^['\"]|['\"]$", "").alias("name"), m["type"].alias("type"), m["optional"].alias("optional")))
+    own = F.concat(F.flatten(F.transform(bodies("interface"), lambda b: members(inside(b)))), of_type)
+    params = hook_parameters(src)
 
     def one(m: Column) -> Column:
-        declared = F.trim(F.regexp_replace(_part(m, r"(?s)^[^:]*:\s*(.*)$"), r",\s*$", ""))
-        p = prop_type(declared, m.rlike(r"^(?:readonly\s+)?\w+\?") | declared.rlike(r"\bundefined\b"))
-        return F.struct(_part(m, r"^(?:readonly\s+)?(\w+)").alias("name"), p["type"].alias("type"), p["optional"].alias("optional"), p["literals"].alias("literals"), p["signature"].alias("signature"))
+        p = prop_type(m["type"], m["optional"] | m["type"].rlike(r"\bundefined\b"))
+        return F.struct(m["name"].alias("name"), p["type"].alias("type"), p["optional"].alias("optional"), p["literals"].alias("literals"), p["signature"].alias("signature"))
+
+    def merged(o: Column) -> Column:
+        return F.concat(o, F.filter(params, lambda h: ~F.exists(o, lambda m: m["name"] == h["name"])))
 
-    return F.array_sort(F.array_distinct(F.transform(members, one)))
+    return sorted_structs(F.transform(let(own, merged), one))
 
 
-def events(text: Column, own: Column) -> Column:
+def events(text: Text, own: Column) -> Column:
     """name, signature of on… attributes that are also own props; the last of a name counts.
 
     The signature is that of the prop, else the parameters of an arrow function given, else none.
     """
-    found = F.transform(_all(without_comments(text), r"\s(on[A-Z]\w*=\{(?:[^{}]|\{[^{}]*\})*\})"), lambda s: F.struct(_part(s, r"^(\w+)").alias("name"), _part(s, r"(?s)=\{(.*)\}$").alias("value")))
+    found = F.transform(_all(Source.of(text).code, rf"\s(on[A-Z]\w*+=(?=\{{){NEST_CODE})"), lambda s: F.struct(_part(s, r"^(\w+)").alias("name"), _part(s, r"(?s)=\{(.*)\}$").alias("value")))
     names = sorted_set(F.transform(F.filter(found, lambda a: F.exists(own, lambda p: p["name"] == a["name"])), lambda a: a["name"]))
 
     def one(n: Column) -> Column:
@@ -194,45 +233,45 @@ def events(text: Column, own: Column) -> Column:
     return F.transform(names, one)
 
 
-def jsx_routes(text: Column) -> Column:
+def jsx_routes(text: Text) -> Column:
     """Literal values of link attributes that are paths, sorted."""
-    found = _all(without_comments(text), r"\b((?:path|to|href|as|route|src)=(?:\"[^\"]*\"|'[^']*'|\{\s*[\"'][^\"']*[\"']\s*\}))")
+    found = _all(Source.of(text).code, r"\b((?:path|to|href|as|route|src)=(?:\"[^\"]*\"|'[^']*'|\{\s*[\"'][^\"']*[\"']\s*\}))")
     values = F.transform(found, lambda s: _part(s, r"=\{?\s*[\"']([^\"']*)[\"']"))
     return sorted_set(F.filter(values, lambda v: v.rlike(r"(?i)^/[a-z0-9\-_/:.]*$")))
 
 
-def state(text: Column) -> Column:
-    """[name, type] of each useState pair: generic argument, else sniffed from the initial value."""
-    found = _all(text, r"(\[\s*\w+\s*,\s*set\w+\s*\]\s*=\s*(?:React\.)?useState(?:<[^>]*>)?\([^)]*\))")
-    return F.transform(found, lambda s: F.struct(_part(s, r"\[\s*(\w+)").alias("name"), state_type(s).alias("type")))
+def state(text: Text) -> Column:
+    """[name, type] of each useState pair: what stands in < up to the first >, else what the initial value shows."""
+    found = _all(Source.of(text).code, rf"(\[\w+\s*+,[^\]\n]*+\]\s*+=\s*+useState(?:{GENERIC})?+(?=\(){NEST_CODE})")
+    return F.transform(found, lambda s: F.struct(_part(s, r"\[(\w+)").alias("name"), state_type(s).alias("type")))
 
 
 def state_type(call: Column) -> Column:
-    generic, value = _part(call, r"useState<([^>]*)>"), _part(call, r"useState(?:<[^>]*>)?\(([^)]*)")
+    generic, value = _part(call, r"useState<([^>]+)>"), F.trim(_part(call, r"useState\(([^)]+)\)"))
     return (
         F.when(generic != "", generic).when(value.isin("true", "false"), "boolean").when(value.rlike(r"^\d+$"), "number")
-        .when(value.rlike("^[\"'`]"), "string").when(value == "null", "null").when(value.rlike(r"^\["), "array").when(value.rlike(r"^\{"), "object").otherwise("unknown")
+        .when(value.rlike("^[\"']"), "string").when(value == "null", "null").when(value == "[]", "array").when(value == "{}", "object").otherwise("unknown")
     )
 
 
 # ---- Vue --------------------------------------------------------------------------------------------------------------
 
 
-def vue_composables(text: Column) -> Column:
-    called = all_of(without_strings(text), r"(?<![\w.$])(?<!function )([A-Za-z]\w*)\s*(?:<[^()]*?>)?\(")
+def vue_composables(text: Text) -> Column:
+    called = all_of(Source.of(text).bare, rf"(?<![\w.$])(?<!function )([A-Za-z]\w*+)\s*+(?:{GENERIC}\s*+)?+\(")
     return F.filter(called, lambda n: n.rlike("^use[A-Z]") | n.isin(*VUE_BUILTINS))
 
 
-def vue_components(text: Column) -> Column:
+def vue_components(text: Text) -> Column:
     """Tags with a capital and the keys of registered components."""
-    bodies = _all(without_strings(text), r"\bcomponents\s*(?::|=)\s*\{([^}]*)\}")
+    bodies = _all(Source.of(text).bare, r"\bcomponents\s*(?::|=)\s*\{([^}]*)\}")
     keys = F.transform(F.flatten(F.transform(bodies, lambda b: F.split(b, ","))), lambda s: _part(s, r"^\s*(\w+)"))
     return sorted_set(F.concat(components(text), F.filter(keys, lambda k: k != "")))
 
 
-def vue_state(text: Column) -> Column:
+def vue_state(text: Text) -> Column:
     """name, type as function<type>; the type argument, else what the first argument shows, else unknown."""
-    found = _all(without_comments(text), r"(?:const|let|var)\s+(\w+\s*=\s*(?:ref|reactive|computed|shallowRef|shallowReactive)(?:<(?:[^<>]|<[^<>]*>)*>)?\([^)\n]*)")
+    found = _all(Source.of(text).code, rf"(?:const|let|var)\s+(\w+\s*+=\s*+(?:ref|reactive|computed|shallowRef|shallowReactive)(?:{GENERIC})?+\([^)\n]*+)")
 
     def one(s: Column) -> Column:
         kind = F.coalesce(_or_null(_part(s, r"=\s*\w+<(.*)>\(")), literal_type(F.trim(_part(s, r"\((.*)$"))), F.lit("unknown"))
@@ -248,23 +287,23 @@ def vue_runtime_type(kind: Column) -> Column:
     return mapped.when(element != "", F.concat(of_element, F.lit("[]"))).otherwise(kind)
 
 
-def vue_props(text: Column) -> Column:
+def vue_props(text: Text) -> Column:
     """name, type, optional of defineProps: the type argument's members, else the keys of the runtime object."""
-    code = without_comments(text)
-    typed = _all(_part(code, r"defineProps<\{((?:[^{}]|\{[^{}]*\})*)\}>"), r"(\w+\??\s*:\s*[^;,\n}]+)")
-    runtime = _all(_part(code, r"defineProps\(\{((?:[^{}]|\{[^{}]*\})*)\}\)"), r"(\w+\s*:\s*(?:\{[^{}]*\}|[^,\n]+))")
-    of_type = F.transform(typed, lambda m: F.struct(_part(m, r"^(\w+)").alias("name"), F.trim(_part(m, r":\s*(.*)$")).alias("type"), m.rlike(r"^\w+\?").alias("optional")))
+    code = Source.of(text).code
+    typed = members(inside(_part(code, rf"defineProps<\s*+(?=\{{)({NEST_CODE})\s*+>")))
+    runtime = pieces(inside(_part(code, rf"defineProps\(\s*+(?=\{{)({NEST_CODE})\s*+\)")))
+    runtime = F.filter(runtime, lambda m: m.rlike(r"^\s*\w+\s*:"))
     of_value = F.transform(runtime, lambda m: F.struct(
-        _part(m, r"^(\w+)").alias("name"), vue_runtime_type(F.trim(F.when(m.contains("{"), _part(m, r"type\s*:\s*([^,}\n]+)")).otherwise(_part(m, r":\s*(.*)$")))).alias("type"),
+        _part(m, r"^\s*(\w+)").alias("name"), vue_runtime_type(F.trim(F.when(m.rlike(r"^\s*\w+\s*:\s*\{"), _part(m, r"type\s*:\s*([^,}\n]+)")).otherwise(_part(m, r"(?s):\s*(.*)$")))).alias("type"),
         (~m.rlike(r"required\s*:\s*true")).alias("optional"),
     ))
-    return F.array_sort(F.concat(of_type, of_value))
+    return F.array_sort(F.concat(typed, of_value))
 
 
-def vue_emits(text: Column) -> Column:
+def vue_emits(text: Text) -> Column:
     """name, signature of defineEmits, in the form of call signatures or of an array of names."""
-    code = without_comments(text)
-    typed = _all(_part(code, r"(?s)defineEmits<(.*?)>\("), r"(\(e:\s*['\"][^'\"]+['\"][^)]*\)\s*:\s*void)")
+    code = Source.of(text).code
+    typed = _all(_part(code, rf"defineEmits({GENERIC})\("), r"(\(e:\s*['\"][^'\"]+['\"][^)]*\)\s*:\s*void)")
     listed = _all(_part(code, r"defineEmits\(\s*\[([^\]]*)\]"), r"['\"]([^'\"]+)['\"]")
 
     def one(s: Column) -> Column:
@@ -275,12 +314,12 @@ def vue_emits(text: Column) -> Column:
     return F.concat(F.transform(typed, one), plain)
 
 
-def has_vue_composables(text: Column) -> Column:
-    return text.rlike(r"\b(?:ref|reactive|computed|watch|watchEffect|onMounted|onUnmounted)\s*\(|\b(?:defineProps|defineEmits)\s*[(<]")
+def has_vue_composables(text: Text) -> Column:
+    return Source.of(text).code.rlike(r"\b(?:ref|reactive|computed|watch|watchEffect|onMounted|onUnmounted)\s*\(|\b(?:defineProps|defineEmits)\s*[(<]")
 
 
-def has_vue_registration(text: Column) -> Column:
-    return text.rlike(r"defineComponent\s*\(|components\s*:\s*\{|<script\s+setup")
+def has_vue_registration(text: Text) -> Column:
+    return Source.of(text).code.rlike(r"defineComponent\s*\(|components\s*:\s*\{|<script\s+setup")
 
 
 # ---- back ends --------------------------------------------------------------------------------------------------------
@@ -292,9 +331,9 @@ def _route(method: Column, path: Column, handler: Column) -> Column:
     return F.struct(F.upper(method).alias("method"), path.alias("path"), handler.alias("handler"), _all(path, r":(\w+)").alias("params"))
 
 
-def express_routes(text: Column) -> Column:
+def express_routes(text: Text) -> Column:
     """method, path, handler, params of app and router calls; a handler that is no plain name is anonymous."""
-    found = _all(without_comments(text), r"\b((?:app|router)\.(?:get|post|put|delete|patch|all)\(\s*(?:'[^']*'|\"[^\"]*\"|`[^`]*`)\s*,\s*[^,)\s]*[\s]*[,)]?)")
+    found = _all(Source.of(text).code, r"\b((?:app|router)\.(?:get|post|put|delete|patch|all)\(\s*(?:'[^']*'|\"[^\"]*\"|`[^`]*`)\s*,\s*[^,)\s]*[\s]*[,)]?)")
 
     def one(s: Column) -> Column:
         handler = _or_null(_part(s, r"['\"`]\s*,\s*([A-Za-z_$][\w$]*)\s*[,)]$"))
@@ -303,42 +342,46 @@ def express_routes(text: Column) -> Column:
     return F.transform(found, one)
 
 
-def nest_controller(text: Column) -> Column:
+def nest_controller(text: Text) -> Column:
     """name, base path and routes of the first controller class; null without one."""
-    body = _part(without_comments(text), r"(?s)(@Controller\(.*?)(?:\n\}|\z)")
+    body = _part(Source.of(text).code, r"(?s)(@Controller\(.*?)(?:\n\}|\z)")
     found = _all(body, r"(@(?:Get|Post|Put|Delete|Patch)\([^)]*\)(?:\s*@\w+\([^)]*\))*\s*(?:public\s+|async\s+)*\w+\s*\()")
     routes = F.transform(found, lambda s: _route(_part(s, r"@(\w+)"), _part(s, r"@\w+\(\s*['\"`]([^'\"`]*)"), _part(s, r"(\w+)\s*\($")))
     name, base = _part(body, r"class\s+(\w+)"), _or_null(_part(body, r"@Controller\(\s*['\"`]([^'\"`]*)"))
     return F.when(body != "", F.struct(name.alias("name"), base.alias("base_path"), routes.alias("routes")))
 
 
-def backend(imports_of: Column, text: Column) -> Column:
-    code = without_comments(text)
+def backend(imports_of: Column, text: Text) -> Column:
+    code = Source.of(text).code
     express = F.exists(imports_of, lambda i: i == "express") & code.rlike(r"\b(?:app|router)\.(?:get|post|put|delete|patch|all)\s*\(")
     nest = F.exists(imports_of, lambda i: i.startswith("@nestjs")) & code.rlike(r"@(?:Controller|Get|Post|Put|Delete|Patch)\s*\(")
     return F.when(express, "express").when(nest, "nest")
 
 
-def api_signature(text: Column, handler: Column) -> Column:
+def api_signature(text: Text, handler: Column) -> Column:
     """parameters (name, type) and return type of a function, arrow function or method of that name; null if it is not here."""
-    code = without_comments(text)
-    head = F.regexp_extract(code, F.concat(F.lit(r"(?:function\s+|const\s+|(?m:^)\s+(?:async\s+)?)"), handler, F.lit(r"\s*(?:=\s*(?:async\s*)?)?(\((?:[^()]|\([^()]*\))*\)\s*(?::\s*[^={\n]+)?)")), F.lit(1))
-    params = F.filter(F.split(_part(head, r"(?s)^\(((?:[^()]|\([^()]*\))*)\)"), r",(?![^<{]*[>}])"), lambda p: F.trim(p) != "")
-    each = F.transform(params, lambda p: F.struct(_part(p, r"(\w+)\??\s*(?::|$)").alias("name"), F.coalesce(_or_null(F.trim(_part(p, r":\s*(.*)$"))), F.lit("any")).alias("type")))
-    return F.when(head != "", F.struct(each.alias("parameters"), _or_null(F.trim(_part(head, r"\)\s*:\s*(.*)$"))).alias("return_type")))
-
-
-def annotations(text: Column) -> Column:
+    code = Source.of(text).code
+    before, after = r"(?:function\s+|const\s+|(?m:^)\s+(?:async\s+)?)", rf"\s*+(?:=\s*+(?:async\b\s*+)?)?+(?:{GENERIC})?+(?=\()({NEST_CODE}\s*+(?::\s*+[^={{\n]++)?+)"
+    head = F.regexp_extract(code, F.concat(F.lit(before), handler, F.lit(after)), F.lit(1))
+    given = _part(head, rf"^({NEST_CODE})")
+    params = F.filter(pieces(inside(given)), lambda p: F.trim(p) != "")
+    kind = lambda p: F.coalesce(_or_null(F.trim(_part(p, r"(?s)^[^:=]*:\s*((?:[^=]|=>)++)"))), F.lit("any"))
+    each = F.transform(params, lambda p: F.struct(_part(p, r"(\w+)\??\s*(?:[:=]|$)").alias("name"), kind(p).alias("type")))
+    returned = _or_null(F.trim(F.regexp_replace(F.substring(head, F.char_length(given) + 1, F.lit(1 << 30)), r"^\s*+:", "")))
+    return F.when(head != "", F.struct(each.alias("parameters"), returned.alias("return_type")))
+
+
+def annotations(text: Text) -> Column:
     """Annotations @X( in order of appearance, repeats kept."""
-    return _all(without_comments(text), r"@(\w+)\s*\(")
+    return _all(Source.of(text).code, r"@(\w+)\s*\(")
 
 
 # ---- Next.js ----------------------------------------------------------------------------------------------------------
 
 
-def directive(text: Column) -> Column:
+def directive(text: Text) -> Column:
     """client or server, if the first of the first five lines that is no comment says so."""
-    lines = F.transform(F.slice(F.split(text, "\n"), 1, 5), F.trim)
+    lines = F.transform(F.slice(F.split(Source.of(text).text, "\n", 6), 1, 5), F.trim)
     first = F.get(F.filter(lines, lambda s: (s != "") & ~s.startswith("//") & ~s.startswith("/*")), F.lit(0))
     return _or_null(_part(first, r"^['\"]use (client|server)['\"];?$"))
 
@@ -359,27 +402,28 @@ def segment_path(path: Column) -> Column:
     return F.when(inner != "", F.concat(F.lit("/"), folders))
 
 
-def metadata(text: Column) -> Column:
+def metadata(text: Text) -> Column:
     """static: the text of the object literal of an exported metadata constant; dynamic: whether a function makes it."""
-    code = without_comments(text)
-    static = _or_null(_part(code, r"(?m)^export\s+const\s+metadata\b[^=]*=\s*(\{(?:[^{}]|\{[^{}]*\})*\})"))
+    code = Source.of(text).code
+    static = _or_null(_part(code, rf"(?m)^export\s+const\s+metadata\b[^=]*+=\s*+(?=\{{)({NEST_CODE})"))
     return F.struct(static.alias("static"), code.rlike(r"(?m)^export\s+(?:async\s+)?function\s+generateMetadata\b|^export\s+const\s+generateMetadata\b").alias("dynamic"))
 
 
 # ---- rules ------------------------------------------------------------------------------------------------------------
 
 
-def kind(text: Column, path: Column, imports_of: Column, hooks_of: Column, components_of: Column) -> Column:
+def kind(text: Text, path: Column, imports_of: Column, hooks_of: Column, components_of: Column) -> Column:
     """Kind of a file, first rule that fits."""
+    text = Source.of(text)
     jsx = has_jsx(text)
     some = lambda p: F.exists(imports_of, lambda i: i.rlike(p))
     bare = (F.size(components_of) == 0) & ~jsx & exported_hook(text)
-    react = jsx | text.rlike(r"React\.createElement|React\.(?:FC|FunctionComponent|ReactElement)|:\s*JSX\.Element")
+    react = jsx | text.code.rlike(r"React\.createElement|React\.(?:FC|FunctionComponent|ReactElement)|:\s*JSX\.Element")
     return (
         F.when(backend(imports_of, text).isNotNull(), "node:api").when(some("^vue(/|$)") & bare, "vue:composable")
         .when(some("^vue(/|$)") & (has_vue_composables(text) | has_vue_registration(text) | (F.size(components_of) > 0)), "vue:component")
         .when(bare, "react:hook").when((F.size(hooks_of) > 0) | (F.size(components_of) > 0), "react:component")
-        .when(some("^react(/|$)") & react, "react:component").when(path.contains("/cli/") | text.contains("process.argv"), "node:cli").otherwise("ts:module")
+        .when(some("^react(/|$)") & react, "react:component").when(F.replace(path, F.lit("\\"), F.lit("/")).contains("/cli/") | text.code.contains("process.argv"), "node:cli").otherwise("ts:module")
     )
 
 
@@ -427,14 +471,34 @@ def preset_violations(preset: str, event_names: Column, state_names: Column) ->
     return F.array_compact(F.array(*rules[preset]))
 
 
+PROP = "array<struct<name:string,type:string,optional:boolean,literals:array<string>,signature:string>>"
+
+
 def contracts(sources: DataFrame) -> DataFrame:
     """sources(path, text) to one contract row per file: composition, interface, exports, kind and description, routes, error.
 
-    Nothing here throws; a null text gives null facets and says so in error.
+    A file of a server framework has routes and no hooks, components, state, props or events; one that imports Vue has those
+    of Vue; all others are read as React. Each text is scanned once, and no form of text throws: a facet that cannot be read
+    is empty. A null text gives null facets and says so in error.
     """
-    t, p = F.col("text"), F.col("path")
-    out = sources.withColumns({"imports": imports(t), "hooks": hooks(t), "components": components(t), "functions": functions(t), "variables": variables(t), "state": state(t), "exports": exports(t), "props": props(t)})
-    out = out.withColumns({"emits": events(t, F.col("props")), "framework": backend(F.col("imports"), t), "kind": kind(t, p, F.col("imports"), F.col("hooks"), F.col("components"))})
+    made, t = scanned(sources)
+    p = F.col("path")
+    made = made.withColumns({"imports": imports(t), "functions": functions(t), "variables": variables(t), "exports": exports(t)})
+    out = made.withColumn("framework", backend(F.col("imports"), t))
+    vue = F.exists("imports", lambda i: (i == "vue") | i.startswith("vue/"))
+
+    def facet(of_vue: Column, of_react: Column, kind: str) -> Column:
+        return F.when(F.col("framework").isNotNull(), F.array().cast(kind)).when(vue, of_vue.cast(kind)).otherwise(of_react.cast(kind))
+
+    def typed(m: Column) -> Column:
+        q = prop_type(m["type"], m["optional"])
+        return F.struct(m["name"].alias("name"), q["type"].alias("type"), q["optional"].alias("optional"), q["literals"].alias("literals"), q["signature"].alias("signature"))
+
+    out = out.withColumns({
+        "hooks": facet(vue_composables(t), hooks(t), "array<string>"), "components": facet(vue_components(t), components(t), "array<string>"),
+        "state": facet(vue_state(t), state(t), "array<struct<name:string,type:string>>"), "props": facet(F.transform(vue_props(t), typed), props(t), PROP),
+    })
+    out = out.withColumns({"emits": facet(vue_emits(t), events(t, F.col("props")), "array<struct<name:string,signature:string>>"), "kind": kind(t, p, F.col("imports"), F.col("hooks"), F.col("components"))})
     nest = nest_controller(t)["routes"]
     routes = F.when(F.col("framework") == "nest", nest).when(F.col("framework") == "express", express_routes(t)).otherwise(F.array().cast(ROUTE))
     names = F.transform("state", lambda s: s["name"])
@@ -442,6 +506,6 @@ def contracts(sources: DataFrame) -> DataFrame:
         "routes": routes, "description": description(p, F.col("kind"), F.size("state") > 0, F.size("emits") > 0),
         "prediction": predictions(F.col("hooks"), F.col("functions"), names),
         "nextjs": F.when(in_app_dir(p) | directive(t).isNotNull(), F.struct(in_app_dir(p).alias("in_app_dir"), directive(t).alias("directive"), route_role(p).alias("role"), segment_path(p).alias("segment"), metadata(t).alias("metadata"))),
-        "error": F.when(t.isNull(), "no text"),
+        "error": F.when(F.col("text").isNull(), "no text"),
     })
-    return out.drop("text")
+    return out.drop("text", *VIEWS)

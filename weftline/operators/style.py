@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.extract import _all, _or_null, _part, imports, sorted_set, without_comments
+from weftline.operators.extract import Text, _all, _or_null, _part, imports, sorted_set
+from weftline.operators.lexer import NEST_CODE, PLAIN_TEMPLATE, STRING, VIEWS, Source, inside, pieces, scanned, without_comments
 
 # Class categories in order, first match wins.
 CATEGORIES = [
@@ -32,13 +33,96 @@ BREAKPOINTS = r"\b(@?sm|@?md|@?lg|@?xl|@?2xl|@?max-sm|@?max-md|@?max-lg|@?max-xl
 TOP_CLASSES = 15
 
 
-def classes(text: Column) -> Column:
-    """Distinct class names of className and class attributes, in order of appearance."""
-    code = without_comments(text)
-    values = F.concat(*[_all(code, rf"\b{attr}\s*=\s*\{{?\s*{q}([^{q}]*){q}") for attr in ("className", "class") for q in ('"', "'", "`")])
-    tokens = F.flatten(F.transform(values, lambda v: F.split(F.regexp_replace(v, r"\$\{[^}]*\}", " "), r"\s+")))
-    called = F.flatten(F.transform(_all(code, r"\b(?:cn|clsx|classnames)\(([^)]*)\)"), lambda a: F.flatten(F.transform(_all(a, r"[\"'`]([^\"'`]*)[\"'`]"), lambda s: F.split(s, r"\s+")))))
-    return F.array_distinct(F.filter(F.concat(tokens, called), lambda c: c != ""))
+# What a class expression is reduced to: § and a number stand for a string, ∅ for a value without classes.
+CALLS = ("cn", "clsx", "classnames")
+_SPAN = rf"\$\{{(?:[^{{}}`'\"]++|{PLAIN_TEMPLATE}|\"[^\"\n]*+\"|'[^'\n]*+'|\{{[^{{}}]*+\}})*+\}}"
+_PAREN = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)"
+_OPERAND = rf"(?:[!+~-]\s*+)*+(?:§\d++§|∅|[\w$.]++|{_PAREN})"
+ITEM = "struct<key:string,expr:string>"
+
+
+def _words(text: Text) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: (w != "") & ~w.contains("${") & ~w.contains("}"))
+
+
+def _place(key: Column, at: Column) -> Column:
+    return F.concat(key, F.lit("."), F.lpad(at.cast("string"), 7, "0"))
+
+
+def _values(expr: Column) -> Column:
+    """An expression whose strings are numbered, reduced to what can be its value: literals and names, the branches of ?:,
+    the sides of && || ??, the arguments of CALLS; not conditions, comparisons, other calls, objects and arrays."""
+    steps = [
+        (r"\?\?", "||"), (r"\?\.(?=[\w$])", "."), (r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}|\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\]", "∅"),
+        (rf"(?<![\w$.])(?!(?:{'|'.join(CALLS)})\b)[\w$]++(?:\.[\w$]++|∅)*+\s*+{_PAREN}|(?<=\.)[\w$]++\s*+{_PAREN}", "∅"), (rf"(?<![\w$.])(?:{'|'.join(CALLS)})\s*+\(", "("),
+        (rf"{_OPERAND}(?:\s*+(?:[=!]==?|[<>]=?|[*/%+-])\s*+{_OPERAND})++", "∅"), (rf"!+\s*+{_OPERAND}|\btypeof\s++{_OPERAND}", "∅"),
+        (rf"(?:[^(),?:]++|{_PAREN})*+\?", "?"),
+    ]
+    return reduce(lambda e, s: F.regexp_replace(e, *s), steps, expr)
+
+
+def _read(item: Column) -> Column:
+    """(key, kind, text) of one expression: words of its strings, the expressions in its templates, the names it refers to."""
+    strings = F.regexp_extract_all(item["expr"], F.lit(f"({STRING})"), F.lit(1))
+    around = F.split(item["expr"], STRING)
+    numbered = F.array_join(F.transform(around, lambda a, k: F.concat(a, F.when(k < F.size(strings), F.concat(F.lit("§"), k.cast("string"), F.lit("§"))).otherwise(""))), "")
+    atoms = F.regexp_extract_all(_values(numbered), F.lit(r"(§\d+§|(?<![\w$.])[A-Za-z_$][\w$]*+(?:\.[A-Za-z_$][\w$]*+)?+(?![\w$.(]))"), F.lit(1))
+    entry = lambda key, kind, text: F.struct(key.alias("key"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    def literal(key: Column, s: Column) -> Column:
+        body = inside(s)
+        fixed = F.transform(F.split(body, _SPAN), lambda x, n: F.transform(_words(x), lambda w: entry(_place(key, 2 * n), "class", w)))
+        spans = F.transform(F.regexp_extract_all(body, F.lit(f"({_SPAN})"), F.lit(1)), lambda x, n: entry(_place(key, 2 * n + 1), "expr", F.substring(x, F.lit(3), F.char_length(x) - 3)))
+        plain = F.transform(F.filter(F.split(body, r"\s+"), lambda w: w != ""), lambda w: entry(_place(key, F.lit(0)), "class", w))
+        return F.when(s.startswith("`"), F.concat(F.flatten(fixed), spans)).otherwise(plain)
+
+    def atom(a: Column, n: Column) -> Column:
+        key = _place(item["key"], n)
+        return F.when(a.startswith("§"), literal(key, F.get(strings, F.regexp_extract(a, r"(\d+)", 1).cast("int")))).otherwise(F.array(entry(key, "name", a)))
+
+    return F.flatten(F.transform(atoms, atom))
+
+
+def constants(text: Text) -> Column:
+    """name, expr of const, let and var declarations anywhere in a file, and of the members of those that hold an object (as name.member)."""
+    code = Source.of(text).code
+    value = rf"((?:[^;\n,()\[\]{{}}'\"`]++|{STRING}|{NEST_CODE}|\n(?=\s*+[?:|&.])|(?<=[=?:|&]\s{{0,99}})\n)++)"
+    found = _all(code, rf"\b((?:const|let|var)\s++[\w$]++\s*+(?::[^=;\n]++)?+=(?![=>])\s*+{value})")
+    name, rest = (lambda f: _part(f, r"^\w+\s+([\w$]+)")), (lambda f: F.regexp_replace(f, r"^\w++\s++[\w$]++\s*+(?::[^=;\n]++)?+=\s*+", ""))
+    whole = F.transform(found, lambda f: F.struct(name(f).alias("name"), rest(f).alias("expr")))
+    member = rf"(?s)^\s*+(?:[\"']?([\w$-]++)[\"']?)\s*+:\s*+(.+)$"
+    held = F.filter(whole, lambda c: c["expr"].startswith("{"))
+    parts = F.flatten(F.transform(held, lambda c: F.transform(F.filter(pieces(inside(_part(c["expr"], f"^({NEST_CODE})"))), lambda m: m.rlike(member)), lambda m: F.struct(F.concat(c["name"], F.lit("."), _part(m, member, 1)).alias("name"), _part(m, member, 2).alias("expr")))))
+    return F.concat(whole, parts)
+
+
+def classes(text: Text) -> Column:
+    """Distinct class names of className and class attributes, in order of appearance.
+
+    Values are strings, templates and expressions in braces; a name stands for the constant of the file it is declared as, a
+    member for that of its object, and so on. A name is followed once, so that constants may refer to each other.
+    """
+    src = Source.of(text)
+    attribute = rf"(?<![\w$.-])(?:className|class)\s*+=\s*+(?:{STRING}|(?=\{{){NEST_CODE})"
+    seen = F.filter(_all(src.code, rf"({attribute}|{STRING})"), lambda g: g.startswith("class"))  # attributes in strings are none
+    given = F.transform(seen, lambda g: F.regexp_replace(g, r"^\w++\s*+=\s*+", ""))
+    start = F.transform(given, lambda g, n: F.struct(F.lpad(n.cast("string"), 7, "0").alias("key"), F.when(g.startswith("{"), inside(g)).otherwise(g).alias("expr")))
+    known = F.when(F.size(given) > 0, constants(src))
+    rounds = F.when(F.size(given) > 0, F.sequence(F.lit(0), F.size(known) + F.size(F.split(src.code, r"\$\{")))).otherwise(F.array(F.lit(0)))
+    empty = F.struct(start.cast(f"array<{ITEM}>").alias("due"), F.array().cast("array<struct<key:string,text:string>>").alias("found"), F.array().cast("array<string>").alias("seen"))
+
+    def step(acc: Column, _: Column) -> Column:
+        read = F.flatten(F.transform(acc["due"], _read))
+        names = F.filter(read, lambda r: (r["kind"] == "name") & ~F.array_contains(acc["seen"], r["text"]))
+        held = lambda r: F.get(F.filter(known, lambda c: c["name"] == r["text"]), F.lit(0))["expr"]
+        more = F.concat(F.transform(names, lambda r: F.struct(r["key"].alias("key"), held(r).alias("expr"))), F.transform(F.filter(read, lambda r: r["kind"] == "expr"), lambda r: F.struct(r["key"].alias("key"), r["text"].alias("expr"))))
+        found = F.transform(F.filter(read, lambda r: r["kind"] == "class"), lambda r: F.struct(r["key"].alias("key"), r["text"].alias("text")))
+        after = F.struct(F.filter(more, lambda m: m["expr"].isNotNull()).alias("due"), F.concat(acc["found"], found).alias("found"), F.array_union(acc["seen"], F.transform(names, lambda r: r["text"])).alias("seen"))
+        return F.when(F.size(acc["due"]) == 0, acc).otherwise(after)
+
+    found = F.aggregate(rounds, empty, step)["found"]
+    inner = F.transform(found, lambda f, n: F.struct(f["key"].alias("key"), n.alias("n"), f["text"].alias("text")))
+    return F.array_distinct(F.transform(F.array_sort(inner), lambda f: f["text"]))
 
 
 def strip_variants(name: Column) -> Column:
@@ -67,14 +151,14 @@ def _core(names: Column) -> Column:
     return F.transform(names, lambda c: F.element_at(F.split(c, ":"), -1))
 
 
-def layout(names: Column, text: Column) -> Column:
+def layout(names: Column, text: Text) -> Column:
     """type (grid before flex), cols, hero (very large text and a button) and cards (a grid of rounded or shadowed boxes)."""
     core = _core(names)
     some = lambda p: F.exists(core, lambda c: c.rlike(p))
     cols = F.filter(F.transform(names, lambda c: _part(c, r"grid-cols-(\d+)")), lambda c: c != "")
     return F.struct(
         F.when(some("^grid"), "grid").when(some("^flex"), "flex").alias("type"), F.when(some("^grid"), _or_null(F.array_join(cols, " "))).alias("cols"),
-        (some("^text-[4-9]xl$") & without_comments(text).rlike(r"(?i)<button[\s/>]")).alias("hero"), (some("^grid") & some("card|rounded|shadow")).alias("cards"),
+        (some("^text-[4-9]xl$") & Source.of(text).code.rlike(r"(?i)<button[\s/>]")).alias("hero"), (some("^grid") & some("card|rounded|shadow")).alias("cards"),
     )
 
 
@@ -90,9 +174,9 @@ def visual(names: Column) -> Column:
     )
 
 
-def inline_styles(text: Column) -> Column:
+def inline_styles(text: Text) -> Column:
     """name, value of style={{ … }} attributes; the value only if it is a literal."""
-    members = F.flatten(F.transform(_all(without_comments(text), r"style=\{\{([^{}]*)\}\}"), lambda b: _all(b, r"([\w'\"-]+\s*:\s*(?:\"[^\"]*\"|'[^']*'|[^,]+))")))
+    members = F.flatten(F.transform(_all(Source.of(text).code, r"style=\{\{([^{}]*)\}\}"), lambda b: _all(b, r"([\w'\"-]+\s*:\s*(?:\"[^\"]*\"|'[^']*'|[^,]+))")))
     name = lambda m: F.regexp_replace(_part(m, r"^([\w'\"-]+)"), "['\"]", "")
     value = lambda m: F.trim(_part(m, r":\s*(.*)$"))
     literal = lambda m: F.when(value(m).rlike(r"^(?:\"[^\"]*\"|'[^']*'|-?\d+(?:\.\d+)?)$"), F.regexp_replace(value(m), "^['\"]|['\"]$", ""))
@@ -110,40 +194,40 @@ def css_details(css: Column) -> Column:
     )
 
 
-def styled_jsx(text: Column) -> Column:
+def styled_jsx(text: Text) -> Column:
     """css, global and the parsed details of a <style jsx> block; null without one."""
-    block = _part(text, r"(?s)(<style\s+jsx[^>]*>\s*\{`.*?`\}\s*</style>)")
+    block = _part(Source.of(text).text, r"(?s)(<style\s+jsx[^>]*>\s*\{`.*?`\}\s*</style>)")
     css = _part(block, r"(?s)\{`(.*?)`\}")
     return F.when(block != "", F.struct(F.trim(css).alias("css"), block.rlike(r"^<style\s+jsx\s+global").alias("global"), css_details(css).alias("details")))
 
 
-def styled_components(text: Column) -> Column:
+def styled_components(text: Text) -> Column:
     """Ten first styled tags, whether a theme is used and whether the css prop is."""
-    code = without_comments(text)
+    code = Source.of(text).code
     return F.struct(F.slice(sorted_set(_all(code, r"\bstyled[.(]\s*['\"]?(\w+)")), 1, 10).alias("tags"), code.rlike(r"props\.theme|\btheme\s*[.}]|useTheme\s*\(").alias("theme"), code.rlike(r"\scss=\{").alias("css_prop"))
 
 
-def motion(text: Column) -> Column:
+def motion(text: Text) -> Column:
     """Animated tags and which kinds of animation attributes they have."""
-    code = without_comments(text)
+    code = Source.of(text).code
     return F.struct(
         sorted_set(_all(code, r"<motion\.(\w+)")).alias("tags"), sorted_set(_all(code, r"variants=\{(\w+)\}")).alias("variants"), code.rlike(r"\swhile(?:Hover|Tap|Focus|Drag)=").alias("gestures"),
         code.rlike(r"\slayout(?:Id)?[=\s/>]").alias("layout"), code.rlike(r"\s(?:whileInView|viewport)=").alias("viewport"),
     )
 
 
-def animation(text: Column, names: Column) -> Column:
+def animation(text: Text, names: Column) -> Column:
     """library, type and trigger of a file's animation, first rule that fits; null without any."""
-    code, core = without_comments(text), _core(names)
+    code, core = Source.of(text).code, _core(names)
     uses_motion, css = code.rlike(r"<motion\."), F.exists(core, lambda c: c.rlike("^(?:animate-|transition)"))
     trigger = F.when(code.rlike(r"whileInView="), "inView").when(code.rlike(r"whileHover="), "hover").when(uses_motion, "mount").otherwise("class")
     kind = F.when(code.rlike(r"opacity\s*:"), "fade").when(code.rlike(r"\b[xy]\s*:"), "slide").when(code.rlike(r"scale\s*:"), "scale").otherwise("custom")
     return F.when(uses_motion, F.struct(F.lit("motion").alias("library"), kind.alias("type"), trigger.alias("trigger"))).when(css, F.struct(F.lit("css").alias("library"), F.lit("transition").alias("type"), F.lit("class").alias("trigger")))
 
 
-def library_components(text: Column, module: str) -> Column:
+def library_components(text: Text, module: str) -> Column:
     """local name, original name of the names imported from modules that match, so that uses can be counted by original name."""
-    code = without_comments(text)
+    code = Source.of(text).code
     heads = _all(code, rf"(import\s*\{{[^}}]*\}}\s*from\s*['\"]{module}['\"])")
     names = F.flatten(F.transform(heads, lambda h: F.split(_part(h, r"\{([^}]*)\}"), ",")))
     each = F.transform(F.filter(names, lambda n: F.trim(n) != ""), lambda n: F.struct(F.coalesce(_or_null(_part(n, r"\bas\s+(\w+)")), _part(n, r"(\w+)")).alias("local"), _part(n, r"(\w+)").alias("original")))
@@ -158,9 +242,9 @@ def ui_usage(sources: DataFrame, key: str, module: str, top: int) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "component"))).where(F.col("rank") <= top)
 
 
-def ui_features(text: Column) -> Column:
+def ui_features(text: Text) -> Column:
     """Variants, sizes, controlled or not, portals and asChild of UI primitives."""
-    code = without_comments(text)
+    code = Source.of(text).code
     return F.struct(
         sorted_set(_all(code, r"\bvariant=[\"'](\w+)[\"']")).alias("variants"), sorted_set(_all(code, r"\bsize=[\"'](\w+)[\"']")).alias("sizes"),
         F.when(code.rlike(r"\s(?:open|value|checked)=\{"), "controlled").when(code.rlike(r"\sdefault(?:Open|Value|Checked)="), "uncontrolled").alias("mode"),
@@ -178,17 +262,17 @@ def depth(n: Column, portals: Column) -> Column:
 
 def style(sources: DataFrame) -> DataFrame:
     """sources(path, text) to style facets; a facet is null where its system is neither imported nor used."""
-    t = F.col("text")
-    out = sources.withColumns({"_imports": imports(t), "classes": classes(t)})
+    made, t = scanned(sources)
+    out = made.select("*", imports(t).alias("_imports"), F.explode(F.array(classes(t))).alias("classes"))
     some = lambda p: F.exists("_imports", lambda i: i.rlike(p))
     used = F.size("classes") > 0
     sheet = F.get(F.filter("_imports", lambda i: i.rlike(r"\.(scss|css)$")), F.lit(0))
     return out.withColumns({
         "class_count": F.when(used, F.size("classes")), "breakpoints": F.when(used, breakpoints(F.col("classes"))), "layout": F.when(used, layout(F.col("classes"), t)),
-        "visual": F.when(used, visual(F.col("classes"))), "inline_styles": F.when(t.contains("style={{"), inline_styles(t)), "style_sheet": sheet,
+        "visual": F.when(used, visual(F.col("classes"))), "inline_styles": F.when(t.code.contains("style={{"), inline_styles(t)), "style_sheet": sheet,
         "styled_jsx": styled_jsx(t), "styled": F.when(some(r"styled-components|@emotion/styled"), styled_components(t)), "motion": F.when(some(r"framer-motion|^motion"), motion(t)),
         "animation": animation(t, F.col("classes")), "ui": F.when(some(r"@mui/|@radix-ui/|components/ui"), ui_features(t)),
-    }).drop("text", "_imports")
+    }).drop("text", "_imports", *VIEWS)
 
 
 def with_sheets(styles: DataFrame, sheets: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from weftline.operators import contract as C
 from weftline.operators import extract as X
 from weftline.operators import scan as S
 from weftline.operators import style as Y
+from weftline.operators.lexer import scanned
 from weftline.plans.registry import query, t
 from weftline.sources import sinks
 
@@ -83,13 +84,14 @@ def lit(*pairs: tuple[str, str]) -> str:
 
 @query(f"SELECT k, {lit(('r', 'react'), ('r AND k % 3 = 0', '../ui/Card'), ('r AND k % 5 = 0', './side.css'), ('m = 3', 'react'), ('m = 5', 'vue'), ('m = 6', 'express'), ('m = 7', '@nestjs/common'))} AS imports FROM {K}")
 def extract_imports(spark, d):
-    return sources(spark, d).select("k", joined(X.imports(F.col("text"))).alias("imports"))
+    made, text = scanned(sources(spark, d))
+    return made.select("k", joined(X.imports(text)).alias("imports"))
 
 
 @query(f"SELECT k, {lit(('r AND k % 2 = 0', 'useEffect'), ('r AND k % 2 = 0', 'useState'), ('m = 3', 'useRef'))} AS hooks, {lit(('r AND k % 3 = 0', 'Card'))} AS components FROM {K}")
 def extract_hooks_components(spark, d):
-    text = F.col("text")
-    return sources(spark, d).select("k", joined(X.hooks(text)).alias("hooks"), joined(X.components(text)).alias("components"))
+    made, text = scanned(sources(spark, d))
+    return made.select("k", joined(X.hooks(text)).alias("hooks"), joined(X.components(text)).alias("components"))
 
 
 FUNCTIONS = lit(("r", "C#"), ("r AND k % 5 < 2", "helper#"), ("m = 2", "formatDate#"), ("m = 3", "useThing#"), ("m = 4", "run#"), ("m = 5", "setup#"), ("m = 7", "create"), ("m = 7", "findOne"))
@@ -98,34 +100,87 @@ VARIABLES = lit(("r", "label"), ("r AND k % 5 < 2", "helper#"), ("m = 4", "args"
 
 @query(f"SELECT k, {FUNCTIONS} AS functions, {VARIABLES} AS variables FROM {K}")
 def extract_functions_variables(spark, d):
-    text = F.col("text")
-    return sources(spark, d).select("k", joined(X.functions(text)).alias("functions"), joined(X.variables(text)).alias("variables"))
+    made, text = scanned(sources(spark, d))
+    return made.select("k", joined(X.functions(text)).alias("functions"), joined(X.variables(text)).alias("variables"))
 
 
 @query(f"""SELECT k, CASE WHEN r AND k % 4 = 1 THEN 'default' WHEN r AND k % 5 < 2 THEN 'list' WHEN r OR m IN (2, 3, 4, 5, 7) THEN 'named' END AS form,
     CASE WHEN r AND k % 4 <> 1 AND k % 5 < 2 THEN 'C' || k || ',helper' || k END AS named FROM {K}""")
 def extract_exports(spark, d):
-    e = X.exports(F.col("text"))
-    return sources(spark, d).select("k", e["form"].alias("form"), F.array_join(e["named"], ",").alias("named"))
+    made, text = scanned(sources(spark, d))
+    e = X.exports(text)
+    return made.select("k", e["form"].alias("form"), F.array_join(e["named"], ",").alias("named"))
 
 
-@query(f"""SELECT k, {lit(('r', 'title:string'), ('r AND k % 2 = 1', 'size:literal-union:true'), ('r AND k % 3 = 0', 'onSelect:function'), ('r AND k % 7 = 0', 'onHover:function:true'), ('r AND k % 5 = 0', 'count:number:true'))} AS props,
+@query(f"""SELECT k, {lit(('r', 'title:string'), ('r AND k % 2 = 1', 'size:literal-union:true'), ('r AND k % 3 = 0', 'onSelect:function'), ('r AND k % 7 = 0', 'onHover:function:true'), ('r AND k % 5 = 0', 'count:number:true'), ('m = 3', 'a:number'), ('m = 3', 'b:string:true'))} AS props,
     CASE WHEN r AND k % 2 = 1 THEN 'sm,lg' END AS literals FROM {K}""")
 def extract_props(spark, d):
-    p = X.props(F.col("text"))
+    made, text = scanned(sources(spark, d))
+    made, p = made.select("k", F.explode(F.array(X.props(text))).alias("p")), F.col("p")
     literals = F.array_join(F.get(F.filter(p, lambda x: x["literals"].isNotNull()), F.lit(0))["literals"], ",")
-    return sources(spark, d).select("k", joined(p, "name", "type", "optional").alias("props"), literals.alias("literals"))
+    return made.select("k", joined(p, "name", "type", "optional").alias("props"), literals.alias("literals"))
 
 
 @query(f"SELECT k, {lit(('r AND k % 3 = 0', 'onSelect:(id: number) => void'), ('r AND k % 7 = 0', 'onHover:() => void'))} AS emits FROM {K}")
 def extract_events(spark, d):
-    return sources(spark, d).select("k", joined(X.events(F.col("text"), X.props(F.col("text"))), "name", "signature").alias("emits"))
+    made, text = scanned(sources(spark, d))
+    made = made.select("*", F.explode(F.array(X.props(text))).alias("own"))
+    return made.select("k", joined(X.events(text, F.col("own")), "name", "signature").alias("emits"))
 
 
 @query(f"SELECT k, {lit(('r AND k % 2 = 0', 'open:boolean'), ('r AND k % 6 = 0', 'loading:boolean'))} AS state, {lit(('r', '/home/#'))} AS routes FROM {K}")
 def extract_state_routes(spark, d):
-    text = F.col("text")
-    return sources(spark, d).select("k", joined(F.array_sort(X.state(text)), "name", "type").alias("state"), joined(X.jsx_routes(text)).alias("routes"))
+    made, text = scanned(sources(spark, d))
+    return made.select("k", joined(F.array_sort(X.state(text)), "name", "type").alias("state"), joined(X.jsx_routes(text)).alias("routes"))
+
+
+LONG = [
+    "import {\n  A,\n  B } from 'one'; import two from \"two\";", "// const [gone, setGone] = useState(1); import 'three'", "it's \" one ` quote", "`;",
+    "export interface L#Props {", "@@MEMBERS", "  'data-id'?: string; open(x: number): void; last: Map<string, { a: number; b: [1, 2] }>", "}",
+    "export type M#Props = { \"aria-label\": string, close(x: (y: number) => void): boolean }", "export const q# = `", "@@LITERAL", "${ useNot() }` , c# = 1, d# = '@@LITERAL'",
+    "const pick = <T,>(x: Map<string, T>): T => { return x }", "export function useL#() {", "  const [m, setM] = useState<Map<string, number>>(new Map());",
+    "  useA<Foo<Bar<(x: string) => void>>>();", "}", "class K { run(a: (b: string) => void): void { } }",
+]
+LONG_NAMES = lit(("true", "c#"), ("true", "d#"), ("true", "q#"), ("true", "useL#"))
+
+
+@query(f"""SELECT k, 'one,two' AS imports, 'useA,useState' AS hooks, 'pick,useL' || k AS functions, {lit(('true', 'q#'), ('true', 'c#'), ('true', 'd#'), ('true', 'pick'))} AS variables, 'list' AS form,
+    {LONG_NAMES} AS named, 'm:Map<string, number' AS state, CAST(4 + CASE WHEN k % 200 = 0 THEN 10000 ELSE k % 40 + 1 END AS INTEGER) AS n_props,
+    '''data-id'':string,aria-label:string,close:function,last:Map<string, {{ a: number; b: [1, 2] }}>' AS props FROM {K}""")
+def extract_long_texts(spark, d):
+    """Literals of up to a million characters, interfaces of up to 10000 members, unbalanced quotes, forms within forms."""
+    k = F.col("k").cast("string")
+    many = lambda every, rare, some: F.when(F.col("k") % every == 0, rare).otherwise(some).cast("int")
+    members = F.array_join(F.transform(F.sequence(F.lit(1), many(200, 10000, F.col("k") % 40 + 1)), lambda i: F.concat(F.lit("  m"), i.cast("string"), F.lit(": { a: 'x;y', b(c: number): void };"))), "\n")
+    literal = F.repeat(F.lit('SELECT " it // is /* '), many(500, 50000, 150))
+    lines = [F.replace(F.replace(F.replace(F.lit(s), F.lit("#"), k), F.lit("@@MEMBERS"), members), F.lit("@@LITERAL"), literal) for s in LONG]
+    rows = t(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    made, text = scanned(rows.select("k", F.concat_ws("\n", *lines).alias("text")))
+    made = made.select("*", F.explode(F.array(X.props(text))).alias("p"), X.exports(text).alias("e"))
+    kept = F.filter("p", lambda x: ~x["name"].rlike(r"^m\d"))
+    return made.select(
+        "k", joined(X.imports(text)).alias("imports"), joined(X.hooks(text)).alias("hooks"), joined(X.functions(text)).alias("functions"), joined(X.variables(text)).alias("variables"), F.col("e.form").alias("form"),
+        joined(F.col("e.named")).alias("named"), joined(X.state(text), "name", "type").alias("state"), F.size("p").alias("n_props"), joined(kept, "name", "type").alias("props"),
+    )
+
+
+# Files with class attributes, and the classes they must give.
+CLASS_FORMS = [
+    ('<a className="p#  y p#" title="no" />', "p#,y"), ("<a className={on ? 'x-a' : 'x-b'} class='z#'/>", "x-a,x-b,z#"),
+    ("const base = 'px-4 py-#'; const v = { primary: 'bg-blue', 'big': `w ${base}` };\n<b className={`flex ${base} ${on ? `a ${v.primary}` : \"c\"} end`} /> <i className={v.big}/>", "flex,px-4,py-#,a,bg-blue,c,end,w"),
+    ("<a className={cn('m', on && 'n#', x === 'no' ? 'o' : clsx(p ?? 'q'), { 'never': on }, foo('never'), ['never'])}/>", "m,n#,o,q"),
+    ("const a = b; const b = a; const c = a && 'k#'; <a className={c || ('r')} />", "k#,r"), ("<a className={(on || off) && !no && 'yes#'} data={'nope'} /> <b className={x + 'no'}/>", "yes#"),
+    ("const s = on ? 'one' : n > 3 ? 'two#' : 'three'\n<a className={s}/> /* <a className='gone' /> */", "one,two#,three"), ("const x = 'className=\"no\"';", ""),
+]
+
+
+@query(f"SELECT k, replace(([{', '.join(chr(39) + v + chr(39) for _, v in CLASS_FORMS)}])[k % {len(CLASS_FORMS)} + 1], '#', CAST(k AS VARCHAR)) AS classes FROM {K}")
+def class_expressions(spark, d):
+    """Classes in literals, templates, branches, calls and constants, each form dealt to a share of the files."""
+    rows = t(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    text = F.replace(F.element_at(F.array(*[F.lit(f) for f, _ in CLASS_FORMS]), (F.col("k") % len(CLASS_FORMS)).cast("int") + 1), F.lit("#"), F.col("k").cast("string"))
+    made, src = scanned(rows.select("k", text.alias("text")))
+    return made.select("k", joined(Y.classes(src)).alias("classes"))
 
 
 @query(f"SELECT k, 'a:number:false,b:string:true' AS params FROM {K} WHERE m = 3")
@@ -136,8 +191,8 @@ def extract_hook_parameters(spark, d):
 @query(f"""SELECT k, CASE WHEN k % 2 = 1 THEN 'defineEmits,' ELSE '' END || 'defineProps,ref' AS composables, 'count' || k || ':ref<number>,name:ref<string>' AS state,
     CASE WHEN k % 2 = 1 THEN 'save:(e: ''save'') => void,close:(e: ''close'') => void' ELSE '' END AS emits, 'size:number:true,title:string:false' AS props FROM {K} WHERE m = 5""")
 def vue_facets(spark, d):
-    text = F.col("text")
-    out = sources(spark, d).where(F.exists(X.imports(text), lambda i: i == "vue"))
+    made, text = scanned(sources(spark, d))
+    out = made.where(F.exists(X.imports(text), lambda i: i == "vue"))
     return out.select("k", joined(X.vue_composables(text)).alias("composables"), joined(X.vue_state(text), "name", "type").alias("state"), joined(X.vue_emits(text), "name", "signature").alias("emits"), joined(X.vue_props(text), "name", "type", "optional").alias("props"))
 
 
@@ -159,7 +214,7 @@ def nest_routes(spark, d):
 
 KIND = "CASE WHEN r THEN 'react:component' WHEN m = 2 THEN 'ts:module' WHEN m = 3 THEN 'react:hook' WHEN m = 4 THEN 'node:cli' WHEN m = 5 THEN 'vue:component' ELSE 'node:api' END"
 DESCRIBED = f"""SELECT k, {KIND} AS kind, CASE m WHEN 0 THEN 'page - ' || s WHEN 1 THEN 'UserButton' || k || ' - Interactive button component' WHEN 2 THEN 'helper' || k || ' - Utility module'
-    WHEN 3 THEN 'useThing' || k || ' - Custom React hook' WHEN 4 THEN 'run' || k || ' - CLI entry point' WHEN 5 THEN 'V' || k || ' - Presentational component'
+    WHEN 3 THEN 'useThing' || k || ' - Custom React hook' WHEN 4 THEN 'run' || k || ' - CLI entry point' WHEN 5 THEN 'V' || k || CASE WHEN k % 2 = 1 THEN ' - Interactive component with internal state' ELSE ' - Stateful component' END
     WHEN 6 THEN 'routes' || k || ' - Presentational component' WHEN 7 THEN 'users' || k || ' - Presentational component' ELSE 'C' || k || ' - ' || s END AS description,
     CASE WHEN r AND k % 2 = 0 THEN 'Has side effects managed by useEffect' || CASE WHEN k % 6 = 0 THEN ';Manages loading/pending UI states' ELSE '' END WHEN m = 3 THEN 'Uses refs for DOM access or mutable values' ELSE '' END AS predictions
     FROM (SELECT *, CASE WHEN k % 2 = 0 AND (k % 3 = 0 OR k % 7 = 0) THEN 'Interactive component with internal state' WHEN k % 2 = 0 THEN 'Stateful component'
@@ -168,8 +223,8 @@ DESCRIBED = f"""SELECT k, {KIND} AS kind, CASE m WHEN 0 THEN 'page - ' || s WHEN
 
 @query(f"SELECT k, kind FROM ({DESCRIBED})")
 def kind_case(spark, d):
-    text = F.col("text")
-    return sources(spark, d).select("k", X.kind(text, F.col("path"), X.imports(text), X.hooks(text), X.components(text)).alias("kind"))
+    made, text = scanned(sources(spark, d))
+    return made.select("k", X.kind(text, F.col("path"), X.imports(text), X.hooks(text), X.components(text)).alias("kind"))
 
 
 def _contracts(spark, d: str) -> DataFrame:
@@ -231,7 +286,7 @@ def internal_components(spark, d):
 
 @query(f"""SELECT k, 'uif:' || substr(sha256('{{"components":' || c || ',"functions":' || f || ',"hooks":' || h || ',"variables":' || v || '}}'), 1, 24) AS structure_hash FROM (SELECT k,
     to_json(list_filter(string_split({lit(('r AND k % 3 = 0', 'Card'))}, ','), lambda x: x <> '')) AS c, to_json(list_filter(string_split({FUNCTIONS}, ','), lambda x: x <> '')) AS f,
-    to_json(list_filter(string_split({lit(('r AND k % 2 = 0', 'useEffect'), ('r AND k % 2 = 0', 'useState'), ('m = 3', 'useRef'))}, ','), lambda x: x <> '')) AS h, to_json(list_filter(string_split({VARIABLES}, ','), lambda x: x <> '')) AS v FROM {K})""")
+    to_json(list_filter(string_split({lit(('r AND k % 2 = 0', 'useEffect'), ('r AND k % 2 = 0', 'useState'), ('m = 3', 'useRef'), ('m = 5 AND k % 2 = 1', 'defineEmits'), ('m = 5', 'defineProps'), ('m = 5', 'ref'))}, ','), lambda x: x <> '')) AS h, to_json(list_filter(string_split({VARIABLES}, ','), lambda x: x <> '')) AS v FROM {K})""")
 def structure_hash(spark, d):
     return C.with_hashes(_contracts(spark, d)).select("k", "structure_hash")
 
