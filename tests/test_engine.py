@@ -70,10 +70,10 @@ def test_bundle_files_round(spark, tmp_path):
     (tmp_path / "in/src").mkdir(parents=True)
     good = {"type": "ABundle", "schemaVersion": "0.1", "entryId": "x", "bundleHash": "uifb:" + "0" * 24, "graph": {"nodes": [{"entryId": "x", "contract": {"type": "UIFContract", "schemaVersion": "0.4"}}], "edges": []}, "meta": {"missing": []}}
     (tmp_path / "in/src/context.json").write_text(json.dumps([good, good | {"type": "no", "bundleHash": "bad"}]))
-    found = weftline.validate(files.read_bundles(spark, str(tmp_path / "in")))
+    found = weftline.validate(files.read_bundles(spark, str(tmp_path / "in")), "ABundle")
     assert sorted(tuple(r) for r in found.collect()) == [("bundle hash", "warning", 1), ("bundle type", "error", 1)]
     (tmp_path / "in/index.json").write_text(json.dumps({"type": "AnIndex", "schemaVersion": "0.1", "folders": [{"path": "src", "contextFile": "src/context.json", "bundles": 2, "isRoot": True, "rootLabel": "Main Source"}]}))
-    assert tuple(files.read_index(spark, str(tmp_path / "in/index.json")).first()) == ("src", "src/context.json", 2, True, "Main Source", True)
+    assert tuple(files.read_index(spark, str(tmp_path / "in/index.json"), "AnIndex").first()) == ("src", "src/context.json", 2, True, "Main Source", True)
 
 
 def test_security_report(spark, tmp_path):

@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEPTH = 16  # steps up (..) that normalize() takes back in one path
+CODE = r"\.(?:tsx?|jsx?)$"
 
 
 def normalize(path: Column) -> Column:
-    """Forward slashes, without ./, doubled slashes and steps up; a leading run of steps up stays."""
+    """Forward slashes, a small drive letter, without ./, doubled slashes and steps up; a leading run of steps up stays unless the path is absolute."""
     path = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "/+", "/")
-    path = F.regexp_replace(path, r"(?<=^|/)\./", "")
-    for _ in range(DEPTH):
-        path = F.regexp_replace(path, r"(^|/)(?!\.\./)[^/]+/\.\.(/|$)", "$1")
-    return path
+    path = F.when(path.rlike("^[A-Za-z]:"), F.concat(F.lower(F.substring(path, 1, 1)), F.substring(path, F.lit(2), F.char_length(path)))).otherwise(path)
+    absolute, parts = path.startswith("/"), F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
+
+    def step(acc: Column, s: Column) -> Column:
+        taken = (F.size(acc) > 0) & (F.element_at(F.concat(F.array(F.lit("")), acc), -1) != "..")
+        back = F.when(taken, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(absolute, acc).otherwise(F.concat(acc, F.array(s)))
+        return F.when(s == "..", back).otherwise(F.concat(acc, F.array(s)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.when(absolute, "/").otherwise(""), F.array_join(kept, "/"), F.when(path.endswith("/") & (F.size(kept) > 0), "/").otherwise(""))
 
 
 def base_name(path: Column) -> Column:
@@ -26,6 +32,11 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(base_name(path), r"\.[^.]*$", "")
 
 
+def code_stem(path: Column) -> Column:
+    """Base name without .ts, .tsx, .js or .jsx."""
+    return F.regexp_replace(base_name(path), CODE, "")
+
+
 def parent(path: Column) -> Column:
     """Folder with its closing slash; empty for a bare name."""
     return F.regexp_extract(path, r"^(.*/)?[^/]*$", 1)

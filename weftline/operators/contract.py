@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CONTRACT, BUNDLE, INDEX = "Contract", "Bundle", "Index"  # what the type of a record ends in
+from weftline.functions.canonical import json_string, record
+
+CONTRACT = "UIFContract"  # the type of a contract
 CONTRACT_VERSION, BUNDLE_VERSION = "0.4", "0.1"
 SETS, MAPS = ("hooks", "components", "variables", "functions"), ("props", "emits", "state")
 
@@ -35,34 +37,65 @@ def _sorted(items: Column) -> Column:
     return F.array_sort(F.coalesce(items, F.array().cast("array<string>")))
 
 
+def _object(**fields: Column) -> Column:
+    """A JSON object of texts that are JSON already, fields in order; nulls are left out."""
+    pairs = [F.concat(F.lit(f'"{k}":'), fields[k]) for k in sorted(fields)]
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*pairs)), ","), F.lit("}"))
+
+
+def _structure(variables: Column, hooks: Column, components: Column, functions: Column) -> Column:
+    return canonical(variables=_sorted(variables), hooks=_sorted(hooks), components=_sorted(components), functions=_sorted(functions))
+
+
+def _signature(props: Column, emits: Column, state: Column, api: Column | None = None) -> Column:
+    """Objects by name: a prop is its type alone or, if it is optional, a union or a function, an object."""
+
+    def prop(p: Column) -> Column:
+        plain = p["optional"].isNull() & p["literals"].isNull() & p["signature"].isNull()
+        return F.when(plain, json_string(p["type"])).otherwise(F.to_json(F.struct(p["literals"].alias("literals"), p["optional"].alias("optional"), p["signature"].alias("signature"), p["type"].alias("type"))))
+
+    event = lambda e: F.to_json(F.struct(e["signature"].alias("signature"), F.lit("function").alias("type")))
+    given = {"props": record(props, "name", prop), "emits": record(emits, "name", event), "state": record(state, "name", lambda v: json_string(v["type"]))}
+    return _object(**given, **({"apiSignature": api} if api is not None else {}))
+
+
 def structure_hash(variables: Column, hooks: Column, components: Column, functions: Column) -> Column:
-    return short_hash(canonical(variables=_sorted(variables), hooks=_sorted(hooks), components=_sorted(components), functions=_sorted(functions)))
+    return short_hash(_structure(variables, hooks, components, functions))
 
 
 def signature_hash(props: Column, emits: Column, state: Column, api: Column | None = None) -> Column:
-    """props, emits and state as arrays of structs that begin with a name."""
-    given = {"props": F.array_sort(props), "emits": F.array_sort(emits), "state": F.array_sort(state)} | ({"apiSignature": api} if api is not None else {})
-    return short_hash(canonical(**given))
+    """props, emits and state as arrays of structs that begin with a name, in any order; api is canonical JSON."""
+    return short_hash(_signature(props, emits, state, api))
+
+
+def backend_json(framework: Column, routes: Column) -> Column:
+    """Canonical JSON of a server file's metadata: routes by method and path, their parameters sorted; null without a framework."""
+    each = F.array_sort(F.transform(routes, lambda r: F.struct(r["method"].alias("method"), r["path"].alias("path"), r["handler"].alias("handler"), F.array_sort(r["params"]).alias("params"))))
+    ordered = F.transform(each, lambda r: F.struct(r["handler"].alias("handler"), r["method"].alias("method"), r["params"].alias("params"), r["path"].alias("path")))
+    return F.when(framework.isNotNull(), F.to_json(F.struct(framework.alias("framework"), ordered.alias("routes"))))
 
 
 def semantic_hash(structure: Column, signature: Column, backend: Column | None = None) -> Column:
-    """Of structure and signature, not of imports, exports, kind or style."""
-    given = {"schemaVersion": F.lit(CONTRACT_VERSION), "structure": structure, "signature": signature} | ({"backend": backend} if backend is not None else {})
-    return short_hash(canonical(**given))
+    """Of structure, signature and backend as canonical JSON; not of imports, exports, kind or style."""
+    given = {"schemaVersion": F.lit(f'"{CONTRACT_VERSION}"'), "structure": structure, "signature": signature} | ({"backend": backend} if backend is not None else {})
+    return short_hash(_object(**given))
 
 
 def with_hashes(contracts: DataFrame) -> DataFrame:
     """contract rows plus structure_hash, signature_hash and semantic_hash."""
-    out = contracts.withColumns({"structure_hash": structure_hash(*[F.col(c) for c in ("variables", "hooks", "components", "functions")]), "signature_hash": signature_hash(*[F.col(c) for c in MAPS])})
-    return out.withColumn("semantic_hash", semantic_hash(F.col("structure_hash"), F.col("signature_hash"), F.when(F.size("routes") > 0, F.to_json("routes"))))
+    structure, signature = _structure(*[F.col(c) for c in ("variables", "hooks", "components", "functions")]), _signature(*[F.col(c) for c in MAPS])
+    made = contracts.select("*", F.explode(F.array(F.struct(structure.alias("a"), signature.alias("b")))).alias("_json"))
+    a, b = F.col("_json.a"), F.col("_json.b")
+    hashes = {"structure_hash": short_hash(a), "signature_hash": short_hash(b), "semantic_hash": semantic_hash(a, b, backend_json(F.col("framework"), F.col("routes")))}
+    return made.withColumns(hashes).drop("_json")
 
 
 def valid_hash(h: Column) -> Column:
     return h.rlike(r"^uif:[a-f0-9]{24}$")
 
 
-def is_contract(kind: Column, version: Column) -> Column:
-    return F.coalesce(kind.endswith(CONTRACT) & (version == CONTRACT_VERSION), F.lit(False))
+def is_contract(kind: Column, version: Column, expected: str = CONTRACT) -> Column:
+    return F.coalesce((kind == expected) & (version == CONTRACT_VERSION), F.lit(False))
 
 
 # ---- components that a file defines for itself ------------------------------------------------------------------------
@@ -158,27 +191,31 @@ BUNDLE_SCHEMA = (
 )
 
 
-def findings(bundles: DataFrame) -> DataFrame:
-    """bundles (BUNDLE_SCHEMA and any other columns) to one row per broken rule: rule, severity beside the columns of the bundle."""
+def findings(bundles: DataFrame, bundle_type: str, contract_type: str = CONTRACT) -> DataFrame:
+    """bundles (BUNDLE_SCHEMA and any other columns) to one row per broken rule: rule, severity beside the columns of the bundle.
+
+    Types must be the expected ones, whole. A graph without nodes, edges or both breaks one rule; its nodes are looked at all
+    the same if they are there.
+    """
     rule = lambda bad, name, severity: F.array(F.when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"))))
     node = lambda bad, name, severity: F.transform(F.filter("graph.nodes", lambda n: F.coalesce(bad(n["contract"]), F.lit(True))), lambda n: F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity")))
     none = F.array().cast("array<struct<rule:string,severity:string>>")
     broken = F.concat(
-        rule(~F.col("type").endswith(BUNDLE), "bundle type", "error"), rule(F.col("schemaVersion") != BUNDLE_VERSION, "bundle version", "error"), rule(F.col("entryId") == "", "entry id", "error"),
-        rule(F.col("graph.nodes").isNull(), "nodes", "error"), rule(F.col("graph.edges").isNull(), "edges", "error"), rule(F.col("meta.missing").isNull(), "missing", "error"),
-        F.coalesce(node(lambda c: ~c["type"].endswith(CONTRACT), "contract type", "error"), none), F.coalesce(node(lambda c: c["schemaVersion"] != CONTRACT_VERSION, "contract version", "warning"), none),
+        rule(F.col("type") != bundle_type, "bundle type", "error"), rule(F.col("schemaVersion") != BUNDLE_VERSION, "bundle version", "error"), rule(F.col("entryId") == "", "entry id", "error"),
+        rule(F.col("graph.nodes").isNull() | F.col("graph.edges").isNull(), "graph", "error"), rule(F.col("meta.missing").isNull(), "missing", "error"),
+        F.coalesce(node(lambda c: c["type"] != contract_type, "contract type", "error"), none), F.coalesce(node(lambda c: c["schemaVersion"] != CONTRACT_VERSION, "contract version", "warning"), none),
         rule(F.col("bundleHash").isNotNull() & ~F.coalesce(F.col("bundleHash").rlike(r"^uifb:[a-f0-9]{24}$"), F.lit(True)), "bundle hash", "warning"),
     )
     return bundles.withColumn("_f", F.explode(F.array_compact(broken))).select(*bundles.columns, "_f.rule", "_f.severity")
 
 
-def validate(bundles: DataFrame) -> DataFrame:
-    return findings(bundles).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
+def validate(bundles: DataFrame, bundle_type: str, contract_type: str = CONTRACT) -> DataFrame:
+    return findings(bundles, bundle_type, contract_type).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def validate_folders(bundles: DataFrame) -> DataFrame:
+def validate_folders(bundles: DataFrame, bundle_type: str, contract_type: str = CONTRACT) -> DataFrame:
     """bundles with a folder to (folder, bundles, errors, warnings), and one row with a null folder for all of them."""
-    n = findings(bundles).groupBy("folder").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    n = findings(bundles, bundle_type, contract_type).groupBy("folder").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
     each = bundles.groupBy("folder").agg(F.count(F.lit(1)).alias("bundles")).join(n, "folder", "left")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     return each.rollup("folder").agg(total("bundles"), total("errors"), total("warnings"))

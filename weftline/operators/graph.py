@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.paths import normalize, parent, stem
+from weftline.functions.canonical import sorted_by_name
+from weftline.functions.paths import CODE, code_stem, normalize, parent, stem
 from weftline.storage import Scratch
 
 
@@ -32,22 +33,28 @@ def resolve(names: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def resolve_key(keys: DataFrame, files: DataFrame) -> DataFrame:
-    """keys(key) to (key, path): the exact path, else one equal after normalising, else the first of that base name."""
+    """keys(key) to (key, path): the exact path, else one equal after normalising, else the first file of that name.
+
+    A file's name is its base name without .ts, .tsx, .js or .jsx; a key means it as it stands or without such an ending. Of
+    several files the first in order of paths counts, whatever its ending.
+    """
     exact = files.select(F.col("path").alias("key"), F.col("path").alias("_exact")).distinct()
     equal = files.groupBy(F.lower(normalize(F.col("path"))).alias("_norm")).agg(F.min("path").alias("_equal"))
-    named = files.groupBy(stem(F.col("path")).alias("_stem")).agg(F.min_by("path", F.struct(_rank(F.col("path")), "path")).alias("_named"))
-    out = keys.withColumns({"_norm": F.lower(normalize(F.col("key"))), "_stem": stem(F.col("key"))})
-    out = out.join(exact, "key", "left").join(equal, "_norm", "left").join(named, "_stem", "left")
-    return out.select(*keys.columns, F.coalesce("_exact", "_equal", "_named").alias("path"))
+    named = files.groupBy(code_stem(F.col("path")).alias("_stem")).agg(F.min("path").alias("_named"))
+    bare = named.select(F.col("_stem").alias("_bare"), F.col("_named").alias("_of_bare"))
+    out = keys.withColumns({"_norm": F.lower(normalize(F.col("key"))), "_stem": F.col("key"), "_bare": F.regexp_replace("key", CODE, "")})
+    out = out.join(exact, "key", "left").join(equal, "_norm", "left").join(named, "_stem", "left").join(bare, "_bare", "left")
+    return out.select(*keys.columns, F.coalesce("_exact", "_equal", F.least("_named", "_of_bare")).alias("path"))
 
 
 def resolve_dependency(uses: DataFrame, files: DataFrame) -> DataFrame:
     """uses(src, name) to (src, name, dst): a sibling of src (name.tsx, name.ts, name/index.tsx, name/index.ts), else resolve_key.
 
-    dst is null if nothing fits. Candidates are an equi-join; no file is compared with every name.
+    dst is null if nothing fits. Candidates are an equi-join on normalised paths; no file is compared with every name.
     """
-    near = F.array(*[F.struct(F.lit(k).alias("r"), F.concat(parent(F.col("src")), "name", F.lit(end)).alias("path")) for k, end in enumerate((".tsx", ".ts", "/index.tsx", "/index.ts"))])
-    found = uses.distinct().select("src", "name", F.inline(near)).join(files.select("path").distinct(), "path")
+    near = F.array(*[F.struct(F.lit(k).alias("r"), F.lower(normalize(F.concat(parent(F.col("src")), "name", F.lit(end)))).alias("_norm")) for k, end in enumerate((".tsx", ".ts", "/index.tsx", "/index.ts"))])
+    equal = files.groupBy(F.lower(normalize(F.col("path"))).alias("_norm")).agg(F.min("path").alias("path"))
+    found = uses.distinct().select("src", "name", F.inline(near)).join(equal, "_norm")
     found = found.groupBy("src", "name").agg(F.min_by("path", "r").alias("_near"))
     wide = resolve_key(uses.select(F.col("name").alias("key")).distinct(), files).select(F.col("key").alias("name"), F.col("path").alias("_wide"))
     return uses.join(found, ["src", "name"], "left").join(wide, "name", "left").select("src", "name", F.coalesce("_near", "_wide").alias("dst"))
@@ -93,16 +100,23 @@ def bundle_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
     return out.join(members.select("root", F.col("id").alias("dst")), ["root", "dst"], "left_semi").select("root", "src", "dst")
 
 
-def bundle_hash(members: DataFrame, depth: int, version: str = "0.1") -> DataFrame:
-    """uifb: hash over the sorted (id, semantic_hash) pairs of each bundle, its depth and the schema version.
+def bundle_hash(members: DataFrame, depth: int, version: str = "0.1", slices: int | None = None) -> DataFrame:
+    """uifb: hash over the (id, semantic_hash) pairs of each bundle in collated order, its depth and the schema version.
 
-    The pairs are hashed in 256 slices by the hash of their id, then the slices: no row holds a bundle whole.
+    A bundle becomes one text of a few hundred bytes a node. For bundles that do not fit a row, slices deals the ids into so
+    many parts whose hashes are hashed: another value, but no row holds a bundle whole.
     """
-    each = members.groupBy("root", F.substring(F.sha2(F.col("id"), 256), 1, 2).alias("slice"))
-    each = each.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("id", "semantic_hash")))), 256).alias("hash"), F.count(F.lit(1)).alias("n"))
-    whole = each.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("slice", "hash"))).alias("nodes"), F.sum("n").alias("n_nodes"))
-    text = F.to_json(F.struct(F.lit(depth).alias("depth"), F.col("nodes"), F.lit(version).alias("schemaVersion")))
-    return whole.select("root", "n_nodes", F.concat(F.lit("uifb:"), F.substring(F.sha2(text, 256), 1, 24)).alias("bundle_hash"))
+    tail = F.lit(f',"schemaVersion":"{version}"}}')
+    short = lambda text: F.concat(F.lit("uifb:"), F.substring(F.sha2(text, 256), 1, 24)).alias("bundle_hash")
+    pairs = F.collect_list(F.struct(F.col("id").alias("entryId"), F.col("semantic_hash").alias("semanticHash")))
+    nodes = lambda held: F.to_json(sorted_by_name(held, lambda x: x["entryId"]))
+    if slices is None:
+        whole = members.groupBy("root").agg(pairs.alias("_p"), F.count(F.lit(1)).alias("n_nodes"))
+        return whole.select("root", "n_nodes", short(F.concat(F.lit(f'{{"depth":{depth},"nodes":'), nodes(F.col("_p")), tail)))
+    each = members.groupBy("root", F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(slices)).alias("slice")).agg(pairs.alias("_p"), F.count(F.lit(1)).alias("n"))
+    each = each.select("root", "slice", "n", F.sha2(nodes(F.col("_p")), 256).alias("hash"))
+    whole = each.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("slice", "hash"))).alias("s"), F.sum("n").alias("n_nodes"))
+    return whole.select("root", "n_nodes", short(F.concat(F.lit(f'{{"depth":{depth},"slices":'), F.to_json("s"), tail)))
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, facets: list[str]) -> DataFrame:

@@ -94,9 +94,8 @@ def semantic_hash_orders(spark, d):
     return t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), C.short_hash(text).alias("semantic_hash"))
 
 
-@query("""SELECT root, CAST(sum(n) AS BIGINT) AS n_nodes, 'uifb:' || substr(sha256('{"depth":2,"nodes":' || to_json(list({'slice': slice, 'hash': hash} ORDER BY slice)) || ',"schemaVersion":"0.1"}'), 1, 24) AS bundle_hash
-    FROM (SELECT root, substr(sha256(id), 1, 2) AS slice, count(*) AS n, sha256(to_json(list({'id': id, 'semantic_hash': h} ORDER BY id))) AS hash
-        FROM (SELECT o_custkey AS root, CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus || o_orderpriority AS h FROM orders) GROUP BY 1, 2) GROUP BY 1""")
+@query("""SELECT root, count(*) AS n_nodes, 'uifb:' || substr(sha256('{"depth":2,"nodes":' || to_json(list({'entryId': id, 'semanticHash': h} ORDER BY id)) || ',"schemaVersion":"0.1"}'), 1, 24) AS bundle_hash
+    FROM (SELECT o_custkey AS root, CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus || o_orderpriority AS h FROM orders) GROUP BY 1""")
 def bundle_hash_customer(spark, d):
     o = t(spark, d, "orders").select(F.col("o_custkey").alias("root"), F.col("o_orderkey").cast("string").alias("id"), F.concat("o_orderstatus", "o_orderpriority").alias("semantic_hash"))
     return G.bundle_hash(o, 2)

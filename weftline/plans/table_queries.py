@@ -79,7 +79,7 @@ def package_names(spark, d):
     return dealt(spark, d, "part", "p_partkey", list(SPECS)).select("k", P.package_name(F.col("v")).alias("package"))
 
 
-PATHS = {"./src//a.ts": "src/a.ts", "src\\b\\..\\c.ts": "src/c.ts", "a/b/../../d.ts": "d.ts", "../x/./y.ts": "../x/y.ts", "plain.ts": "plain.ts"}
+PATHS = {"C:\\x\\..\\y.ts": "c:/y.ts", "a/" * 20 + "../" * 20 + "x.ts": "x.ts", "/../a/./b.ts": "/a/b.ts", "./src//a.ts": "src/a.ts", "src\\b\\..\\c.ts": "src/c.ts", "a/b/../../d.ts": "d.ts", "../x/./y.ts": "../x/y.ts", "plain.ts": "plain.ts"}
 
 
 @query(f"SELECT k, v AS path FROM {expected('part', 'p_partkey', list(PATHS.values()))}")
@@ -117,16 +117,19 @@ def resolve_names(spark, d):
     return G.resolve(names, places(spark, d))
 
 
-_STEMS = f"(SELECT DISTINCT path, regexp_extract(path, '/(N[0-9]+)\\.', 1) AS n FROM {_PLACES})"
-_USES = f"(SELECT DISTINCT path AS src, 'N' || (k * 7) % 310 AS name FROM {_PLACES})"
+_FILES = f"(SELECT path FROM {_PLACES} UNION SELECT 'src/d' || c_custkey % 40 || '/N' || (c_custkey * 7) % 310 || '/index.ts' FROM customer WHERE c_custkey % 11 = 0)"
+_STEMS = f"(SELECT DISTINCT path, regexp_extract(path, '/([^/]*)\\.(?:ts|tsx|js|jsx)$', 1) AS n FROM {_FILES})"
+_USES = f"(SELECT DISTINCT path AS src, 'N' || (k * 7) % 310 || CASE WHEN k % 5 = 0 THEN '.Item' ELSE '' END AS name FROM {_PLACES})"
 
 
-@query(f"""SELECT u.src, u.name, coalesce(min(f.path) FILTER (f.path = regexp_extract(u.src, '^(.*/)', 1) || u.name || '.tsx'), min(f.path) FILTER (f.path = regexp_extract(u.src, '^(.*/)', 1) || u.name || '.ts'),
-    arg_min(f.path, (CASE WHEN f.path LIKE '%.tsx' THEN 0 WHEN f.path LIKE '%.ts' THEN 1 ELSE 2 END, f.path))) AS dst FROM {_USES} u LEFT JOIN {_STEMS} f ON f.n = u.name GROUP BY 1, 2""")
+@query(f"""SELECT u.src, u.name, coalesce(min(f.path) FILTER (f.path = d || u.name || '.tsx'), min(f.path) FILTER (f.path = d || u.name || '.ts'), min(f.path) FILTER (f.path = d || u.name || '/index.ts'),
+    min(f.path) FILTER (f.n = u.name)) AS dst FROM (SELECT *, regexp_extract(src, '^(.*/)', 1) AS d FROM {_USES}) u LEFT JOIN {_STEMS} f ON f.n = u.name OR f.path = d || u.name || '/index.ts' GROUP BY 1, 2""")
 def resolve_dependency(spark, d):
-    f = places(spark, d)
-    uses = f.select(F.col("path").alias("src"), F.concat(F.lit("N"), (F.col("k") * 7) % 310).alias("name")).distinct()
-    return G.resolve_dependency(uses, f.select("path").distinct())
+    """Siblings, index files beside the user, then the first file of the name; names with a dot are no other file's."""
+    f, k = places(spark, d), F.col("k")
+    uses = f.select(F.col("path").alias("src"), F.concat(F.lit("N"), (k * 7) % 310, F.when(k % 5 == 0, ".Item").otherwise("")).alias("name")).distinct()
+    index = f.where(k % 11 == 0).select(F.concat(F.lit("src/d"), k % 40, F.lit("/N"), (k * 7) % 310, F.lit("/index.ts")).alias("path"))
+    return G.resolve_dependency(uses, f.select("path").union(index).distinct())
 
 
 def _lost(spark, d: str) -> tuple[DataFrame, DataFrame]:
@@ -263,23 +266,23 @@ def bundles(spark, d: str) -> DataFrame:
     graph = F.struct(unless(11, F.array(node), F.lit(None)).alias("nodes"), unless(13, F.array().cast("array<array<string>>"), F.lit(None)).alias("edges"))
     gone = F.array().cast("array<struct<name:string,reason:string,referencedBy:string>>")
     return t(spark, d, "orders").select(
-        F.col("o_orderstatus").alias("folder"), unless(5, F.lit("Bundle"), F.lit("Thing")).alias("type"), unless(7, F.lit("0.1"), F.lit("9")).alias("schemaVersion"), unless(9, k.cast("string"), F.lit("")).alias("entryId"),
+        F.col("o_orderstatus").alias("folder"), unless(5, F.lit("SomeBundle"), F.lit("NotSomeBundle")).alias("type"), unless(7, F.lit("0.1"), F.lit("9")).alias("schemaVersion"), unless(9, k.cast("string"), F.lit("")).alias("entryId"),
         F.when(k % 2 == 0, F.concat(F.lit("uifb:"), F.substring(F.sha2(k.cast("string"), 256), 1, 24))).when(k % 8 == 1, "uifb:no").alias("bundleHash"), graph.alias("graph"), F.struct(unless(17, gone, F.lit(None)).alias("missing")).alias("meta"))
 
 
-_RULES = [("bundle type", "error", "k % 5 = 0"), ("bundle version", "error", "k % 7 = 0"), ("entry id", "error", "k % 9 = 0"), ("nodes", "error", "k % 11 = 0"), ("edges", "error", "k % 13 = 0"), ("missing", "error", "k % 17 = 0"),
+_RULES = [("bundle type", "error", "k % 5 = 0"), ("bundle version", "error", "k % 7 = 0"), ("entry id", "error", "k % 9 = 0"), ("graph", "error", "(k % 11 = 0 OR k % 13 = 0)"), ("missing", "error", "k % 17 = 0"),
           ("contract type", "error", "k % 3 = 0 AND k % 11 <> 0"), ("contract version", "warning", "k % 4 = 0 AND k % 11 <> 0"), ("bundle hash", "warning", "k % 8 = 1")]
 _ORDERS = "(SELECT o_orderkey AS k, o_orderstatus AS folder FROM orders)"
 
 
 @query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, '{s}' AS severity, count(*) AS n FROM {_ORDERS} WHERE {c}" for r, s, c in _RULES) + ") WHERE n > 0")
 def validate_rules(spark, d):
-    return C.validate(bundles(spark, d))
+    return C.validate(bundles(spark, d), "SomeBundle")
 
 
 @query("SELECT folder, count(*) AS bundles, CAST(sum(e) AS BIGINT) AS errors, CAST(sum(w) AS BIGINT) AS warnings FROM (SELECT folder, " + " + ".join(f"CAST({c} AS INTEGER)" for _, s, c in _RULES if s == "error").replace("CAST(", "CAST(") + " AS e, " + " + ".join(f"CAST({c} AS INTEGER)" for _, s, c in _RULES if s == "warning") + f" AS w FROM {_ORDERS}) GROUP BY ROLLUP (folder)")
 def validate_rollup(spark, d):
-    return C.validate_folders(bundles(spark, d))
+    return C.validate_folders(bundles(spark, d), "SomeBundle")
 
 
 @query("""SELECT source AS folder, CASE WHEN o = 0 THEN 'ADDED' WHEN n = 0 THEN 'ORPHANED' WHEN a + r + c > 0 THEN 'DRIFT' ELSE 'PASS' END AS status, a AS added, r AS removed, c AS changed FROM (SELECT source,

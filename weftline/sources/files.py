@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.contract import BUNDLE_SCHEMA, INDEX
+from weftline.operators.contract import BUNDLE_SCHEMA
 
 MAX_BYTES = 10 << 20  # of a file that is scanned for secrets
 SKIP = r"/(node_modules|dist|build|\.next|coverage)/|\.(test|spec)\.tsx?$"
@@ -47,10 +47,10 @@ def read_contracts(spark: SparkSession, root: str) -> DataFrame:
     return _json(spark, root, "*.uif.json", CONTRACT_SCHEMA).where("entryId is not null")
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
+def read_index(spark: SparkSession, path: str, index_type: str) -> DataFrame:
     """(folder, context_file, bundles, is_root, root_label, known): an index's folders; known is false for a type or version not known."""
     rows = spark.read.option("multiLine", True).schema(INDEX_SCHEMA).json(path)
-    known = F.coalesce(F.col("type").endswith(INDEX) & F.col("schemaVersion").isin("0.1", "0.2"), F.lit(False))
+    known = F.coalesce((F.col("type") == index_type) & F.col("schemaVersion").isin("0.1", "0.2"), F.lit(False))
     return rows.select(F.explode("folders").alias("f"), known.alias("known")).select(F.col("f.path").alias("folder"), F.col("f.contextFile").alias("context_file"), "f.bundles", F.col("f.isRoot").alias("is_root"), F.col("f.rootLabel").alias("root_label"), "known")
 
 

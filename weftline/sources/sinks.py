@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import compact
 from weftline.functions.paths import root_label
 from weftline.operators.scan import tokens_claude, tokens_gpt
 
@@ -12,15 +13,10 @@ SCHEMA_URL = "https://example.org/schemas/context/v0.1.json"
 FORMATS = ("json", "ndjson", "pretty", "toon")
 
 
-def _toon(json: Column) -> Column:
-    """Compact lines for a JSON object: quotes of plain keys and words go."""
-    return F.regexp_replace(json, r"\"([A-Za-z_][\w./-]*)\"", "$1")
-
-
 def format_bundles(bundles: DataFrame, fmt: str = "json", order: str = "entry_id", schema_url: str = SCHEMA_URL) -> DataFrame:
     """bundles (folder and any columns) to (folder, place, line): each bundle as JSON with its position i/n in its folder.
 
-    ndjson: one line each; pretty: a heading line before indented JSON; json: members of an array; toon: fewer quotes.
+    ndjson: one line each; pretty: a heading line before indented JSON; json: members of an array; toon: the compact form.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt}")
@@ -28,12 +24,15 @@ def format_bundles(bundles: DataFrame, fmt: str = "json", order: str = "entry_id
     placed = bundles.withColumns({"place": F.row_number().over(by.orderBy(order)), "_n": F.count(F.lit(1)).over(by)})
     position = F.concat_ws("/", F.col("place").cast("string"), F.col("_n").cast("string"))
     row = F.struct(F.lit(schema_url).alias("$schema"), position.alias("position"), *[c for c in bundles.columns if c != "folder"])
-    text = F.to_json(row, {"pretty": "true"}) if fmt in ("json", "pretty") else F.to_json(row)
+    if fmt == "toon":
+        text = compact.encode(row, placed.select(row.alias("r")).schema["r"].dataType)
+    else:
+        text = F.to_json(row, {"pretty": "true"}) if fmt in ("json", "pretty") else F.to_json(row)
     if fmt == "pretty":
         text = F.concat(F.lit("\n# Bundle "), position, F.lit(": "), F.col(order).cast("string"), F.lit("\n"), text)
     if fmt == "json":
         text = F.concat(F.when(F.col("place") == 1, "[\n").otherwise(""), text, F.when(F.col("place") == F.col("_n"), "\n]").otherwise(","))
-    return placed.select("folder", "place", (_toon(text) if fmt == "toon" else text).alias("line"))
+    return placed.select("folder", "place", text.alias("line"))
 
 
 def write_context(bundles: DataFrame, path: str, fmt: str = "json", order: str = "entry_id") -> None:
