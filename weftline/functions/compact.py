@@ -17,7 +17,7 @@ from weftline.functions.canonical import json_string
 
 NONE = "~"  # a null row of a table
 _KEY = r"^[A-Za-z_$][\w$.]*$"
-_QUOTED = r"(?s)^$|^(?:true|false|null|~|NaN|-?Infinity)$|^[-+]?\.?\d|^-|^\s|\s$|[\",:\\\[\]{}\p{Cntrl}]"
+_QUOTED = r"(?s)^$|^(?:true|false|null|~|NaN|-?Infinity)$|^[-+]?[\d.]++(?:[eE][-+]?\d++)?$|^-|^\s|\s$|[\",:\\\[\]{}\p{Cntrl}]"
 
 
 def _key(name: Column) -> Column:
@@ -102,7 +102,7 @@ def _value(cell: str):
         return json.loads(cell)
     if cell in ("true", "false", "null"):
         return {"true": True, "false": False, "null": None}[cell]
-    if re.match(r"[-+]?\.?\d", cell):
+    if re.fullmatch(r"[-+]?[\d.]+(?:[eE][-+]?\d+)?", cell):
         return _Number(cell)
     return cell if cell not in ("NaN", "Infinity", "-Infinity") else float(cell)
 
