@@ -55,7 +55,8 @@ def _signature(props: Column, emits: Column, state: Column, api: Column | None =
         return F.when(plain, json_string(p["type"])).otherwise(F.to_json(F.struct(p["literals"].alias("literals"), p["optional"].alias("optional"), p["signature"].alias("signature"), p["type"].alias("type"))))
 
     event = lambda e: F.to_json(F.struct(e["signature"].alias("signature"), F.lit("function").alias("type")))
-    given = {"props": record(props, "name", prop), "emits": record(emits, "name", event), "state": record(state, "name", lambda v: json_string(v["type"]))}
+    held = F.when(F.size(state) > 0, record(state, "name", lambda v: json_string(v["type"])))
+    given = {"props": record(props, "name", prop), "emits": record(emits, "name", event), "state": held}
     return _object(**given, **({"apiSignature": api} if api is not None else {}))
 
 
@@ -68,11 +69,23 @@ def signature_hash(props: Column, emits: Column, state: Column, api: Column | No
     return short_hash(_signature(props, emits, state, api))
 
 
-def backend_json(framework: Column, routes: Column) -> Column:
-    """Canonical JSON of a server file's metadata: routes by method and path, their parameters sorted; null without a framework."""
+def api_json(api: Column) -> Column:
+    """Canonical JSON of an API signature; null without one."""
+    given = {"parameters": F.when(F.size(api["parameters"]) > 0, record(api["parameters"], "name", lambda p: json_string(p["type"]))), "returnType": F.when(api["return_type"].isNotNull(), json_string(api["return_type"]))}
+    return F.when(api.isNotNull(), _object(**given))
+
+
+def backend_json(framework: Column, routes: Column, controller: Column, decorators: Column, annotations: Column) -> Column:
+    """Canonical JSON of a server file's metadata: routes by method and path, parameters and decorators sorted; null without a framework."""
     each = F.array_sort(F.transform(routes, lambda r: F.struct(r["method"].alias("method"), r["path"].alias("path"), r["handler"].alias("handler"), F.array_sort(r["params"]).alias("params"))))
     ordered = F.transform(each, lambda r: F.struct(r["handler"].alias("handler"), r["method"].alias("method"), r["params"].alias("params"), r["path"].alias("path")))
-    return F.when(framework.isNotNull(), F.to_json(F.struct(framework.alias("framework"), ordered.alias("routes"))))
+    classes = F.when(controller["name"].isNotNull(), F.array(controller["name"]))
+    some = lambda items: F.when(F.size(items) > 0, F.array_sort(items))
+    language = F.struct(some(annotations).alias("annotations"), classes.alias("classes"), some(decorators).alias("decorators"))
+    has = F.coalesce(F.size(annotations), F.lit(0)) + F.coalesce(F.size(decorators), F.lit(0)) + F.when(classes.isNotNull(), 1).otherwise(0) > 0
+    place = F.when(controller.isNotNull(), F.struct(controller["base_path"].alias("basePath"), controller["name"].alias("name")))
+    parts = F.struct(place.alias("controller"), framework.alias("framework"), F.when(has, language).alias("languageSpecific"), F.when((F.size(ordered) > 0) | (framework == "nest"), ordered).alias("routes"))
+    return F.when(framework.isNotNull(), F.to_json(parts))
 
 
 def semantic_hash(structure: Column, signature: Column, backend: Column | None = None) -> Column:
@@ -83,10 +96,10 @@ def semantic_hash(structure: Column, signature: Column, backend: Column | None =
 
 def with_hashes(contracts: DataFrame) -> DataFrame:
     """contract rows plus structure_hash, signature_hash and semantic_hash."""
-    structure, signature = _structure(*[F.col(c) for c in ("variables", "hooks", "components", "functions")]), _signature(*[F.col(c) for c in MAPS])
+    structure, signature = _structure(*[F.col(c) for c in ("variables", "hooks", "components", "functions")]), _signature(*[F.col(c) for c in MAPS], api_json(F.col("api_signature")))
     made = contracts.select("*", F.explode(F.array(F.struct(structure.alias("a"), signature.alias("b")))).alias("_json"))
     a, b = F.col("_json.a"), F.col("_json.b")
-    hashes = {"structure_hash": short_hash(a), "signature_hash": short_hash(b), "semantic_hash": semantic_hash(a, b, backend_json(F.col("framework"), F.col("routes")))}
+    hashes = {"structure_hash": short_hash(a), "signature_hash": short_hash(b), "semantic_hash": semantic_hash(a, b, backend_json(*[F.col(c) for c in ("framework", "routes", "controller", "decorators", "annotations")]))}
     return made.withColumns(hashes).drop("_json")
 
 

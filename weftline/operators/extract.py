@@ -358,22 +358,69 @@ def backend(imports_of: Column, text: Text) -> Column:
     return F.when(express, "express").when(nest, "nest")
 
 
-def api_signature(text: Text, handler: Column) -> Column:
-    """parameters (name, type) and return type of a function, arrow function or method of that name; null if it is not here."""
+_RETURNS = rf"\s*+:\s*+(?:\{{[^{{}}]*+\}})?+(?:[\w$.\[\] |&'\"]++|{GENERIC})*+"
+_MODIFIERS = r"(?:(?:public|private|protected|static|async|override)\s++)*+"
+CALLABLE = "array<struct<name:string,parameters:array<struct<name:string,type:string>>,return_type:string>>"
+API = "struct<parameters:array<struct<name:string,type:string>>,return_type:string>"
+
+
+def callables(text: Text) -> Column:
+    """name, parameters (name, type) and return type, as declared, of functions, variables that hold one, and methods.
+
+    A parameter without a type is any; what decorates it is left out. Without a declared return type there is none.
+    """
     code = Source.of(text).code
-    before, after = r"(?:function\s+|const\s+|(?m:^)\s+(?:async\s+)?)", rf"\s*+(?:=\s*+(?:async\b\s*+)?)?+(?:{GENERIC})?+(?=\()({NEST_CODE}\s*+(?::\s*+[^={{\n]++)?+)"
-    head = F.regexp_extract(code, F.concat(F.lit(before), handler, F.lit(after)), F.lit(1))
-    given = _part(head, rf"^({NEST_CODE})")
-    params = F.filter(pieces(inside(given)), lambda p: F.trim(p) != "")
-    kind = lambda p: F.coalesce(_or_null(F.trim(_part(p, r"(?s)^[^:=]*:\s*((?:[^=]|=>)++)"))), F.lit("any"))
-    each = F.transform(params, lambda p: F.struct(_part(p, r"(\w+)\??\s*(?:[:=]|$)").alias("name"), kind(p).alias("type")))
-    returned = _or_null(F.trim(F.regexp_replace(F.substring(head, F.char_length(given) + 1, F.lit(1 << 30)), r"^\s*+:", "")))
-    return F.when(head != "", F.struct(each.alias("parameters"), returned.alias("return_type")))
+    heads = [
+        rf"\bfunction\s*+\*?\s*+(?=\w)", rf"\b(?:const|let|var)\s++(?=\w++\s*+(?::[^=\n]++)?+=\s*+(?:async\b\s*+)?(?:function\b|{GENERIC}|\())", rf"(?m)^[ \t]++{_MODIFIERS}(?=\w++\s*+[(<])",
+    ]
+    between = rf"\s*+(?::[^=\n]++)?+(?:=\s*+(?:async\b\s*+)?(?:function\b\s*+\w*+)?+)?+\s*+(?:{GENERIC})?+"
+    ends = ["", "", r"\s*+\{"]
+    found = F.concat(*[_all(code, rf"{h}(\w++{between}(?=\(){NEST_CODE}(?:{_RETURNS})?+){e}") for h, e in zip(heads, ends)])
+
+    def one(f: Column) -> Column:
+        given = _part(f, rf"^\w++{between}(?=\()({NEST_CODE})")
+        plain = F.transform(F.filter(pieces(inside(given)), lambda p: F.trim(p) != ""), lambda p: F.regexp_replace(p, rf"^\s*+(?:@\w++(?:{NEST_CODE})?+\s*+)*+(?:(?:public|private|protected|readonly)\s++)*+", ""))
+        kind = lambda p: F.coalesce(_or_null(F.trim(_part(p, r"(?s)^[^:=]*:\s*((?:[^=]|=>)++)"))), F.lit("any"))
+        returned = _or_null(F.trim(_part(F.regexp_replace(f, rf"^\w++{between}(?=\(){NEST_CODE}", ""), r"(?s)^\s*:\s*(.*)$")))
+        each = F.transform(plain, lambda p: F.struct(_part(p, r"^(?:\.\.\.)?([\w$]+)").alias("name"), kind(p).alias("type")))
+        return F.struct(_part(f, r"^(\w+)").alias("name"), each.alias("parameters"), returned.alias("return_type"))
+
+    return F.transform(F.filter(found, lambda f: ~_part(f, r"^(\w+)").isin(*NO_CALL)), one)
+
+
+def api_signature(routes: Column, known: Column) -> Column:
+    """parameters and return type of all routes of a file together; known as of callables(), met by the handler's name.
+
+    A path parameter has the type that its handler gives, the last that does, else string; other parameters of handlers the
+    first type that is no string. The return type is the first there is. Null if no route has either.
+    """
+    met = F.transform(routes, lambda r: F.struct(r["params"].alias("params"), F.get(F.filter(known, lambda c: c["name"] == r["handler"]), F.lit(0)).alias("c")))
+
+    def joined(ms: Column) -> Column:
+        given = F.flatten(F.transform(ms, lambda m: F.coalesce(m["c"]["parameters"], F.array().cast("array<struct<name:string,type:string>>"))))
+        of_path = F.flatten(F.transform(ms, lambda m: F.filter(F.coalesce(m["c"]["parameters"], F.array().cast("array<struct<name:string,type:string>>")), lambda p: F.array_contains(m["params"], p["name"]))))
+        names = F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform(ms, lambda m: m["params"])), F.transform(given, lambda p: p["name"]))))
+
+        def kind(n: Column) -> Column:
+            last = F.try_element_at(F.filter(of_path, lambda p: p["name"] == n), F.lit(-1))["type"]
+            other = F.get(F.filter(given, lambda p: (p["name"] == n) & (p["type"] != "string")), F.lit(0))["type"]
+            return F.coalesce(last, other, F.lit("string"))
+
+        returned = F.get(F.filter(F.transform(ms, lambda m: m["c"]["return_type"]), lambda x: x.isNotNull()), F.lit(0))
+        out = F.struct(F.transform(names, lambda n: F.struct(n.alias("name"), kind(n).alias("type"))).alias("parameters"), returned.alias("return_type"))
+        return F.when((F.size(names) > 0) | returned.isNotNull(), out)
+
+    return let(met, joined)
 
 
 def annotations(text: Text) -> Column:
     """Annotations @X( in order of appearance, repeats kept."""
-    return _all(Source.of(text).code, r"@(\w+)\s*\(")
+    return F.transform(_all(Source.of(text).code, r"@(\w+)\("), lambda n: F.concat(F.lit("@"), n))
+
+
+def route_calls(text: Text) -> Column:
+    """Calls that make routes, as @app.get and so on, in order of appearance."""
+    return F.transform(_all(Source.of(text).code, r"\b((?:app|router)\.(?:get|post|put|delete|patch|all))\("), lambda n: F.concat(F.lit("@"), n))
 
 
 # ---- Next.js ----------------------------------------------------------------------------------------------------------
@@ -503,7 +550,8 @@ def contracts(sources: DataFrame) -> DataFrame:
     routes = F.when(F.col("framework") == "nest", nest).when(F.col("framework") == "express", express_routes(t)).otherwise(F.array().cast(ROUTE))
     names = F.transform("state", lambda s: s["name"])
     out = out.withColumns({
-        "routes": routes, "description": description(p, F.col("kind"), F.size("state") > 0, F.size("emits") > 0),
+        "routes": routes, "controller": F.when(F.col("framework") == "nest", F.struct(nest_controller(t)["name"].alias("name"), nest_controller(t)["base_path"].alias("base_path"))), "decorators": F.when(F.col("framework") == "express", route_calls(t)), "annotations": F.when(F.col("framework") == "nest", annotations(t)),
+        "api_signature": F.when(F.col("framework").isNotNull(), api_signature(routes, callables(t))), "description": description(p, F.col("kind"), F.size("state") > 0, F.size("emits") > 0),
         "prediction": predictions(F.col("hooks"), F.col("functions"), names),
         "nextjs": F.when(in_app_dir(p) | directive(t).isNotNull(), F.struct(in_app_dir(p).alias("in_app_dir"), directive(t).alias("directive"), route_role(p).alias("role"), segment_path(p).alias("segment"), metadata(t).alias("metadata"))),
         "error": F.when(F.col("text").isNull(), "no text"),

@@ -51,8 +51,8 @@ def incremental_rebuild(spark, d):
 _SERVER = "import express from 'express';\nconst app = express();\n"
 
 
-@query("""SELECT o_orderkey AS id, 'uif:' || substr(sha256('{"backend":{"framework":"express","routes":[{"handler":"a' || o_custkey || '","method":"GET","params":["id"],"path":"/a/:id"},{"handler":"b","method":"POST","params":[],"path":"/b"}]},'
-    || '"schemaVersion":"0.4","signature":{"emits":{},"props":{},"state":{}},"structure":{"components":[],"functions":[],"hooks":[],"variables":["app"]}}'), 1, 24) AS semantic_hash FROM orders""")
+@query("""SELECT o_orderkey AS id, 'uif:' || substr(sha256('{"backend":{"framework":"express","languageSpecific":{"decorators":["@app.get","@app.post"]},"routes":[{"handler":"a' || o_custkey || '","method":"GET","params":["id"],"path":"/a/:id"},{"handler":"b","method":"POST","params":[],"path":"/b"}]},'
+    || '"schemaVersion":"0.4","signature":{"apiSignature":{"parameters":{"id":"string"}},"emits":{},"props":{}},"structure":{"components":[],"functions":[],"hooks":[],"variables":["app"]}}'), 1, 24) AS semantic_hash FROM orders""")
 def semantic_hash(spark, d):
     """Contracts of server files; half of them state their two routes in the other order, which changes nothing."""
     get, post = F.concat(F.lit("app.get('/a/:id', a"), F.col("o_custkey").cast("string"), F.lit(");\n")), F.lit("app.post('/b', b);\n")
@@ -102,3 +102,21 @@ def format_toon(spark, d):
     again = out.select("folder", "place", read.alias("v"))
     text = compact.encode(F.col("v"), again.schema["v"].dataType)
     return again.select("folder", "place", F.substring_index(text, "\n", 1).alias("head"), F.regexp_replace(text, r"^[^\n]*\n", "").alias("body"))
+
+
+@query("""SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'express' ELSE 'nest' END AS framework, CASE WHEN c_custkey % 2 = 0 THEN 'id:number,q:Query<' || c_custkey || '>,req:Request,res:any' ELSE 'body:Body' || c_custkey || ',id:string' END AS parameters,
+    CASE WHEN c_custkey % 2 = 0 THEN 'Promise<Map<string, Item>>' ELSE 'User' || c_custkey END AS return_type, CASE WHEN c_custkey % 2 = 0 THEN '@router.get,@router.post,@router.put' ELSE '@Controller,@Get,@Param,@Post' END AS marks FROM customer""")
+def contract_api(spark, d):
+    """The API signature of server files: routes meet their handlers, declared before or after, as functions, arrows or methods."""
+    key = F.col("c_custkey").cast("string")
+    express = """import express from 'express';\nconst router = express.Router();\nfunction getItem(id: number, q: Query<#>): Promise<Map<string, Item>> { return find(id) }
+router.get('/items/:id', getItem);\nrouter.post('/items', save);\nrouter.put('/x', (req, res) => {});\nconst save = async (req: Request, res) => { };\nconst other = (unused: string): void => {};\n"""
+    nest = """import { Controller, Get } from '@nestjs/common';\n@Controller('users')\nexport class Users {\n  @Get(':id')\n  async findOne(@Param('id') id: string): User# {\n    return one(id);\n  }\n  @Post()
+  create(body: Body#) {\n  }\n  private helper(x: number): void {\n  }\n}\n"""
+    text = F.replace(F.when(F.col("c_custkey") % 2 == 0, express).otherwise(nest), F.lit("#"), key)
+    found = X.contracts(t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit("src/api.ts").alias("path"), text.alias("text")))
+    api = F.col("api_signature")
+    return found.select(
+        "k", "framework", F.array_join(F.transform(api["parameters"], lambda p: F.concat_ws(":", p["name"], p["type"])), ",").alias("parameters"), api["return_type"].alias("return_type"),
+        F.array_join(F.array_sort(F.array_distinct(F.coalesce("decorators", "annotations"))), ",").alias("marks"),
+    )
