@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.paths import folder
 from weftline.operators import contract as C
-from weftline.operators import extract, graph, scan, style
+from weftline.operators import bundle, extract, graph, scan, style
 from weftline.sources.files import MAX_BYTES, read_sources
 from weftline.storage import Scratch
 
@@ -41,6 +41,10 @@ class Context:
         out = self.hashes.join(count(self.edges, "n_edges"), "root", "left").join(count(self.missing, "n_missing"), "root", "left").fillna(0, ["n_edges", "n_missing"])
         return out.select(folder(F.col("root")).alias("folder"), F.col("root").alias("entry_id"), "n_nodes", "n_edges", "n_missing", "bundle_hash")
 
+    def bundle_rows(self, sources: DataFrame, depth: int, mode: str = "none", **options) -> DataFrame:
+        """(entry_id, bundle): whole bundles, with code of sources(path, text) as the mode asks; options as of bundle.bundle_rows()."""
+        return bundle.bundle_rows(self.members, self.edges, self.missing, self.hashes, self.contracts, sources, depth, mode, **options)
+
     def unreached(self) -> DataFrame:
         """(id): files that no root leads to within the depth, such as those that only use each other or themselves."""
         return self.contracts.select("id").join(self.members.select("id"), "id", "left_anti")

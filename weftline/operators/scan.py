@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.paths import folder, package_name, root_label
 
+HEADER_BLOCK = r"(/\*\*(?=[^@]*+(?:@(?!uif)[^@]*+)*+@uif)(?:[^*]++|\*(?!/))*+\*/)"
 HEADER = r"(?s)\A(.*?)/\*\*.*?@uif.*?\*/\n*"
 # Secret types with severity, pattern in the common subset of Java and RE2.
 SECRETS = [
@@ -119,7 +120,7 @@ def mask_all(text: Column) -> Column:
 
 def code_header(text: Column) -> Column:
     """The first header comment, else null."""
-    return F.nullif(F.regexp_extract(text, r"(?s)(/\*\*(?:(?!\*/).)*?@uif.*?\*/)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, HEADER_BLOCK, 1), F.lit(""))
 
 
 def mode_estimates(files: DataFrame, contract_tokens: Column) -> DataFrame:

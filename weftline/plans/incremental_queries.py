@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline import engine
 from weftline.functions import compact
 from weftline.functions.canonical import canonical_json, collated
 from weftline.operators import contract as C
 from weftline.operators import extract as X
+from weftline.operators import report as R
 from weftline.plans.registry import query, t
 from weftline.sources import sinks
 from weftline.storage import Scratch
@@ -120,3 +122,53 @@ router.get('/items/:id', getItem);\nrouter.post('/items', save);\nrouter.put('/x
         "k", "framework", F.array_join(F.transform(api["parameters"], lambda p: F.concat_ws(":", p["name"], p["type"])), ",").alias("parameters"), api["return_type"].alias("return_type"),
         F.array_join(F.array_sort(F.array_distinct(F.coalesce("decorators", "annotations"))), ",").alias("marks"),
     )
+
+
+@query("""WITH f AS (SELECT p_partkey AS k, 'src/f' || p_partkey || '.ts' AS path FROM part)
+    SELECT path, CAST(CASE WHEN k % 4 = 0 THEN 2 WHEN k % 4 = 3 THEN 0 ELSE 1 END AS INTEGER) AS n_masked, 'const apiKey = ' || CASE WHEN k % 4 = 3 THEN '"SECRET' || k || 'abcdefghij"' ELSE '"PRIVATE_DATA"' END || ', other = "SECRET' || k || 'zz"' || chr(10)
+        || CASE WHEN k % 4 = 0 THEN 'url = "mysql://u:PRIVATE_DATA@h/db"' ELSE 'url = "mysql://u:pw' || k || '@h/db"' END AS masked FROM f""")
+def mask_by_report(spark, d):
+    """A report whose files are named in full, below its own root, or below the present one; every fourth file has no match, every fourth two."""
+    k = F.col("p_partkey")
+    key = k.cast("string")
+    path = F.concat(F.lit("src/f"), key, F.lit(".ts"))
+    text = F.concat(F.lit('const apiKey = "SECRET'), key, F.lit('abcdefghij", other = "SECRET'), key, F.lit('zz"\nurl = "mysql://u:pw'), key, F.lit('@h/db"'))
+    files = t(spark, d, "part").select(path.alias("path"), text.alias("text"))
+    name = F.when(k % 4 == 0, F.concat(F.lit("/old/./"), path)).when(k % 4 == 1, F.concat(F.lit("./"), path)).when(k % 4 == 2, F.concat(F.lit("/new/SRC/../"), path))
+    hit = lambda line, column, kind, snippet: F.struct(F.lit(line).cast("long").alias("line"), F.lit(column).cast("long").alias("column"), F.lit(kind).alias("type"), snippet.alias("snippet"))
+    first = hit(1, 7, "API Key", F.concat(F.lit('apiKey = "SECRET'), key, F.lit('abcdefghij"')))
+    second = hit(2, 8, "Database URL with Credentials", F.concat(F.lit("mysql://u:pw"), key, F.lit("@h/db")))
+    rows = t(spark, d, "part").where(k % 4 != 3).select(F.when(k % 4 == 0, F.concat(F.lit("/old/./"), path)).otherwise(name).alias("file"), F.explode(F.when(k % 4 == 0, F.array(first, second)).otherwise(F.array(first))).alias("m"))
+    report = rows.select("file", "m.*").withColumn("file", F.when(F.col("file").startswith("/old"), F.replace("file", F.lit("/old/"), F.lit(""))).otherwise(F.col("file")))
+    return R.mask_by_report(files, report, "/old", "/new").select("path", "n_masked", "masked")
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation), s AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier),
+    used AS (SELECT DISTINCT n FROM s), roots AS (SELECT 'src/S' || s.k || '.tsx' AS entry_id, n.k AS n, n.r AS r, s.k AS s FROM s JOIN n ON n.k = s.n UNION ALL SELECT 'src/N' || k || '.tsx', k, r, NULL FROM n WHERE k NOT IN (SELECT n FROM used))
+    SELECT entry_id, 'src/N' || n || '.tsx,src/R' || r || '.tsx' || CASE WHEN s IS NULL THEN '' ELSE ',src/S' || s || '.tsx' END AS nodes,
+        'src/N' || n || '.tsx>src/R' || r || '.tsx' || CASE WHEN s IS NULL THEN '' ELSE ',src/S' || s || '.tsx>src/N' || n || '.tsx' END AS edges,
+        CASE WHEN s IS NULL THEN 'Gone' || n || ':not found:src/N' || n || '.tsx' ELSE 'Gone' || n || ':not found:src/N' || n || '.tsx' END AS missing,
+        '/** @uif N' || n || ' */' AS header, 'const token = "PRIVATE_DATA";' AS secret_line, CAST(1 AS BIGINT) AS n_headers FROM roots""")
+def bundle_rows(spark, d):
+    """Whole bundles over suppliers, nations and regions: contracts, edges, missing names, masked code and headers, read back from JSON lines."""
+    s, n, r = t(spark, d, "supplier"), t(spark, d, "nation"), t(spark, d, "region")
+    tag = lambda letter, key: F.concat(F.lit(f"<{letter}"), F.col(key).cast("string"), F.lit(" />"))
+    secret = F.lit('const token = "abcdefghijklmnopqrstuvwx";\n')
+
+    def files(df, letter, key, uses, header):
+        text = F.concat(header, secret, F.lit("export function F() { return <div>"), uses, F.lit("</div> }\n"))
+        return df.select(F.concat(F.lit(f"src/{letter}"), F.col(key).cast("string"), F.lit(".tsx")).alias("path"), text.alias("text"))
+
+    head = F.concat(F.lit("/** @uif N"), F.col("n_nationkey").cast("string"), F.lit(" */\n"))
+    nations = files(n, "N", "n_nationkey", F.concat(tag("R", "n_regionkey"), tag("Gone", "n_nationkey")), head)
+    sources = files(s, "S", "s_suppkey", tag("N", "s_nationkey"), F.lit("")).union(nations).union(files(r, "R", "r_regionkey", F.lit("-"), F.lit("")))
+    sources = Scratch(spark, "sources").put(sources)
+    rows = engine.context_of(sources).bundle_rows(sources, 2, "full", hash_lock=True)
+    kind = rows.schema["bundle"].dataType
+    back = rows.select("entry_id", F.from_json(F.to_json("bundle"), kind).alias("b"))
+    nation = F.get(F.filter("b.graph.nodes", lambda x: x["codeHeader"].isNotNull()), F.lit(0))
+    return back.select(
+        "entry_id", F.array_join(F.transform("b.graph.nodes", lambda x: x["entryId"]), ",").alias("nodes"), F.array_join(F.transform("b.graph.edges", lambda e: F.array_join(e, ">")), ",").alias("edges"),
+        F.array_join(F.transform("b.meta.missing", lambda m: F.concat_ws(":", m["name"], m["reason"], m["referencedBy"])), ",").alias("missing"), nation["codeHeader"].alias("header"),
+        F.element_at(F.split(nation["code"], "\n"), 2).alias("secret_line"), F.size(F.filter("b.graph.nodes", lambda x: x["codeHeader"].isNotNull())).cast("long").alias("n_headers"),
+    )
