@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.lexer import GENERIC, NEST, NEST_CODE, VIEWS, Source, inside, pieces, scanned
+from weftline.functions.canonical import json_string, record
+from weftline.operators.lexer import DOUBLE, GENERIC, NEST, NEST_CODE, SINGLE, VIEWS, Source, inside, pieces, scanned
 
 Text = Column | Source
 NO_CALL = ("if", "for", "while", "switch", "catch", "function", "return", "constructor")
@@ -449,11 +450,25 @@ def segment_path(path: Column) -> Column:
     return F.when(inner != "", F.concat(F.lit("/"), folders))
 
 
+def literal_json(value: Column) -> Column:
+    """JSON of a literal: strings, numbers, true, false and null as they are; what is no literal is named by its kind in brackets."""
+    v = F.trim(F.regexp_replace(value, r"^\s++|\s++$", ""))
+    text = F.regexp_replace(F.regexp_replace(inside(v), r"\\(['\"`])", "$1"), r"\\n", "\n")
+    return (
+        F.when(v.rlike(rf"^(?:{DOUBLE}|{SINGLE})$"), json_string(text)).when(v.rlike(r"^\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$"), v).when(v.isin("true", "false", "null"), v)
+        .when(v.startswith("["), F.lit('"[array]"')).when(v.startswith("{"), F.lit('"[object]"')).when(v.startswith("`"), F.lit('"[template]"')).otherwise(F.lit('"[expression]"'))
+    )
+
+
 def metadata(text: Text) -> Column:
-    """static: the text of the object literal of an exported metadata constant; dynamic: whether a function makes it."""
+    """static: JSON of an exported metadata constant, its literal members by name, or a mark that there is one; dynamic: whether a function makes it."""
     code = Source.of(text).code
-    static = _or_null(_part(code, rf"(?m)^export\s+const\s+metadata\b[^=]*+=\s*+(?=\{{)({NEST_CODE})"))
-    return F.struct(static.alias("static"), code.rlike(r"(?m)^export\s+(?:async\s+)?function\s+generateMetadata\b|^export\s+const\s+generateMetadata\b").alias("dynamic"))
+    found = _part(code, rf"(?m)^\s*+export\s+const\s+metadata\b\s*+(?::[^=]++)?+=\s*+((?=\{{){NEST_CODE}|[^\s;]++)")
+    member = r"(?s)^\s*+([\w$]++|\"[^\"\n]++\"|'[^'\n]++')\s*+:(.*)$"
+    members = F.transform(F.filter(pieces(inside(found)), lambda m: m.rlike(member)), lambda m: F.struct(F.regexp_replace(_part(m, member, 1), "^['\"]|['\"]$", "").alias("name"), _part(m, member, 2).alias("value")))
+    whole = F.when(found.startswith("{") & (F.size(members) > 0), record(members, "name", lambda m: literal_json(m["value"]))).otherwise(F.lit('{"_hasMetadata":true}'))
+    dynamic = F.exists(Source.of(text).statements, lambda x: x.rlike(r"^export\s+(?:async\s+)?function\s+generateMetadata\b|^export\s+const\s+generateMetadata\b"))
+    return F.struct(F.when(found != "", whole).alias("static"), dynamic.alias("dynamic"))
 
 
 # ---- rules ------------------------------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from weftline.operators import contract as C
 from weftline.operators import extract as X
 from weftline.operators import report as R
 from weftline.plans.registry import query, t
-from weftline.sources import sinks
+from weftline.sources import files, sinks
 from weftline.storage import Scratch
 from weftline.streaming.incremental import Incremental
 
@@ -133,14 +133,14 @@ def mask_by_report(spark, d):
     key = k.cast("string")
     path = F.concat(F.lit("src/f"), key, F.lit(".ts"))
     text = F.concat(F.lit('const apiKey = "SECRET'), key, F.lit('abcdefghij", other = "SECRET'), key, F.lit('zz"\nurl = "mysql://u:pw'), key, F.lit('@h/db"'))
-    files = t(spark, d, "part").select(path.alias("path"), text.alias("text"))
+    rows_of = t(spark, d, "part").select(path.alias("path"), text.alias("text"))
     name = F.when(k % 4 == 0, F.concat(F.lit("/old/./"), path)).when(k % 4 == 1, F.concat(F.lit("./"), path)).when(k % 4 == 2, F.concat(F.lit("/new/SRC/../"), path))
     hit = lambda line, column, kind, snippet: F.struct(F.lit(line).cast("long").alias("line"), F.lit(column).cast("long").alias("column"), F.lit(kind).alias("type"), snippet.alias("snippet"))
     first = hit(1, 7, "API Key", F.concat(F.lit('apiKey = "SECRET'), key, F.lit('abcdefghij"')))
     second = hit(2, 8, "Database URL with Credentials", F.concat(F.lit("mysql://u:pw"), key, F.lit("@h/db")))
     rows = t(spark, d, "part").where(k % 4 != 3).select(F.when(k % 4 == 0, F.concat(F.lit("/old/./"), path)).otherwise(name).alias("file"), F.explode(F.when(k % 4 == 0, F.array(first, second)).otherwise(F.array(first))).alias("m"))
     report = rows.select("file", "m.*").withColumn("file", F.when(F.col("file").startswith("/old"), F.replace("file", F.lit("/old/"), F.lit(""))).otherwise(F.col("file")))
-    return R.mask_by_report(files, report, "/old", "/new").select("path", "n_masked", "masked")
+    return R.mask_by_report(rows_of, report, "/old", "/new").select("path", "n_masked", "masked")
 
 
 @query("""WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation), s AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier),
@@ -155,13 +155,13 @@ def bundle_rows(spark, d):
     tag = lambda letter, key: F.concat(F.lit(f"<{letter}"), F.col(key).cast("string"), F.lit(" />"))
     secret = F.lit('const token = "abcdefghijklmnopqrstuvwx";\n')
 
-    def files(df, letter, key, uses, header):
+    def made(df, letter, key, uses, header):
         text = F.concat(header, secret, F.lit("export function F() { return <div>"), uses, F.lit("</div> }\n"))
         return df.select(F.concat(F.lit(f"src/{letter}"), F.col(key).cast("string"), F.lit(".tsx")).alias("path"), text.alias("text"))
 
     head = F.concat(F.lit("/** @uif N"), F.col("n_nationkey").cast("string"), F.lit(" */\n"))
-    nations = files(n, "N", "n_nationkey", F.concat(tag("R", "n_regionkey"), tag("Gone", "n_nationkey")), head)
-    sources = files(s, "S", "s_suppkey", tag("N", "s_nationkey"), F.lit("")).union(nations).union(files(r, "R", "r_regionkey", F.lit("-"), F.lit("")))
+    nations = made(n, "N", "n_nationkey", F.concat(tag("R", "n_regionkey"), tag("Gone", "n_nationkey")), head)
+    sources = made(s, "S", "s_suppkey", tag("N", "s_nationkey"), F.lit("")).union(nations).union(made(r, "R", "r_regionkey", F.lit("-"), F.lit("")))
     sources = Scratch(spark, "sources").put(sources)
     rows = engine.context_of(sources).bundle_rows(sources, 2, "full", hash_lock=True)
     kind = rows.schema["bundle"].dataType
@@ -172,3 +172,30 @@ def bundle_rows(spark, d):
         F.array_join(F.transform("b.meta.missing", lambda m: F.concat_ws(":", m["name"], m["reason"], m["referencedBy"])), ",").alias("missing"), nation["codeHeader"].alias("header"),
         F.element_at(F.split(nation["code"], "\n"), 2).alias("secret_line"), F.size(F.filter("b.graph.nodes", lambda x: x["codeHeader"].isNotNull())).cast("long").alias("n_headers"),
     )
+
+
+@query("""SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'it''s #' || c_custkey WHEN 1 THEN NULL ELSE NULL END AS title, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS DOUBLE) + 0.5 END AS priority, CASE WHEN c_custkey % 4 = 0 THEN true END AS live,
+    CASE WHEN c_custkey % 4 = 0 THEN '[object]' END AS open_graph, CASE WHEN c_custkey % 4 = 1 THEN true END AS has_metadata, c_custkey % 4 = 2 AS dynamic FROM customer""")
+def metadata_values(spark, d):
+    """Values of static metadata as VARIANT: literals by their type, nested ones by kind, an expression as a mark, none."""
+    k = F.col("c_custkey")
+    key = k.cast("string")
+    whole = F.concat(F.lit("export const metadata: Metadata = {\n  title: 'it\\'s #"), key, F.lit("', // { title: 'no' }\n  \"priority\": "), key, F.lit(".5, live: true, gone: null,\n  openGraph: { title: 'x, y' }, list: [1, 2],\n};"))
+    text = F.when(k % 4 == 0, whole).when(k % 4 == 1, "export const metadata = make();").when(k % 4 == 2, "export async function generateMetadata() { return {} }").otherwise("const metadata = { title: 'own' };")
+    found = t(spark, d, "customer").select(k.alias("k"), X.metadata(text).alias("m")).select("k", "m.dynamic", F.parse_json("m.static").alias("v"))
+    get = lambda path, kind, name: F.variant_get("v", f"$.{path}", kind).alias(name)
+    return found.select("k", get("title", "string", "title"), get("priority", "double", "priority"), get("live", "boolean", "live"), get("openGraph", "string", "open_graph"), get("_hasMetadata", "boolean", "has_metadata"), "dynamic")
+
+
+@query("""SELECT 'n' || n_nationkey AS path, CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE '0.3' END AS version, 'src/S' || s_suppkey || '.tsx' AS key, 'S' || s_suppkey AS entry_id, CASE WHEN s_suppkey % 2 = 0 THEN 'a,b' END AS dependencies, CASE WHEN s_suppkey % 3 = 0 THEN 'h' || s_suppkey END AS semantic_hash
+    FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND n_nationkey % 5 <> 4""")
+def manifest_rows(spark, d):
+    """Stored manifests, one for each nation with its suppliers as components, whose fields come and go; every fifth is no JSON."""
+    s, n = t(spark, d, "supplier"), t(spark, d, "nation")
+    key = F.col("s_suppkey").cast("string")
+    node = F.concat(F.lit('{"entryId":"S'), key, F.lit('"'), F.when(F.col("s_suppkey") % 2 == 0, ',"dependencies":["a","b"]').otherwise(',"dependencies":"none"'), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit(',"semanticHash":"h'), key, F.lit('"'))).otherwise(""), F.lit("}"))
+    held = s.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_join(F.collect_list(F.concat(F.lit('"src/S'), key, F.lit('.tsx":'), node)), ",").alias("c"))
+    rows = n.join(held, "n_nationkey", "left").withColumn("c", F.coalesce("c", F.lit("")))
+    text = F.when(F.col("n_nationkey") % 5 == 4, "no { json").otherwise(F.concat(F.lit('{"version":"0.3","components":{'), F.col("c"), F.lit("}}")))
+    out = files.component_fields(files.manifest_rows(rows.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("path"), text.alias("text"))))
+    return out.select("path", "version", "key", "entry_id", F.array_join("dependencies", ",").alias("dependencies"), "semantic_hash")

@@ -54,6 +54,33 @@ def read_index(spark: SparkSession, path: str, index_type: str) -> DataFrame:
     return rows.select(F.explode("folders").alias("f"), known.alias("known")).select(F.col("f.path").alias("folder"), F.col("f.contextFile").alias("context_file"), "f.bundles", F.col("f.isRoot").alias("is_root"), F.col("f.rootLabel").alias("root_label"), "known")
 
 
+def manifest_rows(manifests: DataFrame) -> DataFrame:
+    """manifests(path, text) of a project's stored graph to (path, version, key, component): component is a VARIANT, of any shape.
+
+    A text that is no JSON, or has no components, gives one row with a null key. component_fields() takes the usual fields out.
+    """
+    spark = manifests.sparkSession
+    parsed = manifests.select("path", F.try_parse_json("text").alias("v"))
+    each = spark.tvf.variant_explode_outer(F.try_variant_get(F.col("v").outer(), "$.components", "variant"))
+    out = parsed.lateralJoin(each)
+    return out.select("path", F.try_variant_get("v", "$.version", "string").alias("version"), F.col("key"), F.col("value").alias("component"))
+
+
+def component_fields(rows: DataFrame) -> DataFrame:
+    """manifest_rows with the fields of a component as columns; those that are missing or of another type are null."""
+    get = lambda path, kind: F.try_variant_get("component", f"$.{path}", kind)
+    return rows.select(
+        "path", "version", "key", get("entryId", "string").alias("entry_id"), get("description", "string").alias("description"), get("dependencies", "array<string>").alias("dependencies"),
+        get("usedBy", "array<string>").alias("used_by"), get("imports", "array<string>").alias("imports"), get("routes", "array<string>").alias("routes"), get("semanticHash", "string").alias("semantic_hash"),
+    )
+
+
+def read_manifests(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """component_fields of all manifests of that file name below root."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).option("wholetext", True).format("text").load(root)
+    return component_fields(manifest_rows(_paths(raw.withColumnRenamed("value", "text"), "text")))
+
+
 def package_versions(manifests: DataFrame) -> DataFrame:
     """manifests(root, text of package.json) to (root, name, version): dependencies before devDependencies before peerDependencies."""
     kinds = ("dependencies", "devDependencies", "peerDependencies")
