@@ -136,3 +136,19 @@ def test_chat(spark):
     parts = spark.createDataFrame([(1, 0, "user", [("text", "see ", None, None, None, None, None), ("image", None, "i.png", 56, 28, None, None), ("audio", None, "a", None, None, 2.0, None)])], f"conv_id bigint, turn bigint, role string, parts {chat.PARTS}")
     r = chat.format_turns(parts).first()
     assert "see <|image:0|><|audio:1|>" in r["segment"] and [a["tokens"] for a in r["attachments"]] == [2, 50]
+
+
+def test_chat_order_of_ties_and_nulls(spark):
+    rows = [(1, 0, "user", "x!"), (1, 0, "user", "x"), (1, None, "user", "late"), (1, 0, None, None), (1, 0, "assistant", "%"), (1, 0, "assistant", "$"), (None, 0, "user", "no id"), (2, 0, "user", "long " * 200000)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({"tie": F.lit(1), "segment": F.lit("z")})
+    back = {r["conv_id"]: [t["text"] for t in r["turns"]] for r in chat.read_back(chat.join_turns(chat.format_turns(turns))).collect()}
+    assert back == {1: ["", "$", "%", "x", "x!", "late"], None: ["no id"], 2: ["long " * 200000]}
+    assert chat.join_turns(chat.format_turns(turns.where("false"))).count() == 0
+
+
+def test_licenses_of_repeated_and_long_texts(spark):
+    text = "word " * 300000 + "Apache License, Version 2.0. SPDX-License-Identifier: MIT OR GPL-2.0"
+    df = spark.createDataFrame([(k, text) for k in range(3)] + [(3, "General public license")], "doc_id bigint, text string").withColumn("labels", F.lit(0))
+    out = {r["doc_id"]: r for r in licenses.scan_licenses(df).collect()}
+    assert out[0]["labels"] == out[2]["labels"] == "apache,apache-2.0,gpl-2.0,mit" and out[0]["tags_allowed"] is True and out[0]["first_word"] == 300000
+    assert (out[3]["base_labels"], out[3]["labels"], out[3]["n_base"], out[3]["last_word"], out[3]["tags_allowed"]) == ("gpl", "gpl", 1, 0, None)

@@ -60,17 +60,19 @@ def visit(parts: Column) -> tuple[Column, Column]:
 
 
 def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """turns plus segment (the formatted turn), loss_start (1-based, in code points), loss_length and attachments.
+    """turns plus segment (the formatted turn), loss_start (1-based, in code points), loss_length, attachments and tie (its text as given).
 
     One row in, one row out, nothing is shuffled. turns has conv_id, turn, role and text, or ``parts`` (PARTS) in place
     of text. Null roles and texts are empty; empty texts keep their turn.
     """
-    turns = turns.drop("segment", "loss_start", "loss_length", "attachments")
+    turns = turns.drop("segment", "loss_start", "loss_length", "attachments", "tie")
     if "parts" in turns.columns:
         body, attachments = visit(F.coalesce("parts", F.array().cast(PARTS)))
+        tie = F.array_join(F.transform(F.coalesce("parts", F.array().cast(PARTS)), lambda p: F.coalesce(p["text"], F.lit(""))), "")
     else:
         body, attachments = escape(F.col("text")), F.array().cast("array<struct<k:int,type:string,ref:string,tokens:bigint>>")
-    out = turns.withColumns({"_head": F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")), "_body": body, "attachments": attachments})
+        tie = F.coalesce("text", F.lit(""))
+    out = turns.withColumns({"_head": F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")), "_body": body, "attachments": attachments, "tie": tie})
     lossy = F.coalesce(F.col("role").isin(*loss_roles), F.lit(False))
     return out.withColumns({
         "segment": F.concat("_head", "_body", F.lit(END + "\n")),
@@ -82,10 +84,10 @@ def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
 def join_turns(segments: DataFrame) -> DataFrame:
     """One row per conversation: formatted text, and for each turn where its loss lies in its segment.
 
-    Ordered by turn, ties by segment. A conversation becomes one string, so it must fit a row (2 GB); the shuffle carries
+    Ordered by turn, null turns last, ties by role, then by the text as given. A conversation becomes one string, so it must fit a row (2 GB); the shuffle carries
     each segment once. Null conv_ids form a conversation.
     """
-    turn = F.struct("turn", "segment", "loss_start", "loss_length", "attachments")
+    turn = F.struct(F.col("turn").isNull().alias("late"), "turn", F.coalesce("role", F.lit("")).alias("role"), "tie", "segment", "loss_start", "loss_length", "attachments")
     out = segments.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("_t"))
     return out.select(
         "conv_id", F.array_join(F.col("_t.segment"), "").alias("formatted"),
@@ -111,6 +113,7 @@ def read_back(chats: DataFrame) -> DataFrame:
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back, and one more that says control strings."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     control = f"{END}{START}assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))

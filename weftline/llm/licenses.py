@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.shared import small_batches
+
 # Phrases whose places are counted, and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 # Further notices.
@@ -129,8 +131,11 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs plus n_words, n_base, first_word, last_word, base_labels, labels, score and tags_allowed.
 
     score is 1 - 2^-h for h notices and tags in the text. tags_allowed: whether every tagged expression can be met with
-    allowed licences; null without a well-formed tag. A null text is empty. No shuffle; other columns stay in the JVM.
+    allowed licences; null without a well-formed tag. A null text is empty, an empty table gives no rows, equal texts give
+    equal columns, and columns of docs with these names are replaced. Texts are read whole, whatever their length; an Arrow
+    batch holds a few MB of them. No shuffle; other columns stay in the JVM.
     """
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf(RESULT)
     def scan(text: pa.Array) -> pa.Array:
@@ -144,5 +149,6 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """Every document with its licence labels."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return scan_licenses(docs).drop("text")
