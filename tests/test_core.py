@@ -71,6 +71,8 @@ def test_every_query_agrees_with_sql(spark):
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, run in QUERIES.items():
+        if name == "incremental_rebuild":  # tests/test_incremental.py compares more
+            continue
         ours = run(spark, sf)
         names = ", ".join(f'"{c}"' for c in ours.columns)
         want = con.sql(f"SELECT {names} FROM ({ORACLES[name]})").fetchall()
