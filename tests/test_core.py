@@ -94,6 +94,9 @@ def test_style_sheets_and_libraries(spark):
     r = style.with_sheets(style.style(src), sheet).first()
     assert sorted(r["classes"]) == ["md:flex", "p-1"] and r["style_sheet"] == "./a.scss" and r["sheet"]["has_nesting"] and r["sheet"]["has_variables"] and r["sheet"]["has_media"]
     assert r["sheet"]["properties"] == ["color", "margin", "top"] and r["styled"]["tags"] == ["div"] and r["styled"]["theme"] and r["motion"]["gestures"] and r["motion"]["tags"] == ["div"]
+    up = spark.createDataFrame([("src/a/X.tsx", "../css/./y.css")], "path string, style_sheet string")
+    held = spark.createDataFrame([("src/css/y.css", ".q { top: 1px; }")], "path string, text string")
+    assert style.with_sheets(up, held).first()["sheet"]["selectors"] == [".q"]
     assert r["styled_jsx"]["global"] and r["styled_jsx"]["details"]["properties"] == ["color"] and r["animation"]["library"] == "motion"
     assert [(x["component"], x["n"]) for x in style.ui_usage(src, "path", "@mui/material", 20).orderBy("rank").collect()] == [("Button", 2), ("Card", 1)]
 

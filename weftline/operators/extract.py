@@ -489,48 +489,70 @@ def kind(text: Text, path: Column, imports_of: Column, hooks_of: Column, compone
     )
 
 
+# What a module or a component is by words in its name, in order, and what it is otherwise.
+MODULE_WORDS = [(("util", "helper"), "Utility module"), (("config",), "Configuration module"), (("type", "interface"), "Type definitions")]
+COMPONENT_WORDS = [
+    (("button",), "Interactive button component"), (("form",), "Form component with validation"), (("modal", "dialog"), "Modal/dialog component"),
+    (("input", "field"), "Form input field"), (("card",), "Card display component"), (("nav", "menu"), "Navigation component"),
+]
+KINDS = {"cli": "CLI entry point", "module": "TypeScript module", "hook": "Custom React hook"}
+BY_FACETS = {"both": "Interactive component with internal state", "state": "Stateful component", "events": "Interactive component", "none": "Presentational component"}
+# Predictions in order, each with the hooks it is made of and the parts of names of hooks, functions or state.
+PREDICTIONS = [
+    ("Includes form validation logic", ("useForm",), {"functions": ("validate",)}), ("Has side effects managed by useEffect", ("useEffect",), {}),
+    ("Fetches or mutates external data", (), {"hooks": ("Query", "Mutation"), "functions": ("fetch", "load")}), ("Uses memoization for performance optimization", ("useMemo", "useCallback"), {}),
+    ("Consumes React Context for shared state", ("useContext",), {}), ("Uses refs for DOM access or mutable values", ("useRef",), {}),
+    ("Manages loading/pending UI states", (), {"state": ("loading", "pending")}), ("Handles and displays error states", (), {"state": ("error",)}),
+]
+# Presets with the events they allow, and the messages of what they forbid or want.
+PRESET_EVENTS = {"submit-only": ["onSubmit"], "nav-only": ["onClick"], "display-only": []}
+PRESET_MESSAGES = {
+    "submit-only": "Submit-only contract violated: remove events", "nav-only": "Nav-only contract violated: remove events", "nav-only wants": "Nav-only contract expects an onClick navigation handler",
+    "display-only": "Display-only contract violated: no events permitted, found", "display-only state": "Display-only contract should minimize internal state, found",
+}
+
+
+def _by_words(low: Column, words: list[tuple[tuple[str, ...], str]], otherwise: Column | str) -> Column:
+    return reduce(lambda c, w: c.when(reduce(lambda a, b: a | b, [low.contains(x) for x in w[0]]), w[1]), words, F).otherwise(otherwise)
+
+
 def description(path: Column, kind_of: Column, has_state: Column, has_events: Column) -> Column:
     """What a file is, by its kind and the words in its name, then by state and events."""
     name = F.coalesce(_or_null(_part(path, r"([^/]*?)(?:\.tsx?)?$")), F.lit("Component"))
     low = F.lower(name)
-    has = lambda *words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
-    module = F.when(has("util", "helper"), "Utility module").when(has("config"), "Configuration module").when(has("type", "interface"), "Type definitions").otherwise("TypeScript module")
+    by_facets = F.when(has_state & has_events, BY_FACETS["both"]).when(has_state, BY_FACETS["state"]).when(has_events, BY_FACETS["events"]).otherwise(BY_FACETS["none"])
     what = (
-        F.when(kind_of == "node:cli", "CLI entry point").when(kind_of == "ts:module", module).when(kind_of == "react:hook", "Custom React hook")
-        .when(has("button"), "Interactive button component").when(has("form"), "Form component with validation").when(has("modal", "dialog"), "Modal/dialog component")
-        .when(has("input", "field"), "Form input field").when(has("card"), "Card display component").when(has("nav", "menu"), "Navigation component")
-        .when(has_state & has_events, "Interactive component with internal state").when(has_state, "Stateful component").when(has_events, "Interactive component").otherwise("Presentational component")
+        F.when(kind_of == "node:cli", KINDS["cli"]).when(kind_of == "ts:module", _by_words(low, MODULE_WORDS, KINDS["module"])).when(kind_of == "react:hook", KINDS["hook"])
+        .otherwise(_by_words(low, COMPONENT_WORDS, by_facets))
     )
     return F.concat(name, F.lit(" - "), what)
 
 
 def predictions(hooks_of: Column, functions_of: Column, state_names: Column) -> Column:
     """What the names of hooks, functions and state let expect; independent rules, in fixed order."""
-    hook = lambda *names: F.exists(hooks_of, lambda h: h.isin(*names))
-    like = lambda items, *words: F.exists(items, lambda x: reduce(lambda a, b: a | b, [x.contains(w) for w in words]))
-    return F.array_compact(F.array(
-        F.when(hook("useForm") | like(functions_of, "validate"), "Includes form validation logic"),
-        F.when(hook("useEffect"), "Has side effects managed by useEffect"),
-        F.when(like(hooks_of, "Query", "Mutation") | like(functions_of, "fetch", "load"), "Fetches or mutates external data"),
-        F.when(hook("useMemo", "useCallback"), "Uses memoization for performance optimization"),
-        F.when(hook("useContext"), "Consumes React Context for shared state"), F.when(hook("useRef"), "Uses refs for DOM access or mutable values"),
-        F.when(like(state_names, "loading", "pending"), "Manages loading/pending UI states"), F.when(like(state_names, "error"), "Handles and displays error states"),
-    ))
+    named = {"hooks": hooks_of, "functions": functions_of, "state": state_names}
+    like = lambda items, words: F.exists(items, lambda x: reduce(lambda a, b: a | b, [x.contains(w) for w in words]))
+
+    def holds(exact: tuple[str, ...], parts: dict) -> Column:
+        rules = [like(named[k], words) for k, words in parts.items()] + ([F.exists(hooks_of, lambda h: h.isin(*exact))] if exact else [])
+        return reduce(lambda a, b: a | b, rules)
+
+    return F.array_compact(F.array(*[F.when(holds(exact, parts), text) for text, exact, parts in PREDICTIONS]))
 
 
 def preset_violations(preset: str, event_names: Column, state_names: Column) -> Column:
     """Messages for what a contract preset (submit-only, nav-only, display-only, none) forbids or wants."""
-    allowed = {"submit-only": ["onSubmit"], "nav-only": ["onClick"], "display-only": []}.get(preset)
+    allowed = PRESET_EVENTS.get(preset)
     if allowed is None:
         return F.array().cast("array<string>")
     other = F.filter(event_names, lambda e: ~e.isin(*allowed)) if allowed else event_names
     named = lambda text, items: F.when(F.size(items) > 0, F.concat(F.lit(text + " ["), F.array_join(items, ", "), F.lit("]")))
-    rules = {
-        "submit-only": [named("Submit-only contract violated: remove events", other)],
-        "nav-only": [named("Nav-only contract violated: remove events", other), F.when(~F.array_contains(event_names, "onClick"), "Nav-only contract expects an onClick navigation handler")],
-        "display-only": [named("Display-only contract violated: no events permitted, found", other), named("Display-only contract should minimize internal state, found", state_names)],
-    }
-    return F.array_compact(F.array(*rules[preset]))
+    rules = [named(PRESET_MESSAGES[preset], other)]
+    if preset == "nav-only":
+        rules.append(F.when(~F.array_contains(event_names, "onClick"), PRESET_MESSAGES["nav-only wants"]))
+    if preset == "display-only":
+        rules.append(named(PRESET_MESSAGES["display-only state"], state_names))
+    return F.array_compact(F.array(*rules))
 
 
 PROP = "array<struct<name:string,type:string,optional:boolean,literals:array<string>,signature:string>>"

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.paths import normalize, parent
 from weftline.operators.extract import Text, _all, _or_null, _part, imports, sorted_set
 from weftline.operators.lexer import NEST_CODE, PLAIN_TEMPLATE, STRING, VIEWS, Source, inside, pieces, scanned, without_comments
 
@@ -277,6 +278,6 @@ def style(sources: DataFrame) -> DataFrame:
 
 def with_sheets(styles: DataFrame, sheets: DataFrame) -> DataFrame:
     """style rows (path, style_sheet) joined to the parsed style sheet that they import; sheets(path, text)."""
-    folder, rel = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1), F.regexp_replace("style_sheet", r"^\./", "")
-    parsed = sheets.select(F.col("path").alias("_sheet"), css_details(F.col("text")).alias("sheet"))
-    return styles.withColumn("_sheet", F.concat(folder, rel)).join(parsed, "_sheet", "left").drop("_sheet")
+    beside = F.when(F.col("style_sheet").startswith("/"), F.col("style_sheet")).otherwise(F.concat(parent(F.col("path")), "style_sheet"))
+    parsed = sheets.select(normalize(F.col("path")).alias("_sheet"), css_details(F.col("text")).alias("sheet"))
+    return styles.withColumn("_sheet", normalize(beside)).join(parsed, "_sheet", "left").drop("_sheet")
