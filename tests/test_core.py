@@ -132,3 +132,10 @@ function K() { const [m, setM] = useState<Map<string, number>>(new Map()); const
     assert [tuple(s) for s in r["state"]] == [("m", "Map<string, number"), ("s", "array")]
     assert [(p["name"], p["type"], p["optional"]) for p in r["props"]] == [("'data-id'", "string", None), ("kind", "literal-union", True), ("p", "string", True), ("q", "number", True)]
     assert r["functions"] == ["K", "useX"]
+
+
+def test_token_delta_of_missing_sides(spark):
+    old = spark.createDataFrame([("a", "x" * 10), ("a", "y" * 7), ("gone", "z")], "folder string, text string")
+    new = spark.createDataFrame([("a", "x" * 30), ("new", "{}")], "folder string, text string")
+    out = {r["folder"]: (r["gpt_old"], r["gpt_new"], r["gpt_delta"], r["percent"]) for r in scan.token_delta(old, new).collect()}
+    assert out == {"a": (5, 8, 3, 60.0), "gone": (1, 0, -1, -100.0), "new": (0, 1, 1, 0.0)}

@@ -133,3 +133,20 @@ def mode_estimates(files: DataFrame, contract_tokens: Column) -> DataFrame:
 
 def first_per_group(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def token_delta(old: DataFrame, new: DataFrame, key: str = "folder") -> DataFrame:
+    """(key, gpt_old, gpt_new, gpt_delta, claude_old, claude_new, claude_delta, percent) of the JSON arrays that the bundles make.
+
+    old and new hold (key, text), text being a bundle's compact JSON. A side without a key has no tokens; percent is the change
+    of gpt against old, 0 where there was none. Lengths are added up, so no array is built.
+    """
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        length = F.sum(F.char_length("text").cast("bigint")) + F.count(F.lit(1)) + 1  # commas between, brackets around
+        made = df.groupBy(key).agg(length.alias("n"))
+        return made.select(key, F.ceil(F.col("n") / 4).cast("bigint").alias(f"gpt_{name}"), F.ceil(F.col("n") / 4.5).cast("bigint").alias(f"claude_{name}"))
+
+    both = side(old, "old").join(side(new, "new"), key, "full_outer").fillna(0, ["gpt_old", "gpt_new", "claude_old", "claude_new"])
+    percent = F.when(F.col("gpt_old") > 0, F.round(100 * (F.col("gpt_new") - F.col("gpt_old")) / F.col("gpt_old"), 2)).otherwise(0.0)
+    return both.select(key, "gpt_old", "gpt_new", (F.col("gpt_new") - F.col("gpt_old")).alias("gpt_delta"), "claude_old", "claude_new", (F.col("claude_new") - F.col("claude_old")).alias("claude_delta"), percent.alias("percent"))

@@ -11,6 +11,7 @@ from weftline.functions.canonical import canonical_json, collated
 from weftline.operators import contract as C
 from weftline.operators import extract as X
 from weftline.operators import report as R
+from weftline.operators import scan as S
 from weftline.plans.registry import query, t
 from weftline.sources import files, sinks
 from weftline.storage import Scratch
@@ -199,3 +200,16 @@ def manifest_rows(spark, d):
     text = F.when(F.col("n_nationkey") % 5 == 4, "no { json").otherwise(F.concat(F.lit('{"version":"0.3","components":{'), F.col("c"), F.lit("}}")))
     out = files.component_fields(files.manifest_rows(rows.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("path"), text.alias("text"))))
     return out.select("path", "version", "key", "entry_id", F.array_join("dependencies", ",").alias("dependencies"), "semantic_hash")
+
+
+@query("""WITH b AS (SELECT coalesce(source, '-') || '/' || coalesce(lang, '-') AS folder, length(coalesce(text, '')) AS a, length(coalesce(text, '')) + CASE WHEN doc_id % 2 = 0 THEN 40 ELSE 0 END AS z FROM documents),
+        n AS (SELECT folder, sum(a) + count(*) + 1 AS a, sum(z) + count(*) + 1 AS z FROM b GROUP BY 1),
+        g AS (SELECT folder, CAST(ceil(a / 4.0) AS BIGINT) AS gpt_old, CAST(ceil(z / 4.0) AS BIGINT) AS gpt_new, CAST(ceil(a / 4.5) AS BIGINT) AS claude_old, CAST(ceil(z / 4.5) AS BIGINT) AS claude_new FROM n)
+    SELECT folder, gpt_old, gpt_new, gpt_new - gpt_old AS gpt_delta, claude_old, claude_new, claude_new - claude_old AS claude_delta, round(100.0 * (gpt_new - gpt_old) / gpt_old, 2) AS percent FROM g""")
+def token_delta(spark, d):
+    """Tokens of each folder before and after every second text grew by forty characters."""
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-"))).alias("folder")
+    text = F.coalesce("text", F.lit(""))
+    docs = t(spark, d, "documents")
+    grown = F.when(F.col("doc_id") % 2 == 0, F.concat(text, F.repeat(F.lit("x"), F.lit(40)))).otherwise(text)
+    return S.token_delta(docs.select(folder, text.alias("text")), docs.select(folder, grown.alias("text")))
