@@ -510,6 +510,16 @@ PRESET_MESSAGES = {
     "submit-only": "Submit-only contract violated: remove events", "nav-only": "Nav-only contract violated: remove events", "nav-only wants": "Nav-only contract expects an onClick navigation handler",
     "display-only": "Display-only contract violated: no events permitted, found", "display-only state": "Display-only contract should minimize internal state, found",
 }
+# What each preset predicts, with the rule that must hold (none: always), and the names that the rules look for.
+PRESET_PREDICTIONS = {
+    "submit-only": [
+        ("", "Contract preset: submit-only"), ("submits", "When loading=true, submit button should be disabled"), ("submits", "onSubmit is the only permitted action handler"),
+        ("loads", "Loading state controls button disabled state"),
+    ],
+    "nav-only": [("", "Contract preset: nav-only"), ("", "Component handles navigation only, no form submission or data mutation"), ("leads", "Navigation target specified via href/to prop")],
+    "display-only": [("", "Contract preset: display-only"), ("", "Component is purely presentational with no event handlers"), ("", "All behavior driven by props only")],
+}
+LOADING, TARGETS = ("loading", "busy", "isLoading"), ("href", "to")
 
 
 def _by_words(low: Column, words: list[tuple[tuple[str, ...], str]], otherwise: Column | str) -> Column:
@@ -555,6 +565,18 @@ def preset_violations(preset: str, event_names: Column, state_names: Column) ->
     return F.array_compact(F.array(*rules))
 
 
+def preset_predictions(preset: str, event_names: Column, state_names: Column, prop_names: Column) -> Column:
+    """What a contract preset lets expect of a file with these events, state and props, in fixed order; empty for none."""
+    texts = PRESET_PREDICTIONS.get(preset)
+    if texts is None:
+        return F.array().cast("array<string>")
+    holds = {
+        "": F.lit(True), "submits": F.array_contains(event_names, "onSubmit"), "loads": F.arrays_overlap(state_names, F.array(*map(F.lit, LOADING))),
+        "leads": F.arrays_overlap(prop_names, F.array(*map(F.lit, TARGETS))),
+    }
+    return F.array_compact(F.array(*[F.when(holds[rule], text) for rule, text in texts]))
+
+
 PROP = "array<struct<name:string,type:string,optional:boolean,literals:array<string>,signature:string>>"
 
 

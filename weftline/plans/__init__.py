@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills registry.QUERIES and registry.ORACLES."""
 
-from weftline.plans import incremental_queries, registry, source_queries, table_queries  # noqa: F401
+from weftline.plans import incremental_queries, registry, source_queries, summary_queries, table_queries  # noqa: F401

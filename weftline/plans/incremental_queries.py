@@ -100,7 +100,7 @@ def format_toon(spark, d):
     lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("held"))
     held = lambda c: F.transform("held", lambda h: h[c])
     bundles = t(spark, d, "orders").join(lines, "o_orderkey").select(F.col("o_custkey").alias("folder"), F.col("o_orderkey").alias("entry_id"), held("x").alias("lines"), held("f").alias("flags"))
-    out = sinks.format_bundles(bundles, "toon")
+    out = sinks.format_bundles(bundles, "toon").withColumn("place", F.col("place").cast("int"))
     read = compact.decode(F.col("line"), "`$schema` string, position string, entry_id bigint, lines array<struct<part:bigint,flag:string,mode:string>>, flags array<string>")
     again = out.select("folder", "place", read.alias("v"))
     text = compact.encode(F.col("v"), again.schema["v"].dataType)

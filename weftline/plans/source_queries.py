@@ -302,4 +302,4 @@ def root_labels(spark, d):
     '{{"$schema":"{sinks.SCHEMA_URL}","position":"' || row_number() OVER (PARTITION BY m % 2 ORDER BY k) || '/' || count(*) OVER (PARTITION BY m % 2) || '","entry_id":' || k || '}}' AS line FROM {K}""")
 def format_ndjson(spark, d):
     rows = sources(spark, d).select(F.concat(F.lit("src/"), F.when(F.col("m") % 2 == 0, "even").otherwise("odd")).alias("folder"), F.col("k").alias("entry_id"))
-    return sinks.format_bundles(rows, "ndjson")
+    return sinks.format_bundles(rows, "ndjson").withColumn("place", F.col("place").cast("int"))

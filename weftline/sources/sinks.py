@@ -8,11 +8,28 @@ from pyspark.sql import functions as F
 from weftline.functions import compact
 from weftline.functions.paths import root_label
 from weftline.operators.scan import tokens_claude, tokens_gpt
+from weftline.storage import Scratch
 
 SCHEMA_URL = "https://example.org/schemas/context/v0.1.json"
 FORMATS = ("json", "ndjson", "pretty", "toon")
 
 
+def with_places(df: DataFrame, group: str, order: str) -> DataFrame:
+    """df with place (from 1, by order) and _n (rows) within its group, where a group may hold any share of the rows.
+
+    Rows are sorted in ranges and written; a range's place in its group is the rows of the ranges before it, so that no task
+    sees more than its range. Rows of one group and order stand in one range. A null group is a group, with null order first.
+    """
+    scratch = Scratch(df.sparkSession, "places")
+    ranged = scratch.put(df.repartitionByRange(group, order).withColumn("_slice", F.spark_partition_id()))
+    counts = ranged.groupBy(F.col(group).alias("_g"), F.col("_slice").alias("_s")).agg(F.count(F.lit(1)).alias("_rows"))
+    of = Window.partitionBy("_g")  # as many rows as a group has ranges
+    counts = counts.select("_g", "_s", (F.sum("_rows").over(of.orderBy("_s")) - F.col("_rows")).alias("_before"), F.sum("_rows").over(of).alias("_n"))
+    row = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(order))
+    out = ranged.withColumn("_row", row).join(counts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_slice") == F.col("_s")))
+    return out.select(*df.columns, (F.col("_before") + F.col("_row")).alias("place"), "_n")
+
+
 def format_bundles(bundles: DataFrame, fmt: str = "json", order: str = "entry_id", schema_url: str = SCHEMA_URL) -> DataFrame:
     """bundles (folder and any columns) to (folder, place, line): each bundle as JSON with its position i/n in its folder.
 
@@ -20,8 +37,7 @@ def format_bundles(bundles: DataFrame, fmt: str = "json", order: str = "entry_id
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt}")
-    by = Window.partitionBy("folder")
-    placed = bundles.withColumns({"place": F.row_number().over(by.orderBy(order)), "_n": F.count(F.lit(1)).over(by)})
+    placed = with_places(bundles, "folder", order)
     position = F.concat_ws("/", F.col("place").cast("string"), F.col("_n").cast("string"))
     row = F.struct(F.lit(schema_url).alias("$schema"), position.alias("position"), *[c for c in bundles.columns if c != "folder"])
     if fmt == "toon":
@@ -36,9 +52,9 @@ def format_bundles(bundles: DataFrame, fmt: str = "json", order: str = "entry_id
 
 
 def write_context(bundles: DataFrame, path: str, fmt: str = "json", order: str = "entry_id") -> None:
-    """Lines of each folder in order below path/folder=…; a folder is sorted within its task, never gathered."""
+    """Lines of each folder below path/folder=…, in order over its part files by name; a large folder has several."""
     lines = format_bundles(bundles, fmt, order)
-    lines.repartition("folder").sortWithinPartitions("folder", "place").select("folder", "line").write.mode("overwrite").partitionBy("folder").text(path)
+    lines.repartitionByRange("folder", "place").sortWithinPartitions("folder", "place").select("folder", "line").write.mode("overwrite").partitionBy("folder").text(path)
 
 
 def index(bundles: DataFrame, text: Column) -> DataFrame:
