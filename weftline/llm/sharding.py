@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from weftline.llm.shared import Scratch, broadcast_if_small
 
 BUCKET_BYTES = 8 << 20
+REPEATS = 1024  # rows of one hash that stay together
 BLOCK = 1024  # buckets whose offsets are added up in one group
 
 
@@ -27,13 +28,29 @@ def _fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     return order
 
 
+def _spread(dealt: DataFrame, often: DataFrame, names: list[str]) -> DataFrame:
+    """dealt (names and _key) with a key of its own for each of the equal rows whose key is among often(_key).
+
+    Equal rows are counted, which joins them before the shuffle, and their number is cut into runs of REPEATS that are dealt to
+    tasks and made rows again there.
+    """
+    runs = dealt.join(often, "_key", "left_semi").groupBy("_key", *names).agg(F.count(F.lit(1)).alias("_c"))
+    runs = runs.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_c - 1) div {REPEATS}"))))
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.repartition(parts, "_key", "_run").withColumn("_i", F.explode(F.sequence(F.col("_run") * REPEATS, F.least((F.col("_run") + 1) * REPEATS, F.col("_c")) - 1)))
+    made = runs.select(*names, F.xxhash64("_key", "_i").alias("_key"))
+    return dealt.join(often, "_key", "left_anti").select(*names, "_key").union(made)
+
+
 def shuffle_shards(docs: DataFrame, n_shards: int, seed: int = 17, size_col: str | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All rows of docs, plus ``shard`` (int) and ``slot`` (long, gapless from 0 in its shard), in shuffled order.
 
-    The hash takes every column, so copies of a text with other ids scatter too; rows equal in all columns share a bucket.
-    Pass two sorts a bucket by that hash before shuffling it, so a task that runs again deals the same order. Columns of
-    docs named shard or slot are replaced. Null values hash like any value; an empty table gives no rows.
-    The two passes read docs twice; the second shuffles each row once. Only a bucket's rows are ever held together.
+    The hash takes every column, so copies of a text with other ids scatter too. Rows equal in all columns scatter by a number
+    of their own where more than ``REPEATS`` share a hash: since they are interchangeable, they are counted and made again, so
+    no task holds them all. Pass two sorts a bucket by that hash before shuffling it, so a task that runs again deals the same
+    order. Columns of docs named shard or slot are replaced. Null values hash like any value; an empty table gives no rows.
+    The two passes read docs twice; the second shuffles each row once. Only a bucket's rows are ever held together; equal rows
+    with a map among their columns, which cannot be compared, share a bucket.
     """
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
@@ -46,9 +63,16 @@ def shuffle_shards(docs: DataFrame, n_shards: int, seed: int = 17, size_col: str
     # maps cannot be hashed; every other type can
     hashed = [c for c, t in docs.dtypes if not t.startswith("map") and "map<" not in t] or [F.lit(0)]
     key = F.xxhash64(F.lit(seed), *hashed)
-    dealt = docs.withColumn("_key", key).withColumn("_bucket", F.pmod("_key", F.lit(buckets)))
-
-    counts = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", F.floor(F.col("_bucket") / BLOCK))
+    dealt = docs.withColumn("_key", key)
+    keys = scratch.put(dealt.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")))
+    often = keys.where(F.col("_n") > REPEATS).select("_key")
+    if len(hashed) == len(names) and often.limit(1).count():
+        dealt = _spread(dealt, broadcast_if_small(scratch.put(often), 1 << 17), names)
+        keys = scratch.put(dealt.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")))
+    bucket = F.pmod("_key", F.lit(buckets))
+    dealt = dealt.withColumn("_bucket", bucket)
+
+    counts = keys.groupBy(bucket.alias("_bucket")).agg(F.sum("_n").alias("_n")).withColumn("_block", F.floor(F.col("_bucket") / BLOCK))
     counts = scratch.put(counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_block").orderBy("_bucket")) - F.col("_n")))
     block = counts.groupBy("_block").agg(F.sum("_n").alias("_bn"))
     block = block.withColumn("_base", F.sum("_bn").over(Window.orderBy("_block")) - F.col("_bn"))
