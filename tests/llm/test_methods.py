@@ -1,6 +1,7 @@
 """Operators against plain versions of the same rule."""
 
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -54,8 +55,20 @@ def test_language_of_large_scripts_and_of_copies(spark):
     rows = [("same text again and again", "en")] * 500 + [(f"text number {k}", "en") for k in range(100)]
     sample = langid.labelled_sample(spark.createDataFrame(rows, "text string, lang string"))
     assert sample["en"].count("same text") <= 1 and 60 <= sample["en"].count("text") <= 64
-    long = langid.labelled_sample(spark.createDataFrame([("word " * 30000, "x"), ("short one", "x"), ("word " * 20000, "y")], "text string, lang string"))
-    assert long["x"] == "short one" and long["y"] == "word " * 20000
+
+
+def test_labelled_sample_takes_passages_of_texts_of_any_length(spark):
+    """Passages come from anywhere in a long text, none for its size; equal ones count once; many languages have one each."""
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(long, "x"), ("short one", "x"), ("word " * 20_000, "y"), ("", "z"), (None, "z")]
+    sample = langid.labelled_sample(spark.createDataFrame(rows, "text string, lang string"))
+    passages = [sample["x"][k : k + 1000] for k in range(0, len(sample["x"]), 1001)]
+    assert len(passages) == 64 and all(long.count(p) == 1 and long.index(p) % 1000 == 0 for p in passages)
+    places = sorted(long.index(p) for p in passages)
+    assert places[0] < len(long) / 4 and places[-1] > 3 * len(long) / 4
+    assert sample["y"] == "word " * 200 and sample["z"] == ""
+    many = langid.labelled_sample(spark.createDataFrame([(f"text {k} {j}", f"l{k}") for k in range(30) for j in range(5)], "text string, lang string"), total=20)
+    assert len(many) == 30 and all(len(v.split()) == 3 for v in many.values())
 
 
 def test_tokens_equal_the_tokenizers():
@@ -118,6 +131,20 @@ def test_shards_hold_every_document_once(spark):
     counts = np.bincount([r["shard"] for r in ours], minlength=24)
     assert counts.max() - counts.min() <= 1
     assert sorted((r["shard"], r["slot"]) for r in ours) == [(s, k) for s in range(24) for k in range(counts[s])]
+    texts = dict(con.sql(f"SELECT doc_id, coalesce(text, '') FROM '{SF}/documents.parquet'").fetchall())
+    assert all(r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in ours)
+
+
+def test_equal_rows_scatter(spark, tmp_path):
+    """6000 rows equal in all columns lie in every shard, in runs no longer than chance makes them, and are all written."""
+    hot = spark.range(6000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit("copy").alias("text"))
+    rest = spark.range(3000).select((F.col("id") + 2).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    sharding.write_shards(hot.union(rest), str(tmp_path / "shards"), 6, size_col="text")
+    out = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert sorted((r["shard"], r["slot"]) for r in out) == [(s, k) for s in range(6) for k in range(1500)]
+    assert sorted((r["doc_id"], r["text"]) for r in out) == sorted([(1, "copy")] * 6000 + [(k + 2, f"text {k}") for k in range(3000)])
+    share = np.bincount([r["shard"] for r in out if r["doc_id"] == 1], minlength=6)
+    assert share.min() > 850 and share.max() < 1150
 
 
 def test_licence_phrases_by_brute_force(spark):

@@ -21,9 +21,9 @@ from weftline.llm.text import chunks, release, utf8
 SEGMENT = 256
 LANES = 1 << 14  # segments and languages parsed side by side
 CHUNK_BYTES = 1 << 20  # of texts parsed together; a longer one comes alone
-SAMPLE_DOCS = 64  # labelled documents per language, at most
-SAMPLE_CHARS = 64_000  # characters of them together per language, whole documents only
-SAMPLE_ALL = 4_000_000  # characters of all languages together; with many languages each has fewer documents
+PASSAGE = 1000  # characters of a passage of labelled text
+SAMPLE_PASSAGES = 64  # passages per language, at most
+SAMPLE_ALL = 4000  # passages of all languages together; with many languages each has fewer, but one at least
 
 
 def _lower_letters() -> np.ndarray:
@@ -224,31 +224,28 @@ class CrossParser:
         return [(self.languages[b], float(m)) if k else ("und", 0.0) for b, m, k in zip(best, np.clip(margin, 0, 1), n)]
 
 
-def labelled_sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, total: int = SAMPLE_ALL, seed: int = 5) -> dict[str, str]:
-    """Labelled text per language: whole documents with the smallest seeded hashes of their text, each text once.
+def labelled_sample(docs: DataFrame, per_language: int = SAMPLE_PASSAGES, total: int = SAMPLE_ALL, seed: int = 5) -> dict[str, str]:
+    """Labelled text per language: passages of whole labelled documents with the smallest seeded hashes, each passage once.
 
-    Of the docs_per_language first ones those are taken, in order, that keep the language within its characters (chars, or
-    with many languages its share of total); if even the first does not fit, the shortest alone. Only that reaches the driver.
+    Every document is cut into passages of PASSAGE characters from its first to its last, so that any part of a text of any
+    length can be drawn and none is left out for its size. per_language of them are taken, or with many languages an equal
+    share of total; only these reach the driver. Rows without language or text teach nothing.
     """
-    known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.lit(seed), "text").alias("_h"))
-    distinct = known.groupBy("lang", "_h").agg(F.min(F.char_length("text")).alias("_n"))
-    rank = Window.partitionBy("lang").orderBy("_h")
-    first = distinct.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= docs_per_language)
-    each = max(1, min(chars, total // max(1, known.select("lang").distinct().count())))
-    chosen, room, short = [], {}, {}
-    for r in sorted(first.collect(), key=lambda r: (r["lang"], r["_r"])):
-        if r["_n"] <= room.setdefault(r["lang"], each):
-            room[r["lang"]] -= r["_n"]
-            chosen.append((r["lang"], r["_h"]))
-        short[r["lang"]] = min(short.get(r["lang"], (r["_n"], r["_h"])), (r["_n"], r["_h"]))
-    chosen += [(k, short[k][1]) for k in room if room[k] == each]
+    known = docs.where("lang is not null and text is not null")
+    start = F.explode(F.sequence(F.lit(0), F.greatest(F.char_length("text") - 1, F.lit(0)), F.lit(PASSAGE)))
+    cut = known.select("lang", "text", start.alias("_at")).select("lang", F.substring("text", F.col("_at") + 1, F.lit(PASSAGE)).alias("passage"))
+    each = max(1, min(per_language, total // max(1, known.select("lang").distinct().count())))
+    # equal passages stand next to each other, so that a passage in many documents is taken once
+    hashed = cut.select("lang", F.xxhash64(F.lit(seed), "passage").alias("_h")).distinct()
+    first = hashed.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_r") <= each).drop("_r")
+    chosen = first.collect()
     if not chosen:
         return {}
-    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, _h bigint"))
-    texts = known.join(picked, ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, _h bigint"))  # at most total rows, or one a language
+    texts = cut.withColumn("_h", F.xxhash64(F.lit(seed), "passage")).join(picked, ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("passage").alias("passage"))
     out: dict[str, list[str]] = {}
     for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["_h"])):
-        out.setdefault(r["lang"], []).append(r["text"])
+        out.setdefault(r["lang"], []).append(r["passage"])
     return {k: " ".join(v) for k, v in out.items()}
 
 
