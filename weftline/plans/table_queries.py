@@ -11,10 +11,9 @@ from weftline.operators import extract as X
 from weftline.operators import graph as G
 from weftline.operators import scan as S
 from weftline.operators import style as Y
-from weftline.plans.registry import EDGES, FILES, LINES, NODES, REACH, files, fk_graph, query, t
+from weftline.plans.registry import EDGES, FILES, LINES, NODES, REACH, files, fk_graph, fk_search, query, t
 from weftline.sources import files as R
 from weftline.sources import sinks
-from weftline.storage import Scratch
 from weftline.streaming import watch as W
 
 
@@ -132,23 +131,22 @@ def resolve_dependency(spark, d):
     return G.resolve_dependency(uses, f.select("path").union(index).distinct())
 
 
-def _lost(spark, d: str) -> tuple[DataFrame, DataFrame]:
-    """Members of depth-2 bundles, and unresolved names: every seventh nation and customer also uses a name that no node has."""
-    nodes, edges = fk_graph(spark, d)
-    members = Scratch(spark, "members").put(G.reach(G.roots(nodes, edges), edges, 2))
+def _lost(spark, d: str) -> tuple[G.Reach, DataFrame]:
+    """Search of depth-2 bundles, and unresolved names: every seventh nation and customer also uses a name that no node has."""
+    found = fk_search(spark, d)[0]
     n = t(spark, d, "nation").where("n_nationkey % 7 = 0").select(F.concat(F.lit("nation:"), "n_nationkey").alias("src"), F.concat(F.lit("Lost"), F.col("n_nationkey") % 3).alias("name"))
     c = t(spark, d, "customer").where("c_custkey % 7 = 0").select(F.concat(F.lit("customer:"), "c_custkey"), F.concat(F.lit("Lost"), F.col("c_custkey") % 3))
-    return members, n.union(c).withColumn("dst", F.lit(None).cast("string"))
+    return found, n.union(c).withColumn("dst", F.lit(None).cast("string"))
 
 
 @query(f"""{REACH}, l AS (SELECT 'nation:' || n_nationkey AS src, 'Lost' || n_nationkey % 3 AS name FROM nation WHERE n_nationkey % 7 = 0 UNION ALL SELECT 'customer:' || c_custkey, 'Lost' || c_custkey % 3 FROM customer WHERE c_custkey % 7 = 0)
     SELECT root, name, arg_min(id, (level, id)) AS referenced_by FROM (SELECT root, id, min(level) AS level FROM r GROUP BY 1, 2) m JOIN l ON l.src = m.id WHERE level < 2 AND id NOT IN (SELECT 'nation:' || n_nationkey FROM nation WHERE n_nationkey % 14 = 0) GROUP BY 1, 2""")
 def bundle_missing(spark, d):
     """Missing names of bundles; nations divisible by 14 define the name they miss themselves, so theirs do not count."""
-    members, uses = _lost(spark, d)
+    found, uses = _lost(spark, d)
     own = t(spark, d, "nation").where("n_nationkey % 14 = 0").select(F.concat(F.lit("nation:"), "n_nationkey").alias("src"), F.array(F.concat(F.lit("Lost"), F.col("n_nationkey") % 3)).alias("components"))
     kept = C.missing_from_outside(uses.withColumnsRenamed({"src": "referenced_by"}).withColumn("root", F.lit("")), own.select(F.col("src").alias("id"), "components", F.col("components").alias("functions")))
-    return G.missing(members, kept.select(F.col("referenced_by").alias("src"), "name", "dst"), 2)
+    return found.missing(kept.select(F.col("referenced_by").alias("src"), "name", "dst"), 2)
 
 
 @query(f"""WITH e AS (SELECT DISTINCT * FROM {EDGES}), s AS (SELECT id AS root, id, 0 AS level, CAST(1 AS BIGINT) AS place FROM {NODES} n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.dst = n.id)),
