@@ -12,7 +12,8 @@ from weftline.operators import contract as C
 from weftline.operators import extract as X
 from weftline.operators import report as R
 from weftline.operators import scan as S
-from weftline.plans.registry import query, t
+from weftline.operators.lexer import scanned
+from weftline.plans.registry import query, spread, t
 from weftline.sources import files, sinks
 from weftline.storage import Scratch
 from weftline.streaming.incremental import Incremental
@@ -60,7 +61,7 @@ def semantic_hash(spark, d):
     """Contracts of server files; half of them state their two routes in the other order, which changes nothing."""
     get, post = F.concat(F.lit("app.get('/a/:id', a"), F.col("o_custkey").cast("string"), F.lit(");\n")), F.lit("app.post('/b', b);\n")
     text = F.concat(F.lit(_SERVER), F.when(F.col("o_orderkey") % 2 == 0, F.concat(get, post)).otherwise(F.concat(post, get)))
-    rows = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("src/api.ts").alias("path"), text.alias("text"))
+    rows = spread(t(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select(F.col("o_orderkey").alias("id"), F.lit("src/api.ts").alias("path"), text.alias("text"))
     return C.with_hashes(X.contracts(rows)).select("id", "semantic_hash")
 
 
@@ -117,7 +118,7 @@ router.get('/items/:id', getItem);\nrouter.post('/items', save);\nrouter.put('/x
     nest = """import { Controller, Get } from '@nestjs/common';\n@Controller('users')\nexport class Users {\n  @Get(':id')\n  async findOne(@Param('id') id: string): User# {\n    return one(id);\n  }\n  @Post()
   create(body: Body#) {\n  }\n  private helper(x: number): void {\n  }\n}\n"""
     text = F.replace(F.when(F.col("c_custkey") % 2 == 0, express).otherwise(nest), F.lit("#"), key)
-    found = X.contracts(t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit("src/api.ts").alias("path"), text.alias("text")))
+    found = X.contracts(spread(t(spark, d, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("k"), F.lit("src/api.ts").alias("path"), text.alias("text")))
     api = F.col("api_signature")
     return found.select(
         "k", "framework", F.array_join(F.transform(api["parameters"], lambda p: F.concat_ws(":", p["name"], p["type"])), ",").alias("parameters"), api["return_type"].alias("return_type"),
@@ -183,7 +184,9 @@ def metadata_values(spark, d):
     key = k.cast("string")
     whole = F.concat(F.lit("export const metadata: Metadata = {\n  title: 'it\\'s #"), key, F.lit("', // { title: 'no' }\n  \"priority\": "), key, F.lit(".5, live: true, gone: null,\n  openGraph: { title: 'x, y' }, list: [1, 2],\n};"))
     text = F.when(k % 4 == 0, whole).when(k % 4 == 1, "export const metadata = make();").when(k % 4 == 2, "export async function generateMetadata() { return {} }").otherwise("const metadata = { title: 'own' };")
-    found = t(spark, d, "customer").select(k.alias("k"), X.metadata(text).alias("m")).select("k", "m.dynamic", F.parse_json("m.static").alias("v"))
+    found = spread(t(spark, d, "customer").select("c_custkey"), "c_custkey").select(k.alias("k"), text.alias("text"))
+    made, source = scanned(found)
+    found = made.select("k", F.explode(F.array(X.metadata(source))).alias("m")).select("k", "m.dynamic", F.explode(F.array(F.parse_json("m.static"))).alias("v"))
     get = lambda path, kind, name: F.variant_get("v", f"$.{path}", kind).alias(name)
     return found.select("k", get("title", "string", "title"), get("priority", "double", "priority"), get("live", "boolean", "live"), get("openGraph", "string", "open_graph"), get("_hasMetadata", "boolean", "has_metadata"), "dynamic")
 

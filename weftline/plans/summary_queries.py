@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.operators import extract as X
 from weftline.operators import libraries as L
 from weftline.operators import summary as S
-from weftline.plans.registry import EDGES, NODES, fk_graph, query, t
+from weftline.plans.registry import EDGES, NODES, fk_graph, query, spread, t
 from weftline.plans.source_queries import case_list, joined
 
 _STATS = f"""n AS (SELECT count(*) AS c, count(*) FILTER (id NOT IN (SELECT dst FROM {EDGES})) AS r, count(*) FILTER (id NOT IN (SELECT src FROM {EDGES})) AS l FROM {NODES}),
@@ -94,7 +94,7 @@ _UI = [
 def ui_libraries(spark, d):
     """A file for each customer, its imports and tags by the key."""
     text = F.concat_ws("\n", F.array(*[F.when(F.expr(c), line) for c, line in _UI]))
-    made = L.ui_libraries(t(spark, d, "customer").select(F.col("c_custkey").alias("k")).withColumn("text", text))
+    made = L.ui_libraries(spread(t(spark, d, "customer").select(F.col("c_custkey").alias("k")), "k").withColumn("text", text))
     m, u, p = F.col("material"), F.col("kit"), F.col("primitives")
     pair = lambda name, items, sep: joined(F.transform(items, lambda x: F.concat(x[name], F.lit(":"), F.array_join(x[sep], " "))))
     return made.select(
