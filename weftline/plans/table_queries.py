@@ -62,7 +62,7 @@ def prop_type_normalize(spark, d):
     return dealt(spark, d, "part", "p_partkey", list(TYPES)).select("k", text.alias("type"))
 
 
-STATES = {"useState<User[]>([])": "User[]", "useState(true)": "boolean", "useState(42)": "number", "useState('x')": "string", "useState(null)": "null", "useState([])": "array", "useState({})": "object", "useState([1])": "unknown", "useState(make)": "unknown"}
+STATES = {"useState<User[]>([])": "User[]", "useState(true)": "boolean", "useState(42)": "number", "useState('x')": "string", "useState(null)": "null", "useState([])": "array", "useState({})": "object", "useState([1])": "unknown", "useState({ a: 1 })": "unknown", "useState(make)": "unknown"}
 
 
 @query(f"SELECT k, v AS type FROM {expected('part', 'p_partkey', list(STATES.values()))}")
