@@ -14,7 +14,7 @@ def test_keys_of_one_file_are_dealt(spark):
     assert len(sizes) == 4 and sum(sizes) == 9000 and max(sizes) < 3000
 
 
-@pytest.mark.parametrize("name", ["ui_libraries", "style_facets", "class_expressions", "extract_props", "contract_api", "metadata_values", "express_routes", "class_rollup"])
+@pytest.mark.parametrize("name", ["ui_libraries", "style_facets", "class_expressions", "extract_props", "contract_api", "metadata_values", "express_routes", "class_rollup", "extract_long_texts"])
 def test_texts_are_made_in_many_tasks(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert t(spark, SF, "customer").rdd.getNumPartitions() == 1 and "RepartitionByExpression [" in plan
