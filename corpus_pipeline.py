@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import langid, mixing, neardup, packing
-from weftline.llm.shared import Scratch
+from weftline.llm.shared import Scratch, broadcast_if_small
 
 
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,12 @@ def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share an id are one document: each of its different texts stays once, the row that the hash of the other
     columns puts first.
     """
-    kept = neardup.near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id")
-    kept = Scratch(spark, "kept").put(kept)
-    out = docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    scratch = Scratch(spark, "kept")
+    rows = scratch.put(neardup.near_duplicates(docs.select("doc_id", "text")).where("doc_id is not null").select("doc_id", "kept"))
+    kept = rows.where("kept").select("doc_id")
+    # Fewer ids go than stay, so that texts are picked by a broadcast of those and not dealt.
+    gone = scratch.put(rows.where("not kept").select("doc_id").distinct().join(kept, "doc_id", "left_anti"))
+    out = docs.where("doc_id is not null").join(broadcast_if_small(gone, neardup.MAX_IDS), "doc_id", "left_anti").select(docs.columns)
     if kept.groupBy("doc_id").count().where("count > 1").limit(1).count():
         others = F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t])
         first = Window.partitionBy("doc_id", "text").orderBy(others)

@@ -185,14 +185,14 @@ def _shared_shingles(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return each.join(mixed, "s")
 
 
-def _last_pairs(near: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components whose shared shingles could be enough; near: key, node, component, size.
+def _last_pairs(near: DataFrame, size: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components whose shared shingles could be enough; near: key, node, component.
 
     |x & y| is at most the smaller count of common shingles plus the rare ones that both have. So a pair shares a rare
     shingle, or the smaller count of common ones is enough: the first meet over the shingle, the others in a bucket.
     """
     common = shingles.where(f"n > {RARE}").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
-    facts = near.select("node", "size").distinct().join(common, "node", "left").select("node", "size", F.coalesce("common", F.lit(0)).alias("common"))
+    facts = near.select("node").distinct().join(size, "node").join(common, "node", "left").select("node", "size", F.coalesce("common", F.lit(0)).alias("common"))
     rare = shingles.where(f"n <= {RARE}").select("s", "node", "component")
     other = rare.select("s", F.col("node").alias("b"), F.col("component").alias("cb"))
     met = rare.join(other, "s").where("node < b and component <> cb").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("met"))
@@ -200,7 +200,7 @@ def _last_pairs(near: DataFrame, shingles: DataFrame, percent: int) -> DataFrame
     enough = lambda n: f"(100 + {percent}) * ({n}) >= {percent} * (sa + sb)"
     by_rare = met.join(side("a"), "a").join(side("b"), "b").where(enough("met + least(ca, cb)")).select("a", "b")
 
-    rich = near.join(facts.select("node", "common"), "node")
+    rich = near.select("key", "node", "component").join(facts, "node")
     least = rich.groupBy("key").agg(F.min("size").alias("least"))
     rich = rich.join(least, "key").where(f"(100 + {percent}) * common >= {percent} * (size + least)")
     left = rich.select("key", F.col("node").alias("a"), F.col("component").alias("ka"), F.col("size").alias("sa"), F.col("common").alias("ca"))
@@ -250,13 +250,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         return rows.join(mixed, "key")
 
-    def of_pivot(rows: DataFrame, order) -> DataFrame:
-        pivot = rows.groupBy("key").agg(F.min_by(F.struct("node", "component"), order).alias("p"))
-        return rows.join(pivot, "key").where("component <> p.component").select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+    def with_pivot(rows: DataFrame, order) -> DataFrame:
+        """Rows (key, node, component) with p, the node and component that all others of the bucket are compared with."""
+        return scratch.put(rows.join(rows.groupBy("key").agg(F.min_by(F.struct("node", "component"), order).alias("p")), "key").select("key", "node", "component", "p"))
 
-    members = members.select("key", "node")
-    first = members.join(score, "node").withColumn("component", F.col("node"))
-    decided = confirm(of_pivot(first, F.struct(-F.col("score"), "node")).distinct())
+    to_pivot = lambda rows: rows.where("component <> p.component").select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+    # A pivot that was compared with all others leaves its bucket: what is open there is open between the others.
+    but_pivot = lambda rows: rows.where("node <> p.node").select("key", "node")
+
+    first = with_pivot(members.select("key", "node").join(score, "node").withColumn("component", F.col("node")), F.struct(-F.col("score"), "node"))
+    decided, members = confirm(to_pivot(first).distinct()), but_pivot(first)
     links = decided.where("ok").select("a", "b")
     label = components(scratch, links) if links.limit(1).count() else None
 
@@ -271,9 +274,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         facts = scratch.put(most.join(size, "node").join(near.select("node").distinct(), "node", "left_semi"))
         smallest = facts.agg(F.min("size")).first()[0]
         may = facts.where(f"(100 + {percent}) * most >= {percent} * (size + {int(smallest or 0)})")
-        near = still_open(near.select("key", "node", "component").join(broadcast_if_small(may, MAX_IDS), "node"))
-        least = near.groupBy("key").agg(F.min("size").alias("least"))
-        near = near.join(least, "key").where(f"(100 + {percent}) * most >= {percent} * (size + least)").drop("least")
+        near = near.select("key", "node", "component").join(broadcast_if_small(may, MAX_IDS), "node")
+        mixed = near.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("size").alias("least")).where("lo < hi").select("key", "least")
+        # Written before its buckets are looked at again, which reads it twice.
+        near = scratch.put(near.join(mixed, "key").where(f"(100 + {percent}) * most >= {percent} * (size + least)").select("key", "node", "component"))
         return scratch.put(still_open(near))
 
     for turn in range(ROUNDS):
@@ -287,11 +291,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 break
         if not left:
             break
-        members = near.select("key", "node")
         if turn < ROUNDS - 1:
-            pairs = of_pivot(near, F.xxhash64(F.lit(turn), "node"))
+            near = with_pivot(near, F.xxhash64(F.lit(turn), "node"))
+            pairs, members = to_pivot(near), but_pivot(near)
         else:
-            pairs = _last_pairs(near, scratch.put(_shared_shingles(text, scratch.put(near.select("node", "component").distinct()))), percent)
+            pairs = _last_pairs(near, size, scratch.put(_shared_shingles(text, scratch.put(near.select("node", "component").distinct()))), percent)
         tried = decided.select("a", "b").union(decided.select(F.col("b").alias("a"), F.col("a").alias("b")))
         found = confirm(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
         decided, new = decided.union(found), found.where("ok").select("a", "b")
