@@ -1,6 +1,7 @@
 """The compact form: round trips of any nesting and of strings that look like something else; canonical JSON."""
 
 import json
+import sys
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,3 +50,19 @@ def test_canonical_order(spark):
     b = spark.createDataFrame([({"a": None, "b": ["x", "y"]}, 1)], "m map<string,array<string>>, n int")
     texts = [df.select(canonical.canonical_json(F.struct("n", "m"), df.select(F.struct("n", "m").alias("v")).schema["v"].dataType).alias("j")).first()["j"] for df in (a, b)]
     assert texts[0] == texts[1] == '{"m":{"b":["x","y"]},"n":1}'
+
+
+def test_rows_are_read_with_few_calls():
+    text = "rows[1000]{part,flag,mode}:\n" + "\n".join(f'  {k},N,"O:{k}"' for k in range(1000))
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[0] += event == "call"
+
+    sys.setprofile(count)
+    try:
+        out = compact.to_json_text(text)
+    finally:
+        sys.setprofile(None)
+    assert json.loads(out) == {"rows": [{"part": k, "flag": "N", "mode": f"O:{k}"} for k in range(1000)]}
+    assert calls[0] < 10_000

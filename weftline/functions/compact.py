@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,72 +96,64 @@ def encode(value: Column, kind: T.StructType | T.MapType) -> Column:
 
 _HEAD = re.compile(r'(?P<key>"(?:[^"\\]|\\.)*"|[^\[\]{}:",\s]*)(?:\[(?P<n>\d+)\](?:\{(?P<fields>(?:"(?:[^"\\]|\\.)*"|[^"}])*)\})?)?:(?: (?P<value>.*))?$', re.S)
 _CELL = re.compile(r'"(?:[^"\\]|\\.)*"|[^,]+')
+_NUMBER = re.compile(r"[-+]?[\d.]+(?:[eE][-+]?\d+)?")
+_PLAIN = frozenset(("true", "false", "null", "NaN", "Infinity", "-Infinity"))
+_NUMERIC = frozenset("+-.0123456789")
+_dump = json.JSONEncoder().encode
 
 
-def _value(cell: str):
-    if cell.startswith('"'):
-        return json.loads(cell)
-    if cell in ("true", "false", "null"):
-        return {"true": True, "false": False, "null": None}[cell]
-    if re.fullmatch(r"[-+]?[\d.]+(?:[eE][-+]?\d+)?", cell):
-        return _Number(cell)
-    return cell if cell not in ("NaN", "Infinity", "-Infinity") else float(cell)
+@lru_cache(4096)
+def _text(cell: str) -> str:
+    return cell if cell.startswith('"') or cell in _PLAIN else _dump(cell)
 
 
-class _Number(float):
-    """A number that is written as it was read."""
+def _value(cell: str) -> str:
+    """A cell as JSON: literals and numbers as they were read, other text quoted."""
+    return cell if cell[:1] in _NUMERIC and _NUMBER.fullmatch(cell) else _text(cell)
 
-    def __new__(cls, text: str):
-        out = super().__new__(cls, text)
-        out.text = text
-        return out
 
-    def __repr__(self):
-        return self.text
+@lru_cache(4096)
+def _name(key: str) -> str:
+    """A key as JSON with its colon."""
+    return _dump(json.loads(key) if key.startswith('"') else key) + ":"
 
 
-def _dump(x) -> str:
-    if isinstance(x, dict):
-        return "{" + ",".join(f"{json.dumps(k)}:{_dump(v)}" for k, v in x.items()) + "}"
-    if isinstance(x, list):
-        return "[" + ",".join(map(_dump, x)) + "]"
-    return repr(x) if isinstance(x, _Number) else json.dumps(x)
+@lru_cache(4096)
+def _names(fields: str) -> tuple[str, ...]:
+    return tuple(map(_name, _CELL.findall(fields)))
 
 
-def _unquoted(key: str) -> str:
-    return json.loads(key) if key.startswith('"') else key
-
-
-def _parse(lines: list[str], at: int, deep: int) -> tuple[dict, int]:
+def _parse(lines: list[str], at: int, deep: int) -> tuple[str, int]:
+    """An object's fields from line at on as JSON, and the line after them; of a key that repeats the last value counts."""
     out: dict = {}
     while at < len(lines) and lines[at].startswith(" " * deep):
         m = _HEAD.match(lines[at][deep:])
         value, at = _parse_after(lines, at, deep, m)
-        out[_unquoted(m["key"])] = value
-    return out, at
+        out[_name(m["key"])] = value
+    return "{" + ",".join([k + v for k, v in out.items()]) + "}", at
 
 
-def _parse_after(lines: list[str], at: int, deep: int, m: re.Match):
-    """The value of a field or header whose first line is at: what follows its colon and the lines below it."""
+def _parse_after(lines: list[str], at: int, deep: int, m: re.Match) -> tuple[str, int]:
+    """The value of a field or header whose first line is at, as JSON: what follows its colon and the lines below it."""
     if m["n"] is None:
         if m["value"] is not None:
             return _value(m["value"]), at + 1
         return _parse(lines, at + 1, deep + 2)
     n, at = int(m["n"]), at + 1
     if m["fields"] is not None:
-        names, rows = [_unquoted(f) for f in _CELL.findall(m["fields"])], []
+        names, rows = _names(m["fields"]), []
         for row in lines[at : at + n]:
             row = row[deep + 2 :]
-            rows.append(None if row == NONE else dict(zip(names, map(_value, _CELL.findall(row)))))
-        return rows, at + n
+            rows.append("null" if row == NONE else "{" + ",".join([k + _value(c) for k, c in zip(names, _CELL.findall(row))]) + "}")
+        return "[" + ",".join(rows) + "]", at + n
     if m["value"] is not None or n == 0:
-        return [_value(c) for c in _CELL.findall(m["value"] or "")], at
+        return "[" + ",".join(map(_value, _CELL.findall(m["value"] or ""))) + "]", at
     items = []
     for _ in range(n):
         first = lines[at][deep + 4 :]
         head = _HEAD.match(first)
         if first == "":
-            value, at = {}, at + 1
+            value, at = "{}", at + 1
         elif head is None or first.startswith('"') and json_end(first) == len(first):
             value, at = _value(first), at + 1
         elif head["key"] == "" and head["n"] is not None:
@@ -169,7 +162,7 @@ def _parse_after(lines: list[str], at: int, deep: int, m: re.Match):
             lines[at] = " " * (deep + 4) + first
             value, at = _parse(lines, at, deep + 4)
         items.append(value)
-    return items, at
+    return "[" + ",".join(items) + "]", at
 
 
 def json_end(text: str) -> int:
@@ -178,7 +171,7 @@ def json_end(text: str) -> int:
 
 
 def to_json_text(text: str) -> str:
-    return _dump(_parse(text.split("\n") if text else [], 0, 0)[0])
+    return _parse(text.split("\n") if text else [], 0, 0)[0]
 
 
 def decode(text: Column, schema: T.StructType | str) -> Column:
