@@ -9,6 +9,7 @@ from weftline.functions.paths import normalize
 
 MATCH = "array<struct<line:bigint,column:bigint,type:string,snippet:string>>"
 MASK = "PRIVATE_DATA"
+TASK_ROWS = 20_000  # files or matches that a task meets
 
 
 def _same(path: Column) -> Column:
@@ -19,22 +20,29 @@ def _under(root: str, path: Column) -> Column:
     return F.when(path.rlike(r"^(?:/|[A-Za-z]:)"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
 
 
-def match_report(files: DataFrame, report: DataFrame, report_root: str, root: str) -> DataFrame:
+def _tasks(*tables: DataFrame) -> int:
+    """Tasks that the largest of the tables is dealt over: their number grows with its rows, so what one task holds does not."""
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, *(-(-x.count() // TASK_ROWS) for x in tables))
+
+
+def match_report(files: DataFrame, report: DataFrame, report_root: str, root: str, tasks: int | None = None) -> DataFrame:
     """files(path) with the rows of report(file, line, column, type, snippet) that mean them: path and the report's columns.
 
     A reported file means the file at its path below the report's root, else the one below the present root, else the one with
     the same relative path; the first of these keys that meets counts, and a match is given once. Paths compare without case.
-    Each key is an equi-join, so no file is compared with every match.
+    Each key is an equi-join, so no file is compared with every match. Rows are dealt over tasks by number, since their bytes,
+    by which Spark would put them together, are few beside what a task holds of them; the result is dealt by path.
     """
-    rows = report.withColumn("_id", F.xxhash64(*report.columns)).distinct()
+    n = tasks or _tasks(files, report)
+    rows = report.withColumn("_id", F.xxhash64(*report.columns)).repartition(n, "_id").distinct()
     other = _same(F.lit(report_root)) != _same(F.lit(root))
     relative = ~F.col("file").rlike(r"^(?:/|[A-Za-z]:)")
     key = lambda rank, kind, text, when=F.lit(True): F.when(when, F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), text.alias("key")))
     of_report = [key(0, "whole", _same(_under(report_root, F.col("file")))), key(1, "whole", _same(_under(root, F.col("file"))), other & relative), key(2, "relative", _same(F.col("file")), other & relative)]
     of_file = [key(0, "whole", _same(_under(root, F.col("path")))), key(0, "relative", _same(F.col("path")))]
-    left = rows.select("*", F.inline(F.array_compact(F.array(*of_report))))
-    right = files.select("path").distinct().select("path", F.inline(F.array_compact(F.array(*of_file)))).drop("rank")
-    met = left.join(right, ["kind", "key"])
+    left = rows.select("*", F.inline(F.array_compact(F.array(*of_report)))).repartition(n, "kind", "key")
+    right = files.select("path").repartition(n, "path").distinct().select("path", F.inline(F.array_compact(F.array(*of_file)))).drop("rank").repartition(n, "kind", "key")
+    met = left.join(right.hint("merge"), ["kind", "key"]).repartition(n, "path")
     first = F.row_number().over(Window.partitionBy("_id", "path", *report.columns).orderBy("rank"))
     return met.withColumn("_r", first).where("_r = 1").select("path", *report.columns)
 
@@ -70,7 +78,8 @@ def mask_lines(text: Column, matches: Column) -> Column:
 
 def mask_by_report(files: DataFrame, report: DataFrame, report_root: str, root: str) -> DataFrame:
     """files(path, text) with masked and n_masked: the secrets of a report taken out of the files that it means."""
-    met = match_report(files, report, report_root, root)
+    n = _tasks(files, report)
+    met = match_report(files, report, report_root, root, n)
     held = met.groupBy("path").agg(F.collect_list(F.struct("line", "column", "type", "snippet")).alias("_m"))
-    out = files.join(held, "path", "left").withColumn("_m", F.coalesce(F.col("_m").cast(MATCH), F.array().cast(MATCH)))
+    out = files.repartition(n, "path").join(held.hint("merge"), "path", "left").withColumn("_m", F.coalesce(F.col("_m").cast(MATCH), F.array().cast(MATCH)))
     return out.withColumns({"masked": mask_lines(F.col("text"), F.col("_m")), "n_masked": F.size("_m")}).drop("_m")

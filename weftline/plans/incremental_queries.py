@@ -132,15 +132,16 @@ router.get('/items/:id', getItem);\nrouter.post('/items', save);\nrouter.put('/x
 def mask_by_report(spark, d):
     """A report whose files are named in full, below its own root, or below the present one; every fourth file has no match, every fourth two."""
     k = F.col("p_partkey")
+    parts = spread(t(spark, d, "part").select("p_partkey"), "p_partkey")
     key = k.cast("string")
     path = F.concat(F.lit("src/f"), key, F.lit(".ts"))
     text = F.concat(F.lit('const apiKey = "SECRET'), key, F.lit('abcdefghij", other = "SECRET'), key, F.lit('zz"\nurl = "mysql://u:pw'), key, F.lit('@h/db"'))
-    rows_of = t(spark, d, "part").select(path.alias("path"), text.alias("text"))
+    rows_of = parts.select(path.alias("path"), text.alias("text"))
     name = F.when(k % 4 == 0, F.concat(F.lit("/old/./"), path)).when(k % 4 == 1, F.concat(F.lit("./"), path)).when(k % 4 == 2, F.concat(F.lit("/new/SRC/../"), path))
     hit = lambda line, column, kind, snippet: F.struct(F.lit(line).cast("long").alias("line"), F.lit(column).cast("long").alias("column"), F.lit(kind).alias("type"), snippet.alias("snippet"))
     first = hit(1, 7, "API Key", F.concat(F.lit('apiKey = "SECRET'), key, F.lit('abcdefghij"')))
     second = hit(2, 8, "Database URL with Credentials", F.concat(F.lit("mysql://u:pw"), key, F.lit("@h/db")))
-    rows = t(spark, d, "part").where(k % 4 != 3).select(F.when(k % 4 == 0, F.concat(F.lit("/old/./"), path)).otherwise(name).alias("file"), F.explode(F.when(k % 4 == 0, F.array(first, second)).otherwise(F.array(first))).alias("m"))
+    rows = parts.where(k % 4 != 3).select(F.when(k % 4 == 0, F.concat(F.lit("/old/./"), path)).otherwise(name).alias("file"), F.explode(F.when(k % 4 == 0, F.array(first, second)).otherwise(F.array(first))).alias("m"))
     report = rows.select("file", "m.*").withColumn("file", F.when(F.col("file").startswith("/old"), F.replace("file", F.lit("/old/"), F.lit(""))).otherwise(F.col("file")))
     return R.mask_by_report(rows_of, report, "/old", "/new").select("path", "n_masked", "masked")
 
