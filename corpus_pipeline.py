@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import langid, mixing, neardup, packing
-from weftline.llm.shared import Scratch, broadcast_if_small
+from weftline.llm.shared import Scratch, broadcast_if_small, small_batches
+
+BATCH_BYTES = 1 << 20  # of an Arrow batch: one executor and its workers serve all stages, and what one has touched stays with them
 
 
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some language: those without text or without a letter in it go. Labels are learned as in op9."""
+    small_batches(spark, BATCH_BYTES)
     known = docs.where(~langid.held_out(F.col("doc_id"), 4))
     predicted = langid.identify(docs, langid.labelled_sample(known))
     return predicted.where("lang_pred <> 'und'").select(docs.columns)
@@ -26,6 +29,7 @@ def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share an id are one document: each of its different texts stays once, the row that the hash of the other
     columns puts first.
     """
+    small_batches(spark, BATCH_BYTES)
     scratch = Scratch(spark, "kept")
     rows = scratch.put(neardup.near_duplicates(docs.select("doc_id", "text")).where("doc_id is not null").select("doc_id", "kept"))
     kept = rows.where("kept").select("doc_id")
@@ -47,6 +51,7 @@ def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece, with its sequence and place there; copies of a document are packed one by one."""
+    small_batches(spark, BATCH_BYTES)
     return packing.pack_documents(docs.select("doc_id", "text"), keep_ids=False)
 
 

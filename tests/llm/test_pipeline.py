@@ -170,3 +170,15 @@ def test_pipeline_edges(spark, tmp_path):
     assert {r["doc_id"] for r in out} <= {None, 1, 3} and len(out) >= 3
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_stages_take_small_batches(spark):
+    import corpus_pipeline as pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, "64MB")
+    try:
+        pipeline.pack(spark, spark.createDataFrame([(1, "one two")], "doc_id bigint, text string"), "")
+        assert int(spark.conf.get(key)) == 1 << 20
+    finally:
+        spark.conf.unset(key)

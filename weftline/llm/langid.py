@@ -20,7 +20,7 @@ from weftline.llm.text import chunks, release, utf8
 
 SEGMENT = 256
 LANES = 1 << 14  # segments and languages parsed side by side
-CHUNK_BYTES = 1 << 20  # of texts parsed together; a longer one comes alone
+CHUNK_BYTES = 1 << 19  # of texts parsed together; a longer one comes alone
 PASSAGE = 1000  # characters of a passage of labelled text
 SAMPLE_PASSAGES = 64  # passages per language, at most
 SAMPLE_ALL = 4000  # passages of all languages together; with many languages each has fewer, but one at least
