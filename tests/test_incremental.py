@@ -75,3 +75,11 @@ def test_strict_watch_stops(spark, tmp_path):
     with pytest.raises(Exception, match="breaks a contract"):
         incremental.follow(stream, kept, str(tmp_path / "c"), once=True, stop_on_error=True).awaitTermination()
     assert {r["type"] for r in kept.table("violations").collect()} == {"breaking_change_function_removed"}
+
+
+def test_changed_files_are_dealt_by_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "TASK_FILES", 50)
+    kept = incremental.Incremental(spark, str(tmp_path / "t"))
+    kept.apply(spark.range(400).coalesce(1).select(F.concat(F.lit("src/F"), F.col("id").cast("string"), F.lit(".tsx")).alias("path"), F.lit(USES()).alias("text"), F.lit(0).alias("ts")), 0)
+    files = kept.table("contracts").select(F.input_file_name().alias("f")).distinct().count()
+    assert kept.table("contracts").count() == 400 and files > 1

@@ -21,6 +21,7 @@ from weftline.storage import Scratch
 from weftline.streaming.store import Store
 
 KEYS = {"contracts": "id", "uses": "src", "roots": "id", "members": "root", "missing": "root", "hashes": "root", "violations": "epoch", "counts": "epoch"}
+TASK_FILES = 1000  # changed files whose contracts a task extracts
 
 
 def _keys_of_file(path: Column) -> Column:
@@ -72,9 +73,12 @@ class Incremental:
         else:
             last = last.where("text is not null")
         changed = scratch.put(last)
-        if not first and not changed.limit(1).count():
+        n = changed.count()
+        if not first and not n:
             return self.store.commit(epoch, {})
-        fresh = scratch.put(engine.contracts_of(changed.where("text is not null").select("path", "text"), self.options.include_style))
+        # Dealt by number: texts of one shape take few bytes, and Spark would read them in one task.
+        sources_of = changed.where("text is not null").select("path", "text").repartition(max(1, -(-n // TASK_FILES)), "path")
+        fresh = scratch.put(engine.contracts_of(sources_of, self.options.include_style))
         ids = scratch.put(changed.select(F.col("path").alias("id")))
         contracts = fresh if first else self._replace(old["contracts"], ids, "id", fresh)
         files = contracts.select(F.col("id").alias("path"))
@@ -130,7 +134,8 @@ class Incremental:
 
     def _strict(self, epoch: int, old: dict, ids: DataFrame, fresh: DataFrame, missing: DataFrame, state: dict) -> dict:
         """What the batch broke: (epoch, type, severity, id, name), and its counts with those of all batches so far."""
-        empty = self.spark.createDataFrame([], "epoch bigint, type string, severity string, id string, name string")
+        one = self.spark.range(1)  # rows of constants, made without a Python worker
+        empty = one.where("false").selectExpr("id AS epoch", *(f"CAST(NULL AS STRING) AS {c}" for c in ("type", "severity", "id", "name")))
         if old["contracts"] is None:
             found = empty
         else:
@@ -142,8 +147,8 @@ class Incremental:
         found = Scratch(self.spark, "violations").put(found)
         so_far = old["counts"].agg(F.max_by(F.struct("errors_so_far", "warnings_so_far"), "epoch").alias("r")).select("r.*").first() if old["counts"] is not None else None
         errors, warnings = found.agg(F.count_if(F.col("severity") == "error"), F.count_if(F.col("severity") == "warning")).first()
-        row = (epoch, errors, warnings, errors + (so_far[0] if so_far else 0), warnings + (so_far[1] if so_far else 0))
-        counts = self.spark.createDataFrame([row], "epoch bigint, errors bigint, warnings bigint, errors_so_far bigint, warnings_so_far bigint")
+        row = {"epoch": epoch, "errors": errors, "warnings": warnings, "errors_so_far": errors + (so_far[0] if so_far else 0), "warnings_so_far": warnings + (so_far[1] if so_far else 0)}
+        counts = one.select(*[F.lit(v).cast("bigint").alias(c) for c, v in row.items()])
         key = counts.select("epoch")
         return {"violations": (key, found), "counts": (key, counts)}
 
