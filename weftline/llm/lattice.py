@@ -23,7 +23,8 @@ from weftline.llm.shared import Scratch
 from weftline.llm.text import chunks, mix, utf8, word_hashes
 
 HEAD = 400_000  # most words that are sent to every task
-MERGE = 4_000_000  # word entries gathered in a task before they are added up
+MERGE = 1_000_000  # word entries gathered in a task before they are added up
+MERGE_BYTES = 16 << 20  # and bytes of their words
 PRIOR = 0.1  # added to every piece count
 EM_ROUNDS = 2
 MARK = "▁".encode()
@@ -35,50 +36,61 @@ _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 def ragged(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slices of raw one after the other, and the offsets where each begins."""
     at = np.concatenate([[0], np.cumsum(size)])
-    return raw[np.repeat(start - at[:-1], size) + np.arange(at[-1])], at
+    out = np.empty(at[-1], raw.dtype)
+    for i, j in chunks(at):  # a byte's index takes 24 bytes meanwhile
+        out[at[i] : at[j]] = raw[np.repeat(start[i:j] - at[i:j], size[i:j]) + np.arange(at[i], at[j])]
+    return out, at
 
 
-def word_table(docs: DataFrame) -> DataFrame:
-    """(text, train) to one row per distinct word: hash, word, n_train (its count in training documents)."""
-
-    def run(batches):
-        held: list[tuple] = []
-
-        def merged():
-            h = np.concatenate([x[0] for x in held])
-            n = np.concatenate([x[1] for x in held])
-            words = np.concatenate([x[2] for x in held])
-            at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[3]) for x in held]))])
-            uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
-            count = np.bincount(back, n, len(uniq)).astype(np.int64)
-            out, off = ragged(words, at[first], at[first + 1] - at[first])
-            held[:] = [(uniq, count, out, off)]
-            return held[0]
-
-        def rows():
-            h, n, words, at = merged()
-            for a in range(0, len(h), 100_000):
-                b = min(a + 100_000, len(h))
-                text = pa.Array.from_buffers(pa.string(), b - a, [None, pa.py_buffer((at[a : b + 1] - at[a]).astype(np.int32).tobytes()), pa.py_buffer(words[at[a] : at[b]].tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(h[a:b].view(np.int64)), text, pa.array(n[a:b])], names=["hash", "word", "n_train"])
-            held.clear()
+def count_words(batches):
+    """Arrow batches of (text, train) to batches of hash, word, n_train.
 
-        for batch in batches:
-            data, at = utf8(batch.column("text"))
-            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in chunks(at):
-                h, first, start, end, raw = word_hashes(data, at, i, j)
-                if not len(h):
-                    continue
-                n = np.repeat(train[i:j], np.diff(first)).astype(np.int64)
-                uniq, pick, back = np.unique(h, return_index=True, return_inverse=True)
-                held.append((uniq, np.bincount(back, n, len(uniq)).astype(np.int64), *ragged(raw, start[pick], (end - start)[pick])))
-                if sum(len(x[0]) for x in held) > MERGE and len(merged()[0]) > MERGE // 2:
+    At most MERGE entries and MERGE_BYTES of words (or one text's) are held. A word may come in several rows.
+    """
+    held: list[tuple] = []
+
+    def merged():
+        h = np.concatenate([x[0] for x in held])
+        n = np.concatenate([x[1] for x in held])
+        words = np.concatenate([x[2] for x in held])
+        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[3]) for x in held]))])
+        held.clear()
+        uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
+        count = np.bincount(back, n, len(uniq)).astype(np.int64)
+        held.append((uniq, count, *ragged(words, at[first], at[first + 1] - at[first])))
+        return held[0]
+
+    def rows():
+        h, n, words, at = merged()
+        held.clear()
+        for a, b in chunks(at):
+            text = pa.Array.from_buffers(pa.string(), b - a, [None, pa.py_buffer((at[a : b + 1] - at[a]).astype(np.int32).tobytes()), pa.py_buffer(words[at[a] : at[b]].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(h[a:b].view(np.int64)), text, pa.array(n[a:b])], names=["hash", "word", "n_train"])
+
+    def over(most: int, most_bytes: int) -> bool:
+        return sum(len(x[0]) for x in held) > most or sum(len(x[2]) for x in held) > most_bytes
+
+    for batch in batches:
+        data, at = utf8(batch.column("text"))
+        train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        for i, j in chunks(at):
+            h, first, start, end, raw = word_hashes(data, at, i, j)
+            if not len(h):
+                continue
+            n = np.repeat(train[i:j], np.diff(first)).astype(np.int64)
+            uniq, pick, back = np.unique(h, return_index=True, return_inverse=True)
+            held.append((uniq, np.bincount(back, n, len(uniq)).astype(np.int64), *ragged(raw, start[pick], (end - start)[pick])))
+            if over(MERGE, MERGE_BYTES):
+                merged()
+                if over(MERGE // 2, MERGE_BYTES // 2):
                     yield from rows()
-        if held:
-            yield from rows()
+    if held:
+        yield from rows()
 
-    parts = docs.select(F.col("text").cast("string").alias("text"), "train").mapInArrow(run, "hash bigint, word string, n_train bigint")
+
+def word_table(docs: DataFrame) -> DataFrame:
+    """(text, train) to one row per distinct word: hash, word, n_train (its count in training documents)."""
+    parts = docs.select(F.col("text").cast("string").alias("text"), "train").mapInArrow(count_words, "hash bigint, word string, n_train bigint")
     return parts.groupBy("hash", "word").agg(F.sum("n_train").alias("n_train"))
 
 
