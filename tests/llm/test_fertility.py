@@ -88,3 +88,35 @@ def test_bands(spark):
                 x = r["chars_per_token"][0]
                 if (r["band"] == ("lang:en" if lang else "script:latin")) and r["size"] == size and not r["base_failed"] and min(abs(x - lo), abs(x - hi)) > 0.1:
                     assert any("characters" in why for why in r["reasons"]) == (not lo <= x <= hi)
+
+
+def test_every_public_vocabulary_judges(spark):
+    import base64
+    import os
+
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    named = lambda files: {x.rsplit(".", 1)[0] for x in files}
+    assert named(x for x in os.listdir(public_tokenizers.path("")) if x.endswith((".json", ".tiktoken", ".model"))) == named(fertility.VOCABULARIES)
+    word = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    word.encode_special_tokens = True
+    encoders = [model().encode, lambda w: word.encode(w, add_special_tokens=False).ids]
+    for name in fertility.VOCABULARIES[2:]:
+        with open(public_tokenizers.path(name), "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        encoders.append(tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
+    rng = random.Random(5)
+    usual = ["the", "house", "water", "under", "people", "number", "between", "children", "mountain", "river", "story", "follow", "point", "world", "school"]
+    texts = [*[t for _, _, t in ROWS], "it's DON'T <|endoftext|> x<|startoftext|>y \u00a012345 İstanbul ﬁ é \x1c\x85 ''s 🎉🎉"]
+    texts += [" ".join(rng.choice(usual) for _ in range(40)) for _ in range(200)] + [" ".join("".join(rng.choice("qzxjkvw") for _ in range(5)) for _ in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {r["doc_id"]: r for r in fertility.quality(df, lang_col=None).collect()}
+    for i, r in out.items():
+        for k, encode in enumerate(encoders):
+            ids = [t for w in WORD.findall(texts[i] or "") for a in range(0, len(w), 1024) for t in encode(w[a : a + 1024])]
+            entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in Counter(ids).values()) if ids else 0.0
+            assert (r["n_tokens"][k], len(r["n_tokens"])) == (len(ids), 4) and abs(r["entropies"][k] - entropy) < 1e-9, (i, k)
+    assert {f"characters per token of {name}" for name in fertility.VOCABULARIES} <= set(out[len(texts) - 1]["reasons"])
+    assert fertility.Vocabulary("byte_bpe_50k.json").encode(["Don't", "12345"]) == [encoders[2]("Don't"), encoders[2]("12345")]
