@@ -1,5 +1,7 @@
 """Bundles of roots that lead to the same nodes: searched once, and the same as a plain search from each root."""
 
+import pytest
+
 from weftline.operators import graph
 
 
@@ -51,3 +53,29 @@ def test_many_roots_meet_in_slices(spark, monkeypatch):
     monkeypatch.setattr(graph, "TASK_ROWS", 50)
     rows = found.rows()
     assert rows.count() == rows.distinct().count() == 40 * 11
+
+
+def test_rows_of_a_hub_are_cut_into_runs(spark, monkeypatch):
+    starts = [f"s{i}" for i in range(20)]
+    links = [(f"s{i}", f"hub{i % 2}") for i in range(20)] + [(f"hub{i % 2}", f"leaf{i}") for i in range(70)]
+    found = graph.search(spark.createDataFrame([(x,) for x in starts], "id string"), spark.createDataFrame(links, "src string, dst string"), 2)
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(graph, "RUN_ROWS", 4)
+    monkeypatch.setattr(graph, "TASK_ROWS", 50)
+    want = sorted((root, i, k) for root, o in plain(starts, links, 2).items() for i, k in o)
+    assert sorted((r.root, r.id, r.level) for r in found.rows().collect()) == want
+    edges = found.edges(spark.createDataFrame(links, "src string, dst string").distinct())
+    assert sorted(map(tuple, edges.collect())) == sorted((root, a, b) for root in starts for a, b in links if a == root or (root, a) in links)
+
+
+@pytest.mark.parametrize("kind", ["rows"])
+def test_files_of_a_hub_take_little(spark, tmp_path, kind):
+    """20000 roots of one hub with 100 leaves: a column repeats in runs, so that a row takes a fraction of a byte."""
+    s = spark.range(20000).selectExpr("concat('supplier:', id * 37) as id")
+    e = s.selectExpr("id as src", "'hub' as dst").union(spark.range(100).selectExpr("'hub'", "concat('customer:', id * 7919)"))
+    found = graph.search(s, e, 2)
+    out = found.rows().select("root", "id", "level") if kind == "rows" else found.edges(e)
+    out.write.parquet(str(tmp_path / "out"))
+    n = spark.read.parquet(str(tmp_path / "out")).count()
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert n == 20000 * (102 if kind == "rows" else 101) and size < 0.6 * n
