@@ -68,7 +68,7 @@ def test_rows_of_a_hub_are_cut_into_runs(spark, monkeypatch):
     assert sorted(map(tuple, edges.collect())) == sorted((root, a, b) for root in starts for a, b in links if a == root or (root, a) in links)
 
 
-@pytest.mark.parametrize("kind", ["rows"])
+@pytest.mark.parametrize("kind", ["rows", "edges"])
 def test_files_of_a_hub_take_little(spark, tmp_path, kind):
     """20000 roots of one hub with 100 leaves: a column repeats in runs, so that a row takes a fraction of a byte."""
     s = spark.range(20000).selectExpr("concat('supplier:', id * 37) as id")
